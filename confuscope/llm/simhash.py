@@ -86,12 +86,12 @@ class _Forest:
             self.parent[max(a, b)] = min(a, b)
 
 
-def trie_links(keys: np.ndarray, tries: np.ndarray, shared: int, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
+def trie_links(keys: np.ndarray, tries: np.ndarray, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
     """Edges (i, j) between positions of ``keys`` that connect just what the links within each trie
     connect; a link is two keys of one trie that differ in at most ``budget`` bits.
 
-    ``keys``: unsigned 64-bit, sorted within each trie; ``tries``: the trie of each, ascending; keys of
-    a trie agree on their first ``shared`` bits. All tries are traversed together, level by level, on
+    ``keys``: unsigned 64-bit, sorted within each trie; ``tries``: the trie of each, ascending.
+    All tries are traversed together, level by level, on
     a stack of bounded chunks of node pairs; a node is a range of sorted keys.
     """
     n = len(keys)
@@ -100,7 +100,7 @@ def trie_links(keys: np.ndarray, tries: np.ndarray, shared: int, budget: int = B
     ends = np.r_[starts[1:], n] if n else starts
     big = ends - starts > 1
     s, e = starts[big], ends[big]
-    stack = [(shared, s, e, s, e, np.zeros(len(s), dtype=np.int64))] if len(s) else []
+    stack = [(0, s, e, s, e, np.zeros(len(s), dtype=np.int64))] if len(s) else []
     while stack:
         level, a0, a1, b0, b1, err = stack.pop()
         if len(a0) > CHUNK:
@@ -171,7 +171,7 @@ def _join_tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
         tries, fps = t["trie"].to_numpy(), t["fp"].to_numpy()
-        i, j = trie_links(t["key"].to_numpy().view(np.uint64), tries, 0)
+        i, j = trie_links(t["key"].to_numpy().view(np.uint64), tries)
         if len(i):
             yield pa.RecordBatch.from_arrays([pa.array(fps[i]), pa.array(fps[j])], schema=_EDGE)
 
