@@ -1,7 +1,8 @@
 """Token ids by the tokenizers library, with a memo for chunks of text.
 
 A text is cut only where its tokenizer is bound to cut as well, so the ids of the chunks, each encoded
-by the library, join to the ids of the text. Chunks recur, so most are looked up.
+by the library, join to the ids of the text. Chunks recur, so most are looked up; new ones are encoded
+many at a time, parted by a character that has a token of its own.
 """
 
 from __future__ import annotations
@@ -10,17 +11,37 @@ import os
 import re
 from collections.abc import Iterable
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 
-#: Chunks that a worker remembers; when full it starts afresh. Bounds memory, not results.
-MEMO = 250_000
-#: Longer chunks are encoded but not remembered.
+#: Chunks that a worker remembers; when full it starts afresh. Bounds memory (about 200 bytes each), not results.
+MEMO = 700_000
+#: The characters of longer chunks are counted; with 16 for each place in the memo it counts as full too.
 LONGEST = 64
+#: Chunks encoded as one string.
+BLOCK = 20
+
+#: White space in a wide sense, the safe side for telling where a tokenizer is bound to cut.
+_WIDE = re.compile(r"[\s\u180e\u200b\ufeff]")
+_EVEN = re.compile(r"(?<![\s\u180e\u200b\ufeff]) (?![\s\u180e\u200b\ufeff])")
+
+
+class _Numbers(dict):
+    """Numbers chunks as they are first looked up."""
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = n = len(self)
+        return n
 
 
 class ChunkEncoder:
-    """``glue``: white space belongs to the next token (byte-level vocabularies); else it is dropped."""
+    """Encodes by chunks; how texts may be cut follows from the tokenizer's own rules.
+
+    "glue": before a single space between other characters (byte-level vocabularies, in which a space
+    belongs to the next token); "drop": at any space or line feed (vocabularies that drop white space);
+    "whole": not at all.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -31,11 +52,13 @@ class ChunkEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.mode = self._mode()
-        self.memo: dict[str, bytes] = {}
+        #: A character that always is a token of its own between chunks, and its id.
+        self.part = {"glue": "\n", "drop": "|"}.get(self.mode, "")
+        self.between = {"glue": "\n", "drop": " | "}.get(self.mode, "")
+        self.part_id = self.tokenizer.encode(self.part, add_special_tokens=False).ids[0] if self.part else -1
+        self._forget()
 
     def _mode(self) -> str:
-        """How texts may be cut: "glue" before a single space between other characters, "drop" at any
-        ASCII space or line feed, "whole" not at all."""
         pre = str(self.tokenizer.pre_tokenizer)
         if self.tokenizer.normalizer is None and pre == "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)":
             return "glue"
@@ -43,38 +66,98 @@ class ChunkEncoder:
             return "drop"
         return "whole"
 
-    #: A space beside other white space or at an end of the text; a wide notion of white space is the safe side.
-    _uneven = re.compile(r"^ | $| [\s\u180e\u200b\ufeff]|[\s\u180e\u200b\ufeff] ")
-    _even = re.compile(r"(?<![\s\u180e\u200b\ufeff]) (?![\s\u180e\u200b\ufeff])")
+    def _forget(self) -> None:
+        self.numbers, self.long = _Numbers(), 0
+        self.flat, self.used = np.zeros(1 << 12, dtype="<u4"), 0
+        self.start, self.length = np.zeros(1 << 10, dtype=np.int64), np.zeros(1 << 10, dtype=np.int32)
 
-    def chunks(self, text: str) -> list[str]:
-        if self.mode == "drop":
-            return text.replace("\n", " ").split(" ")
+    def _cut(self, text: str) -> list[str]:
+        """Chunks without the space before them; the first one in "glue" mode has none and says so."""
         if self.mode == "whole":
             return [text]
-        parts = self._even.split(text) if self._uneven.search(text) else text.split(" ")
-        return [parts[0], *[" " + p for p in parts[1:]]]
+        return (text.replace("\n", " ") if self.mode == "drop" else "\0" + text).split(" ")
+
+    def _as_text(self, chunk: str) -> str:
+        if self.mode != "glue":
+            return chunk
+        return chunk[1:] if chunk[:1] == "\0" else " " + chunk
+
+    def _sound(self, chunk: str) -> bool:
+        """Whether the tokenizer is bound to cut before and after the chunk."""
+        if self.mode != "glue":
+            return True
+        return bool(chunk) and chunk != "\0" and not _WIDE.match(chunk) and not _WIDE.match(chunk[-1]) and not _WIDE.match(chunk[1:2] if chunk[0] == "\0" else "x")
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _store(self, first: int, chunks: list[str]) -> None:
+        """Encode the chunks numbered from ``first`` on; an unsound one gets the length -1."""
+        n = first + len(chunks)
+        if n > len(self.start):
+            self.start = np.resize(self.start, max(n, 2 * len(self.start)))
+            self.length = np.resize(self.length, len(self.start))
+        self.length[first:n] = -1
+        easy, alone = [], []
+        for k, c in enumerate(chunks, first):
+            if self._sound(c):
+                (alone if not c or not self.part or self.part in c or len(c) > LONGEST else easy).append((k, self._as_text(c)))
+        for at in range(0, len(easy), 20_000):
+            some = easy[at : at + 20_000]
+            texts = [self.between.join([t for _, t in some[i : i + BLOCK]]) for i in range(0, len(some), BLOCK)]
+            ids: list[int] = []
+            for found in self._ids(texts):
+                ids += found
+                ids.append(self.part_id)
+            all_ids = np.array(ids, dtype="<u4")
+            ends = np.flatnonzero(all_ids == self.part_id)
+            if len(ends) != len(some):
+                raise ValueError("the tokenizer does not part chunks as expected")
+            lengths = np.diff(ends, prepend=-1) - 1
+            self._keep(np.array([k for k, _ in some]), lengths, all_ids[all_ids != self.part_id])
+        if alone:
+            found = self._ids([t for _, t in alone])
+            self._keep(np.array([k for k, _ in alone]), np.array([len(x) for x in found]), np.array([i for x in found for i in x], dtype="<u4"))
+
+    def _keep(self, numbers: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, max(self.used + len(ids), 2 * len(self.flat)))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[numbers] = self.used + np.cumsum(lengths) - lengths
+        self.length[numbers] = lengths
+        self.used += len(ids)
+
+    def _uneven(self, text: str) -> np.ndarray:
+        """Ids of a text with spaces beside other white space or at its ends."""
+        first, *rest = _EVEN.split(text)
+        return np.array([i for x in self._ids([first, *[" " + c for c in rest]]) for i in x], dtype="<u4")
 
     def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
         """Ids of each text as unsigned 32-bit integers; null counts as empty."""
-        cut = [self.chunks(t) if t else [] for t in texts]
-        memo = self.memo
-        new = {c for chunks in cut for c in chunks if c not in memo}
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = {c for chunks in cut for c in chunks}
-        todo, extra = list(new), {}
-        for at in range(0, len(todo), 20_000):
-            some = todo[at : at + 20_000]
-            for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                (memo if len(c) <= LONGEST else extra)[c] = np.array(e.ids, dtype="<u4").tobytes()
-        out = []
-        for chunks in cut:
-            try:
-                joined = b"".join([memo[c] for c in chunks])
-            except KeyError:
-                joined = b"".join([memo[c] if c in memo else extra[c] for c in chunks])
-            out.append(np.frombuffer(joined, dtype="<u4"))
+        texts = list(texts)
+        if len(self.numbers) > MEMO or self.long > 16 * MEMO:
+            self._forget()
+        numbers, first = self.numbers, len(self.numbers)
+        cut = [self._cut(t) if t else [] for t in texts]
+        counts = np.array([len(c) for c in cut], dtype=np.int64)
+        index = np.fromiter((n for chunks in cut for n in map(numbers.__getitem__, chunks)), dtype=np.int64, count=int(counts.sum()))
+        if len(numbers) > first:
+            new = list(islice(reversed(numbers), len(numbers) - first))[::-1]
+            self._store(first, new)
+            self.long += sum(len(c) for c in new if len(c) > LONGEST)
+        lengths = self.length[index]
+        bad = lengths < 0
+        lengths = np.where(bad, 0, lengths).astype(np.int64)
+        ends = np.cumsum(lengths)
+        where = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.start[index] - (ends - lengths), lengths)
+        ids = self.flat[where]
+        edge = np.cumsum(counts)
+        stops = np.r_[0, ends][edge] if len(edge) else edge
+        out = np.split(ids, stops[:-1]) if len(stops) else []
+        if bad.any():
+            of_text = np.repeat(np.arange(len(cut)), counts)
+            for k in np.unique(of_text[bad]):
+                out[k] = self._uneven(texts[k])
         return out
 
 
