@@ -26,8 +26,8 @@ from .tokenization import encoder
 END_ID = 1
 #: Magic numbers of the seekable format.
 SEEK_FRAME, SEEK_FOOTER, DIRECTORY_FRAME = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50
-#: Bytes of token frames in a file; files follow the input, not the cluster.
-FILE_BYTES = 64 << 20
+#: Documents in a file, about; files follow the input, not the cluster.
+FILE_DOCS = 1 << 14
 
 
 def make_frame(ids: np.ndarray, width: int) -> tuple[bytes, int]:
@@ -38,7 +38,7 @@ def make_frame(ids: np.ndarray, width: int) -> tuple[bytes, int]:
 
 @lru_cache(maxsize=1)
 def _compressor() -> zstandard.ZstdCompressor:
-    return zstandard.ZstdCompressor(level=3, write_checksum=True, write_content_size=True)
+    return zstandard.ZstdCompressor(level=1, write_checksum=True, write_content_size=True)
 
 
 class FrameWriter:
@@ -127,7 +127,7 @@ def write_tokens(
     """Encode every text, append ``end_id`` and write the files; returns the written manifest
     (part, path, n_docs, n_ids). Files in order of part, and documents within them, ascend by doc_id.
 
-    ``files``: number of files; by default follows the size of the input. Null ids come first, and
+    ``files``: number of files; by default follows the number of documents. Null ids come first, and
     documents of one id are ordered by a hash of their text; an id that has the rows of several files
     is spread over them in that order. Null texts are the end id alone. Texts are encoded where they
     are read; only compressed frames are shuffled. Other columns are left out; an empty table gives
@@ -137,8 +137,7 @@ def write_tokens(
     spark = docs.sparkSession
     out = out or work_path(spark, "tokens")
     if files is None:
-        rows, letters = docs.select(F.count("*"), F.sum(F.length(text_col))).first()
-        files = max(1, min(100_000, -(-(letters or 0) // FILE_BYTES)))
+        files = max(1, min(100_000, -(-docs.count() // FILE_DOCS)))
     cuts = np.array(bounds(docs, id_col, int(files)), dtype=np.int64)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
