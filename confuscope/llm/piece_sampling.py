@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +25,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tokenization import Numbers
+
 SEED = 7
 ALPHA = 0.5
 SPACE = "▁"
 #: A literal U+2581 of the text, during encoding: a lone surrogate, which no valid text holds.
 LITERAL = "\udc81"
-#: Words whose lattices a worker keeps, and the longest that is kept; bounds memory, not results.
-KEPT, LONGEST = 200_000, 48
-#: Characters encoded at once.
-GROUP = 2_000_000
+#: Words whose lattices a worker keeps, and the length from which their characters are counted too: with 16
+#: for each place it starts afresh as well. Bounds memory, not results.
+KEPT, LONGEST = 350_000, 48
+#: Characters encoded at once, and rows of a batch that are turned into Python objects at once.
+GROUP, ROWS = 1_000_000, 500
 
 _WORD = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -113,6 +117,22 @@ def piece_model(path: str, alpha: float = ALPHA) -> PieceModel:
     return PieceModel(path, alpha)
 
 
+class _Column:
+    """An array that grows at its end."""
+
+    def __init__(self, kind) -> None:
+        self.data, self.n = np.zeros(1 << 10, dtype=kind), 0
+
+    def extend(self, values: np.ndarray) -> None:
+        end = self.n + len(values)
+        if end > len(self.data):
+            grown = np.zeros(max(end, len(self.data) * 3 // 2), dtype=self.data.dtype)
+            grown[: self.n] = self.data[: self.n]
+            self.data = grown
+        self.data[self.n : end] = values
+        self.n = end
+
+
 class Lattices:
     """Filtered lattices of words. Nodes are numbered through; node ``base[w] + t`` is the place
     after t characters of word w. Arcs into a node lie together, with cumulative probabilities."""
@@ -122,10 +142,10 @@ class Lattices:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.base, self.length = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        self.ptr = np.zeros(1, dtype=np.int64)
-        self.cum, self.back, self.piece = np.zeros(0), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32)
+        self.index, self.long = Numbers(), 0
+        self.base, self.length, self.ptr = _Column(np.int64), _Column(np.int64), _Column(np.int64)
+        self.ptr.extend(np.zeros(1))
+        self.cum, self.back, self.piece = _Column(np.float32), _Column(np.uint8), _Column(np.int32)
 
     def add(self, words: list[str]) -> None:
         """Forward filtering of new words, all at once: by the number of characters before a node."""
@@ -172,45 +192,45 @@ class Lattices:
         cum = run - before
         if len(cum):
             cum[ptr[1:][counts > 0] - 1] = 2.0  # the last arc takes what rounding leaves
-        for k, w in enumerate(words):
-            self.index[w] = len(self.base) + k
-        self.base = np.r_[self.base, first + np.arange(len(words)) + len(self.ptr) - 1]
-        self.length = np.r_[self.length, lens]
-        self.ptr = np.r_[self.ptr, ptr[1:] + self.ptr[-1]]
-        self.cum = np.r_[self.cum, cum]
-        self.back = np.r_[self.back, n.astype(np.int32)]
-        self.piece = np.r_[self.piece, piece.astype(np.int32)]
+        self.long += int(lens[lens > LONGEST].sum())
+        self.base.extend(first + np.arange(len(words)) + self.ptr.n - 1)
+        self.length.extend(lens)
+        self.ptr.extend(ptr[1:] + self.ptr.data[self.ptr.n - 1])
+        self.cum.extend(cum)
+        self.back.extend(n)
+        self.piece.extend(piece)
 
     def sample(self, word: np.ndarray, place: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward sampling of all occurrences: (pieces in order, number for each occurrence).
 
         word: the word of each occurrence; place: its first character in the row; key: of the row.
         """
-        node = self.base[word] + self.length[word]
-        left = self.length[word].copy()
+        ptr, cum, piece, back = self.ptr.data, self.cum.data, self.piece.data, self.back.data
+        left = self.length.data[word]
+        node = self.base.data[word] + left
         live = np.flatnonzero(left > 0)
         steps, number = [], np.zeros(len(word), dtype=np.int64)
         while len(live):
             at, end = node[live], (place[live] + left[live]).astype(np.uint64)
-            arc, last = self.ptr[at], self.ptr[at + 1] - 1
+            arc, last = ptr[at], ptr[at + 1] - 1
             many = np.flatnonzero(last > arc)
-            u = (_mix(key[live[many]] + end[many] * _B1) >> np.uint64(11)) * 2.0**-53
+            u = ((_mix(key[live[many]] + end[many] * _B1) >> np.uint64(40)) * 2.0**-24).astype(np.float32)
             chosen = arc[many]
-            going = np.flatnonzero(u >= self.cum[chosen])
+            going = np.flatnonzero(u >= cum[chosen])
             while len(going):
                 chosen[going] += 1
-                going = going[u[going] >= self.cum[chosen[going]]]
+                going = going[u[going] >= cum[chosen[going]]]
             arc[many] = chosen
-            steps.append((live, self.piece[arc], number[live].copy()))
+            steps.append((live, piece[arc], number[live]))
             number[live] += 1
-            back = self.back[arc]
-            node[live] -= back
-            left[live] -= back
+            step = back[arc]
+            node[live] -= step
+            left[live] -= step
             live = live[left[live] > 0]
         offs = np.cumsum(number) - number
         out = np.zeros(int(number.sum()), dtype=np.int64)
-        for which, piece, k in steps:
-            out[offs[which] + number[which] - 1 - k] = piece
+        for which, found, k in steps:
+            out[offs[which] + number[which] - 1 - k] = found
         return out, number
 
 
@@ -225,39 +245,42 @@ def encode_rows(lattices: Lattices, doc_ids: list[int | None], texts: list[str |
     flat = [w for words in cut for w in words]
     if not flat:
         return [np.zeros(0, dtype="<i4") for _ in texts]
-    new = {w for w in flat if w not in lattices.index}
-    if len(lattices.index) + len(new) > KEPT:
+    if len(lattices.index) > KEPT or lattices.long > 16 * KEPT:
         lattices.clear()
-        new = set(flat)
-    lattices.add(sorted(new))
-    at = lattices.index
-    word = np.fromiter((at[w] for w in flat), dtype=np.int64, count=len(flat))
+    known = len(lattices.index)
+    word = np.fromiter(map(lattices.index.__getitem__, flat), dtype=np.int64, count=len(flat))
+    if len(lattices.index) > known:
+        lattices.add(list(islice(reversed(lattices.index), len(lattices.index) - known))[::-1])
     counts = np.array([len(w) for w in cut])
     row = np.repeat(np.arange(len(cut)), counts)
-    lens = lattices.length[word]
+    lens = lattices.length.data[word]
     run = np.cumsum(lens) - lens
     starts = np.cumsum(counts) - counts
     place = run - run[np.minimum(starts, len(run) - 1)][row]
     pieces, number = lattices.sample(word, place, keys[row])
-    of_row = np.bincount(row, weights=number, minlength=len(cut)).astype(np.int64)
-    out = [x.astype("<i4") for x in np.split(pieces, np.cumsum(of_row)[:-1])]
-    for k in np.flatnonzero([bool((x >= model.size).any()) for x in out]):
-        out[k] = _with_bytes(out[k], model)
-    if any(len(w) > LONGEST for w in new):
-        lattices.clear()
-    return out
-
-
-def _with_bytes(pieces: np.ndarray, model: PieceModel) -> np.ndarray:
-    """Codes of characters beyond the vocabulary become their bytes' pieces."""
-    out: list[int] = []
-    for p in pieces.tolist():
-        if p < model.size:
-            out.append(p)
-        else:
-            c = chr(p - model.size)
-            out.extend(model.bytes_at[list((SPACE if c == LITERAL else c).encode())].tolist())
-    return np.array(out, dtype="<i4")
+    pieces, widths = _with_bytes(pieces, model)
+    of_occurrence = np.repeat(np.arange(len(word)), number)
+    of_row = np.bincount(row[of_occurrence], weights=widths, minlength=len(cut)).astype(np.int64)
+    return np.split(pieces.astype("<i4"), np.cumsum(of_row)[:-1])
+
+
+def _with_bytes(pieces: np.ndarray, model: PieceModel) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of characters beyond the vocabulary become their bytes' pieces; and the number of pieces that
+    each one becomes."""
+    widths = np.ones(len(pieces), dtype=np.int64)
+    at = np.flatnonzero(pieces >= model.size)
+    if not len(at):
+        return pieces, widths
+    codes, which = np.unique(pieces[at] - model.size, return_inverse=True)
+    raw = [(SPACE if chr(c) == LITERAL else chr(c)).encode() for c in codes.tolist()]
+    width = np.array([len(r) for r in raw])
+    table = np.array([model.bytes_at[list(r.ljust(4, b"\0"))] for r in raw])
+    widths[at] = width[which]
+    out, first = np.repeat(pieces, widths), np.cumsum(widths) - widths
+    for k in range(4):
+        some = width[which] > k
+        out[first[at[some]] + k] = table[which[some], k]
+    return out, widths
 
 
 def decode_ids(model: PieceModel, ids: np.ndarray) -> str:
@@ -272,13 +295,15 @@ _TEXTS = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("text", pa.st
 
 def _groups(batch: pa.RecordBatch, chars: int) -> Iterator[tuple[list, list]]:
     ids, texts, size = [], [], 0
-    for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-        ids.append(doc_id)
-        texts.append(text)
-        size += len(text or "")
-        if size >= chars:
-            yield ids, texts
-            ids, texts, size = [], [], 0
+    for lo in range(0, batch.num_rows, ROWS):
+        part = batch.slice(lo, ROWS)
+        for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            ids.append(doc_id)
+            texts.append(text)
+            size += len(text or "")
+            if size >= chars:
+                yield ids, texts
+                ids, texts, size = [], [], 0
     if ids:
         yield ids, texts
 
@@ -310,8 +335,8 @@ def decode_pieces(rows: DataFrame, model_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(model_path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
                 texts = [None if x is None else decode_ids(model, np.frombuffer(x, dtype="<i4")) for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], schema=_TEXTS)
 

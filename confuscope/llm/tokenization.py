@@ -27,7 +27,7 @@ _WIDE = re.compile(r"[\s\u180e\u200b\ufeff]")
 _EVEN = re.compile(r"(?<![\s\u180e\u200b\ufeff]) (?![\s\u180e\u200b\ufeff])")
 
 
-class _Numbers(dict):
+class Numbers(dict):
     """Numbers chunks as they are first looked up."""
 
     def __missing__(self, chunk: str) -> int:
@@ -67,7 +67,7 @@ class ChunkEncoder:
         return "whole"
 
     def _forget(self) -> None:
-        self.numbers, self.long = _Numbers(), 0
+        self.numbers, self.long = Numbers(), 0
         self.flat, self.used = np.zeros(1 << 12, dtype="<u4"), 0
         self.start, self.length = np.zeros(1 << 10, dtype=np.int64), np.zeros(1 << 10, dtype=np.int32)
 
