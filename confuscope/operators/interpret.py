@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import INF, ratio
 from ..model import KEYS
-from .counts import all_label_totals, diagonal, matrix_metrics, off_diagonal, sizes
+from .counts import all_label_totals, diagonal, off_diagonal, sizes
 
 TOP = 10
 
@@ -87,11 +87,34 @@ def mean_row_entropy(cells: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def interpretable_features(cells: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row for each script with all nine measures."""
-    out = matrix_metrics(cells, labels).select("script", "accuracy", "error_rate", "sparsity")
-    for f in (gini, top_error_share, case_confusion_rate, diagonal_dominance, symmetry_score, mean_row_entropy):
-        out = out.join(f(cells, labels), "script")
-    return out
+    """One row for each script with all nine measures.
+
+    What is a sum over single cells comes from one aggregation, for which each confusion is ranked in its
+    script once; symmetry and entropy need the mirrored cells and the rows, an aggregation each.
+    """
+    size = sizes(labels)
+    half = labels.join(size, "script").select("script", "ch", (F.col("idx") < F.floor(F.col("size") / 2)).alias("low"))
+    side = lambda c, name: half.select("script", F.col("ch").alias(c), F.col("low").alias(name))
+    wrong = (F.col("true_char") != F.col("pred_char")) & (F.col("n") > 0)
+    rank = F.row_number().over(W.partitionBy("script", wrong).orderBy(F.desc("n"), *KEYS[1:]))
+    rows = cells.withColumn("wrong", wrong).withColumn("rank", rank)
+    rows = rows.join(side("true_char", "tl"), ["script", "true_char"]).join(side("pred_char", "pl"), ["script", "pred_char"])
+    on = lambda c, x: F.coalesce(F.sum(F.when(c, x)), F.lit(0.0))
+    w, n = F.col("wrong"), F.col("n")
+    sums = rows.groupBy("script").agg(
+        F.sum("n").alias("t"), diagonal().alias("d"), F.sum((n != 0).cast("int")).alias("nnz"), F.sum(w.cast("int")).alias("k"),
+        on(w, n).alias("e"), on(w, F.col("rank") * n).alias("rs"), on(w & (F.col("rank") <= TOP), n).alias("top"), on(w & (F.col("tl") != F.col("pl")), n).alias("cross"))
+    j = size.join(sums, "script", "left").na.fill(0)
+    s, t, d, e = F.col("size").cast("double"), F.col("t"), F.col("d"), F.col("e")
+    off = s * (s - 1)
+    # The r-th largest of ``off`` cells has rank off + 1 - r from below.
+    weighted = (off + 1) * e - F.col("rs")
+    out = j.select(
+        "script", ratio(d, t).alias("accuracy"), (1 - ratio(d, t)).alias("error_rate"), (1 - ratio(F.col("nnz").cast("double"), s * s)).alias("sparsity"),
+        F.when((F.col("size") > 1) & (e > 0), 2 * weighted / (off * e) - (off + 1) / off).otherwise(F.lit(0.0)).alias("gini"),
+        ratio(F.col("top"), e).alias("top_share"), F.when(F.col("size") < 2, F.lit(0.0)).otherwise(F.col("cross") / F.greatest(e, F.lit(1.0))).alias("case_rate"),
+        F.when(e > 0, d / e).when(d > 0, F.lit(INF)).otherwise(F.lit(0.0)).alias("dominance"))
+    return out.join(symmetry_score(cells, labels), "script").join(mean_row_entropy(cells, labels), "script")
 
 
 #: Order of the feature vector; error_rate and case_rate are not part of it.

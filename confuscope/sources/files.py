@@ -181,10 +181,13 @@ def write_labels(truth: DataFrame, folder: str) -> None:
 
 def decode_text(content: Column) -> Column:
     """UTF-8 if valid, else Windows-1251 unless its one undefined byte occurs, else ISO-8859-1."""
-    # Hex digits in pairs: an even place holds the first digit of a byte.
+    # Windows-1251 is no charset of decode(): each byte above 127 is read as its ISO-8859-1 character and
+    # replaced by the one that it stands for. In hex, an even place holds the first digit of a byte.
+    high = [b for b in range(0x80, 0x100) if b != 0x98]
+    cyrillic = F.translate(F.decode(content, "ISO-8859-1"), "".join(map(chr, high)), bytes(high).decode("cp1251"))
     undefined = F.hex(content).rlike("^(?:[0-9A-F]{2})*?98")
     valid = F.is_valid_utf8(content.cast("string"))
-    return F.when(valid, F.decode(content, "UTF-8")).when(undefined, F.decode(content, "ISO-8859-1")).otherwise(F.decode(content, "windows-1251"))
+    return F.when(valid, F.decode(content, "UTF-8")).when(undefined, F.decode(content, "ISO-8859-1")).otherwise(cyrillic)
 
 
 def read_texts(spark: SparkSession, folder: str) -> DataFrame:
