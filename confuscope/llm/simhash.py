@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from math import acos, pi
 
 import numpy as np
 import pandas as pd
@@ -32,8 +33,8 @@ BUDGET = 3
 BITS = 64
 #: Fingerprints in one trie before it is dealt out further.
 SPLIT = 50_000
-#: Pairs compared at once; bounds memory.
-CHUNK = 1 << 18
+#: Pairs of nodes or keys that are looked at together; bounds memory.
+CHUNK = 1 << 15
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -80,15 +81,30 @@ class _Forest:
             i = p[i]
         return int(i)
 
-    def link(self, i: int, j: int) -> None:
-        a, b = self.find(i), self.find(j)
-        if a != b:
-            self.parent[max(a, b)] = min(a, b)
-
-
-def trie_links(keys: np.ndarray, tries: np.ndarray, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
+    def roots(self) -> np.ndarray:
+        """The root of every position; paths are shortened to it."""
+        while True:
+            up = self.parent[self.parent]
+            if (up == self.parent).all():
+                return up
+            self.parent = up
+
+    def link(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Pairs that are connected already are passed over together."""
+        if len(i) > 32:
+            r = self.roots()
+            pairs = np.unique(np.stack([np.minimum(r[i], r[j]), np.maximum(r[i], r[j])], axis=1), axis=0)
+            i, j = pairs[pairs[:, 0] != pairs[:, 1]].T
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            a, b = self.find(x), self.find(y)
+            if a != b:
+                self.parent[max(a, b)] = min(a, b)
+
+
+def trie_links(keys: np.ndarray, tries: np.ndarray, budget: int = BUDGET, wide: np.ndarray | None = None, wide_budget: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Edges (i, j) between positions of ``keys`` that connect just what the links within each trie
-    connect; a link is two keys of one trie that differ in at most ``budget`` bits.
+    connect; a link is two keys of one trie that differ in at most ``budget`` bits and, if rows of
+    further words ``wide`` are given, differ in at most ``wide_budget`` bits of these.
 
     ``keys``: unsigned 64-bit, sorted within each trie; ``tries``: the trie of each, ascending.
     All tries are traversed together, level by level, on
@@ -108,19 +124,13 @@ def trie_links(keys: np.ndarray, tries: np.ndarray, budget: int = BUDGET) -> tup
             stack.append((level, *(x[half:] for x in (a0, a1, b0, b1, err))))
             stack.append((level, *(x[:half] for x in (a0, a1, b0, b1, err))))
             continue
-        # Pairs of few keys are compared directly.
-        few = (a1 - a0) * (b1 - b0) <= 16
-        if level >= BITS:
-            few[:] = False
+        # Pairs of few keys, and of equal ones, are compared directly.
+        few = ((a1 - a0) * (b1 - b0) <= 16) | (level >= BITS)
         if few.any():
-            _compare(keys, forest, a0[few], a1[few], b0[few], b1[few], budget)
+            _compare(keys, forest, a0[few], a1[few], b0[few], b1[few], budget, wide, wide_budget)
             a0, a1, b0, b1, err = (x[~few] for x in (a0, a1, b0, b1, err))
         if not len(a0):
             continue
-        if level >= BITS:  # equal keys
-            for x, y in zip(a0, b0, strict=True):
-                forest.link(int(x), int(y))
-            continue
         am, bm = _middle(keys, a0, a1, level), _middle(keys, b0, b1, level)
         same = (a0 == b0) & (a1 == b1)
         out = []
@@ -133,8 +143,9 @@ def trie_links(keys: np.ndarray, tries: np.ndarray, budget: int = BUDGET) -> tup
                 ok &= keep
             out.append((lo1[ok], hi1[ok], lo2[ok], hi2[ok], err[ok] + add))
         stack.append((level + 1, *(np.concatenate(x) for x in zip(*out, strict=True))))
-    child = np.flatnonzero(forest.parent != np.arange(n))
-    return child, np.array([forest.find(int(i)) for i in child], dtype=np.int64)
+    roots = forest.roots()
+    child = np.flatnonzero(roots != np.arange(n))
+    return child, roots[child]
 
 
 def _middle(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, level: int) -> np.ndarray:
@@ -151,23 +162,33 @@ def _middle(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, level: int) -> np.
         lo = np.where(open_ & ~set_, mid + 1, lo)
 
 
-def _compare(keys: np.ndarray, forest: _Forest, a0, a1, b0, b1, budget: int) -> None:
-    na, nb = a1 - a0, b1 - b0
-    sizes = na * nb
-    which = np.repeat(np.arange(len(a0)), sizes)
-    k = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    i, j = a0[which] + k // nb[which], b0[which] + k % nb[which]
-    ok = (i != j) & (np.bitwise_count(keys[i] ^ keys[j]) <= budget)
-    for x, y in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
-        forest.link(x, y)
+def _compare(keys: np.ndarray, forest: _Forest, a0, a1, b0, b1, budget: int, wide: np.ndarray | None, wide_budget: int) -> None:
+    """Link all pairs across each pair of ranges that are near enough, a bounded number at a time."""
+    while (large := ((a1 - a0) * (b1 - b0) > CHUNK) & (a1 - a0 > 1)).any():
+        mid = (a0[large] + a1[large]) // 2
+        a0, a1, b0, b1 = (np.r_[x[~large], y, z] for x, y, z in (
+            (a0, a0[large], mid), (a1, mid, a1[large]), (b0, b0[large], b0[large]), (b1, b1[large], b1[large])))
+    sizes = (a1 - a0) * (b1 - b0)
+    group = np.cumsum(sizes) // CHUNK
+    for g in np.unique(group):
+        at = group == g
+        size, nb = sizes[at], (b1 - b0)[at]
+        which = np.repeat(np.arange(len(size)), size)
+        k = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
+        i, j = a0[at][which] + k // nb[which], b0[at][which] + k % nb[which]
+        ok = (i != j) & (np.bitwise_count(keys[i] ^ keys[j]) <= budget)
+        i, j = i[ok], j[ok]
+        if wide is not None and len(i):
+            ok = np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1) <= wide_budget
+            i, j = i[ok], j[ok]
+        forest.link(i, j)
 
 
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _join_tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (trie, key, fp) sorted by trie and key; whole tries are taken up to a bounded number of rows."""
-    held: list[pa.RecordBatch] = []
+    """Rows (trie, key, fp) sorted by trie and key."""
 
     def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
         tries, fps = t["trie"].to_numpy(), t["fp"].to_numpy()
@@ -175,6 +196,12 @@ def _join_tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(i):
             yield pa.RecordBatch.from_arrays([pa.array(fps[i]), pa.array(fps[j])], schema=_EDGE)
 
+    yield from _whole_tries(batches, run)
+
+
+def _whole_tries(batches: Iterator[pa.RecordBatch], run) -> Iterator[pa.RecordBatch]:
+    """Hand on whole tries, many small ones together; of sorted rows a bounded number is held."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -240,7 +267,11 @@ def fingerprint_edges(distinct: DataFrame) -> DataFrame:
 def group_fingerprints(fps: DataFrame) -> DataFrame:
     """(fp, component): component is the smallest fingerprint that is reachable; only fingerprints
     with a link appear."""
-    edges = written(fingerprint_edges(fps), "links")
+    return _components(fingerprint_edges(fps))
+
+
+def _components(edges: DataFrame) -> DataFrame:
+    edges = written(edges, "links")
     if edges.isEmpty():
         return edges.select(F.col("a").alias("fp"), F.col("b").alias("component"))
     return connected_components(edges).select(F.col("node").alias("fp"), "component")
@@ -264,18 +295,106 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+# ------------------------------------------------------------------------- near copies by similarity
+
+#: The stage's near copies: word shingles, the Jaccard similarity of their sets, and how it is seen.
+WIDE_SHINGLE, SIMILARITY = 5, 0.8
+WIDE_BITS, MINS = 512, 6
+#: Share of bits in which sets of that similarity differ (the angle between them), and budgets that far beyond it
+#: in deviations: one on all bits, four on the first word, which only steers the traversal.
+_SHARE = acos(2 * SIMILARITY / (1 + SIMILARITY)) / pi
+WIDE_BUDGET = round(WIDE_BITS * _SHARE + (WIDE_BITS * _SHARE * (1 - _SHARE)) ** 0.5)
+FIRST_BUDGET = round(BITS * _SHARE + 4 * (BITS * _SHARE * (1 - _SHARE)) ** 0.5)
+_C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_LANES = (np.arange(1, WIDE_BITS // 64 + MINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _C1
+    x = (x ^ (x >> np.uint64(27))) * _C2
+    return x ^ (x >> np.uint64(31))
+
+
+def wide_signature(text: str | None) -> tuple[bytes, list[int]]:
+    """SimHash of WIDE_BITS bits over the set of shingles, and the minima of MINS hashes over it."""
+    words = _WORD.findall((text or "").translate(_UPPER))
+    k = WIDE_SHINGLE
+    grams = {" ".join(words)} if len(words) <= k else set(map(" ".join, zip(*(words[i:] for i in range(k)), strict=False)))
+    h = np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), dtype=np.uint64, count=len(grams))
+    total, lanes = np.zeros(WIDE_BITS, dtype=np.int64), WIDE_BITS // 64
+    for at in range(0, len(h), 255):
+        bits = np.unpackbits(_mix(h[at : at + 255, None] ^ _LANES[:lanes]).view(np.uint8), axis=1, bitorder="little")
+        total += bits.view(np.uint64).sum(axis=0).view(np.uint8)  # 255 rows fit in a byte for each bit
+    mins = [int(_mix(h ^ c).min()) for c in _LANES[lanes:]]
+    return np.packbits(2 * total > len(h), bitorder="little").tobytes(), mins
+
+
+_SIGNED = T.StructType([T.StructField("sig", T.BinaryType()), T.StructField("mins", T.ArrayType(T.LongType()))])
+
+
+@F.pandas_udf(_SIGNED)
+def _wide_udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for texts in batches:
+        found = [wide_signature(t) for t in texts]
+        yield pd.DataFrame({"sig": [f[0] for f in found], "mins": [np.array(f[1], dtype=np.uint64).view(np.int64) for f in found]})
+
+
+def _join_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As _join_tries, for rows (trie, fp, sig): the trie is over the signature's first word."""
+
+    def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        tries, fps = t["trie"].to_numpy(), t["fp"].to_numpy()
+        words = np.frombuffer(b"".join(t["sig"].to_pylist()), dtype="<u8").reshape(-1, WIDE_BITS // 64)
+        order = np.lexsort((words[:, 0], tries))
+        words, fps = words[order], fps[order]
+        i, j = trie_links(np.ascontiguousarray(words[:, 0]), tries[order], FIRST_BUDGET, words, WIDE_BUDGET)
+        if len(i):
+            yield pa.RecordBatch.from_arrays([pa.array(fps[i]), pa.array(fps[j])], schema=_EDGE)
+
+    yield from _whole_tries(batches, run)
+
+
+def similar_edges(distinct: DataFrame) -> DataFrame:
+    """(a, b) of rows (fp, sig, mins), one for each signature: they connect what similarity connects.
+
+    Sets of similarity s have a given minimum in common with probability s, so near copies meet in one of the
+    tries that the MINS minima name. A trie that a frequent passage makes large is dealt out by the other
+    minima, twice if need be.
+    """
+    pick = lambda used: F.array(*[F.lit(k) for k in range(MINS)]) if used is None else F.array_except(F.array(*[F.lit(k) for k in range(MINS)]), used)
+    rows = distinct.select("fp", "sig", "mins", F.array().cast("array<int>").alias("used"), F.lit(0).cast("long").alias("trie"))
+    parts = []
+    for last in (False, False, True):
+        dealt = rows.select("fp", "sig", "mins", "used", "trie", F.explode(pick(F.col("used"))).alias("k"))
+        used = F.array_sort(F.concat("used", F.array("k")))
+        dealt = dealt.select("fp", "sig", "mins", used.alias("used"), F.xxhash64("trie", "k", F.element_at("mins", F.col("k") + 1)).alias("trie"))
+        large = None if last else written(dealt.groupBy("trie").agg(F.count("*").alias("size")).where(F.col("size") > SPLIT), "large")
+        if large is None or large.isEmpty():
+            parts.append(dealt)
+            break
+        parts.append(dealt.join(large, "trie", "left_anti"))
+        rows = written(dealt.join(large.select("trie"), "trie", "left_semi"), "dealt")
+    out = None
+    for part in parts:
+        keyed = part.select("trie", "fp", "sig").repartition(F.col("trie")).sortWithinPartitions("trie")
+        found = keyed.mapInArrow(_join_wide, "a long, b long")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with one document of each component, the one with the smallest id
+    """The rows of ``docs`` with one document of each group of near copies, the one with the smallest id
     (null ids last; ties by a hash of the text; rows that are equal in id and text once).
 
-    Only documents of components with several rows are looked up in the list of those that stay.
+    Near copies are connected by signatures as far apart as sets of five-word shingles of Jaccard similarity
+    SIMILARITY are, or nearer. Rows are looked up in the list of the members of groups of several rows.
     """
-    keys = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(col_of(text_col), F.lit(""))).alias("text_key"),
-                       _fingerprint_udf(F.col(text_col)).alias("fp"))
-    rows = written(keys, "fingerprints")
+    keys = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(col_of(text_col), F.lit(""))).alias("text_key"), _wide_udf(F.col(text_col)).alias("s"))
+    signed = written(keys.select("doc_id", "text_key", F.xxhash64("s.sig").alias("fp"), "s.sig", "s.mins"), "signatures")
+    rows = signed.select("doc_id", "text_key", "fp")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     by_fp = written(rows.groupBy("fp").agg(F.min(order).alias("best"), F.count("*").alias("n")), "distinct")
-    groups = group_fingerprints(by_fp.select("fp"))
+    groups = _components(similar_edges(signed.select("fp", "sig", "mins").dropDuplicates(["fp"])))
     whole = by_fp.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     lows = whole.groupBy("component").agg(F.min("best").alias("best"), F.sum("n").alias("n")).where("n > 1")
     shared = whole.select("fp", "component").join(lows.select("component", "best"), "component").select("fp", "best")
@@ -287,7 +406,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     known = listed.select(F.col("doc_id").alias(i), F.col("text_key").alias(t), F.col("stay").alias(stay), F.col("n").alias(n))
     keyed = docs.withColumn(t, F.xxhash64(F.coalesce(col_of(text_col), F.lit(""))))
     own = [c if c != t else t for c in docs.columns]
-    looked = keyed.join(known.withColumnRenamed(t, t + "r"), col_of(id_col).eqNullSafe(F.col(i)) & (F.col(t) == F.col(t + "r")), "left")
+    # Sorted on both sides at any size, so that the plan that is tested is the plan that runs on a large corpus.
+    looked = keyed.join(known.withColumnRenamed(t, t + "r").hint("merge"), col_of(id_col).eqNullSafe(F.col(i)) & (F.col(t) == F.col(t + "r")), "left")
     kept = looked.where(F.col(stay).isNull() | F.col(stay))
     if listed.where("stay and n > 1").isEmpty():
         return kept.select(*[col_of(c) for c in own])

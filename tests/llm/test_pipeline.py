@@ -5,8 +5,7 @@ from confuscope.llm import quality_rules as q
 from confuscope.llm.queries import ORACLE_SQL, QUERIES
 
 from .test_exact_dedup import brute as exact
-from .test_simhash import brute_fp, links
-from .test_components import brute as components
+from .test_simhash import wide_components
 
 
 def test_names():
@@ -24,12 +23,10 @@ def test_stages_match_brute_force(spark, docs, docs_rows, tmp_path, empty_docs):
             rows.append((i, t))
     groups = exact(rows)
     rows = [r for r in dict.fromkeys(rows) if groups[re.sub(r"[\x20\x09-\x0D]", "", r[1])][0] == r[0]]
-    fps = {r: brute_fp(r[1]) for r in rows}
-    comp = components(links(fps.values()))
-    best = {}
-    for (i, t), f in fps.items():
+    of, best = wide_components([t for _, t in rows]), {}
+    for i, t in rows:
         key = (i is None, i or 0)
-        best[comp.get(f, f)] = min(best.get(comp.get(f, f), key), key)
+        best[of[t]] = min(best.get(of[t], key), key)
     want = sorted(str(None if none else i) for none, i in best.values())
     now = spark.read.parquet(f"{d}/documents.parquet")
     for k, (_, stage) in enumerate(cp.STAGES[:-1]):

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from confuscope.llm import simhash as s
@@ -36,17 +37,70 @@ def test_near_duplicates(spark, docs, docs_rows, empty_docs):
     assert s.near_duplicates(empty_docs).count() == 0
 
 
-def test_drop(spark, docs, docs_rows, empty_docs):
-    fps = {(d, t): brute_fp(t) for d, t in docs_rows}
-    comp = components(links(fps.values()))
+def bits_apart(x, y):
+    return bin(int.from_bytes(x, "big") ^ int.from_bytes(y, "big")).count("1")
+
+
+def wide_components(texts):
+    """Components of texts by all pairs; keys are the distinct signatures."""
+    sigs = {t: s.wide_signature(t) for t in set(texts)}
+    edges, items = [], sorted(set((x, tuple(m)) for x, m in sigs.values()))
+    for i, (x, m) in enumerate(items):
+        for y, n in items[i + 1 :]:
+            if bits_apart(x, y) <= s.WIDE_BUDGET and bits_apart(x[:8], y[:8]) <= s.FIRST_BUDGET and any(p == q for p, q in zip(m, n, strict=True)):
+                edges.append((x, y))
+    comp = components(edges)
+    return {t: comp.get(x, x) for t, (x, _) in sigs.items()}
+
+
+def brute_wide(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", low)
+    return {" ".join(words[i : i + 5]) for i in range(len(words) - 4)} or {" ".join(words)}
+
+
+def test_wide_signature_is_a_simhash_of_the_set(docs_rows):
+    for _, text in docs_rows[:30]:
+        hashes = [xxhash.xxh64_intdigest(g, 42) for g in brute_wide(text)]
+        sig, mins = s.wide_signature(text)
+        for lane in range(s.WIDE_BITS // 64):
+            words = [int(s._mix(np.uint64(h) ^ s._LANES[lane])) for h in hashes]
+            want = sum(1 << b for b in range(64) if 2 * sum(w >> b & 1 for w in words) > len(words))
+            assert int.from_bytes(sig[8 * lane : 8 * lane + 8], "little") == want
+        assert mins == [min(int(s._mix(np.uint64(h) ^ c)) for h in hashes) for c in s._LANES[s.WIDE_BITS // 64 :]]
+
+
+def edited(rng, words, share):
+    return [w if rng.random() >= share else f"new{rng.randrange(10**6)}" for w in words]
+
+
+def test_near_copies_are_those_of_the_stated_similarity():
+    rng = random.Random(8)
+    caught = {True: [], False: []}
+    for _ in range(150):
+        a = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(120, 500))]
+        b = edited(rng, a, rng.choice([0.01, 0.015, 0.12]))
+        x, y = brute_wide(" ".join(a)), brute_wide(" ".join(b))
+        similarity = len(x & y) / len(x | y)
+        linked = len(set(wide_components([" ".join(a), " ".join(b)]).values())) == 1
+        if similarity >= 0.85 or similarity <= 0.55:
+            caught[similarity >= 0.85].append(linked)
+    assert len(caught[True]) > 50 and sum(caught[True]) >= 0.99 * len(caught[True])
+    assert len(caught[False]) > 30 and not any(caught[False])
+
+
+@pytest.mark.parametrize("split", [None, 3])
+def test_drop(spark, docs, docs_rows, empty_docs, monkeypatch, split):
+    if split:
+        monkeypatch.setattr(s, "SPLIT", split)
+    of = wide_components([t for _, t in docs_rows])
     out = s.drop_near_duplicates(docs)
     assert out.columns == docs.columns
     rows = [(r["doc_id"], r["text"]) for r in out.collect()]
-    classes = [comp.get(fps[r], fps[r]) for r in rows]
-    assert len(classes) == len(set(classes)) == len({comp.get(f, f) for f in fps.values()})
-    for r in rows:
-        ids = [d for (d, t), f in fps.items() if comp.get(f, f) == comp.get(fps[r], fps[r]) and d is not None]
-        assert r[0] == (min(ids) if ids else None)
+    assert len(rows) == len({of[t] for _, t in rows}) == len(set(of.values()))
+    for d, t in rows:
+        ids = [k for k, x in docs_rows if of[x] == of[t] and k is not None]
+        assert d == (min(ids) if ids else None)
     assert s.drop_near_duplicates(empty_docs).count() == 0
 
 
