@@ -151,7 +151,8 @@ SELECT script, count(*) AS original_size, sum((s >= 950)::INT)::BIGINT AS pruned
     "interpretable_features_events": counted(EVENT, f"SELECT script, {r6(*FEATURE_NAMES)} FROM features", FEATURES),
     "row_entropies": counted(NATION, f"SELECT script, ch, {r6('entropy')} FROM re", FEATURES),
     "row_column_spread": counted(NATION, f"SELECT script, {r6('row_variance', 'col_variance')}, zero_rows, zero_cols FROM spread", SPREAD),
-    "row_normalize": counted(NATION, "SELECT script, true_char, pred_char, round(n / sum(n) OVER (PARTITION BY script, true_char), 6) AS n FROM cells"),
+    "row_normalize": counted(NATION, """SELECT script, true_char, pred_char, round(CASE WHEN s > 0 THEN n / s ELSE 1 / size::DOUBLE END, 6) AS n
+FROM (SELECT *, sum(n) OVER (PARTITION BY script, i) AS s FROM dense) JOIN sizes USING (script) WHERE n > 0 OR s = 0""", DENSE),
     "symmetrize": counted(NATION, "SELECT a.script, a.true_char, a.pred_char, (a.n + b.n) / 2 AS n FROM dense a JOIN dense b ON a.script = b.script AND a.i = b.j AND a.j = b.i WHERE a.n + b.n > 0", DENSE),
     "laplacian_normalized": counted(TRI, f"SELECT script, i, j, {r6('x')} FROM lap", DENSE + SINKHORN + SPECTRA, True),
     "laplacian_plain": counted(TRI, """, w AS (SELECT a.script, a.true_char, a.pred_char, a.i, a.j, (a.n + b.n) / 2 AS x FROM dense a JOIN dense b ON a.script = b.script AND a.i = b.j AND a.j = b.i)
