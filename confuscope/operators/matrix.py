@@ -187,3 +187,18 @@ def eigen_table(cells: DataFrame, labels: DataFrame, source_type: str = "bistoch
         return pd.DataFrame({"script": script, "k": range(len(lam)), "re": lam.real, "im": lam.imag, "magnitude": np.abs(lam)})
 
     return per_script(cells, labels, f, "script string, k int, re double, im double, magnitude double")
+
+
+def eigen_summary(eigen: DataFrame, laplacian: bool = False) -> DataFrame:
+    """(script, is_real, spectral_gap, fiedler_value) of eigen_table: real if no imaginary part exceeds 1e-10; gap
+    1 - second magnitude and Fiedler value (of a Laplacian, else null) second smallest real part, 0 below two values."""
+    second = lambda xs: F.when(F.size(xs) > 1, F.element_at(xs, 2)).otherwise(F.lit(0.0))
+    g = eigen.groupBy("script").agg(
+        (F.max(F.abs("im")) <= 1e-10).alias("is_real"), F.sort_array(F.collect_list("magnitude"), asc=False).alias("mags"), F.sort_array(F.collect_list("re")).alias("res"))
+    gap = F.when(F.size("mags") > 1, 1 - F.element_at("mags", 2)).otherwise(F.lit(0.0))
+    fiedler = second(F.col("res")) if laplacian else F.lit(None).cast("double")
+    return g.select("script", "is_real", gap.alias("spectral_gap"), fiedler.alias("fiedler_value"))
+
+
+def top_eigenvalues(eigen: DataFrame, k: int) -> DataFrame:
+    return eigen.where(F.col("k") < k)
