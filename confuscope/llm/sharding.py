@@ -20,6 +20,13 @@ SHARDS = 8
 BUCKET_BYTES = 4 << 20
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Rows with the number of each among its equals (h and c are hashes of id and text). Equal rows are
+    merged within tasks before the shuffle and made again after it, so they never meet in one task."""
+    merged = rows.groupBy("h", "c").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("n"))
+    return merged.select("doc_id", "text", "h", "c", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("copy"))
+
+
 def shuffle_to_shards(
     docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text",
     bucket_bytes: int = BUCKET_BYTES, out: str | None = None,
@@ -27,8 +34,8 @@ def shuffle_to_shards(
     """Write the shards and read them back: (doc_id, text, shard, slot).
 
     Files lie under ``shard=k`` folders of ``out`` (by default a folder in the shared one). Null texts
-    stay null and null ids are hashed like values; rows equal in id and text are interchangeable
-    and share a bucket; texts of any length are kept whole; other columns are left out; an empty
+    stay null and null ids are hashed like values; rows equal in id and text are numbered, so that
+    they scatter like others; texts of any length are kept whole; other columns are left out; an empty
     table gives no rows. The seed fixes the order for given rows and partitioning. A list
     of buckets with their sizes, a few dozen bytes for each ``bucket_bytes`` of text, is joined by bucket.
     """
@@ -37,10 +44,13 @@ def shuffle_to_shards(
     spark = docs.sparkSession
     out = out or work_path(spark, "shards")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    n_bytes = rows.select(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    buckets = max(1, -(-n_bytes // bucket_bytes))
-    bucket = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(buckets)).cast("int")
-    scattered = rows.select(bucket.alias("bucket"), "doc_id", "text")
+    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "text")).withColumn("c", F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(-1)))
+    keys = rows.groupBy("h", "c").agg(F.count("*").alias("n"), F.sum(F.octet_length("text") + 16).alias("bytes"))
+    n_bytes, most = keys.agg(F.sum("bytes"), F.max("n")).first()
+    buckets = max(1, -(-(n_bytes or 0) // bucket_bytes))
+    rows = _numbered(rows) if (most or 0) > 1 else rows.withColumn("copy", F.lit(0))
+    bucket = F.pmod(F.xxhash64("h", "copy"), F.lit(buckets)).cast("int")
+    scattered = rows.select(bucket.alias("bucket"), "doc_id", "text", "h", "copy")
     sizes = scattered.groupBy("bucket").agg(F.count("*").alias("n"))
     # Offsets of buckets, in order; a row for each bucket.
     table = [(r["bucket"], r["n"]) for r in sizes.collect()]
@@ -49,7 +59,7 @@ def shuffle_to_shards(
         offsets.append((b, base))
         base += n
     order = spark.createDataFrame(offsets, "bucket int, base long")
-    record = F.struct(F.xxhash64(F.lit(seed + 1), "doc_id", "text").alias("h"), "doc_id", "text")
+    record = F.struct("h", "copy", "doc_id", "text")
     gathered = scattered.repartition("bucket").groupBy("bucket").agg(F.array_sort(F.collect_list(record)).alias("records"))
     mixed = gathered.join(order, "bucket").select("base", F.shuffle("records", F.lit(seed)).alias("records"))
     shuffled = mixed.select("base", F.posexplode("records").alias("pos", "r"))

@@ -24,3 +24,11 @@ def test_seed(spark, docs):
 def test_fewer_rows_than_shards(spark, docs):
     rows = shuffle_to_shards(docs.where("doc_id in (1, 2)")).collect()
     assert sorted((r["shard"], r["slot"]) for r in rows) == [(0, 0), (1, 0)]
+
+
+def test_many_equal_rows_scatter(spark):
+    df = spark.createDataFrame([(1, "same text")] * 3000 + [(k, f"text {k}") for k in range(1000)] + [(None, None)] * 50, "doc_id long, text string")
+    rows = shuffle_to_shards(df, bucket_bytes=4_000).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in rows) == Counter(tuple(r) for r in df.collect())
+    first = [r["doc_id"] == 1 and r["text"] == "same text" for r in sorted(rows, key=lambda r: (r["slot"], r["shard"]))][:1000]
+    assert 0.6 < sum(first) / 1000 < 0.85
