@@ -30,9 +30,9 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_r
 RULES: tuple[tuple[str, str], ...] = (
     ("few_words", "n_words < 10"),
     ("repeated_windows", "100 * n_repeat_words > 20 * n_words"),
-    ("symbols", "10 * n_symbols > n_words"),
+    ("symbols", "n_symbols > n_words"),
     ("word_length", "word_chars < 2 * n_words or word_chars > 12 * n_words"),
-    ("duplicate_lines", "10 * n_dup_lines > 3 * n_lines"),
+    ("duplicate_lines", "2 * n_dup_lines > n_lines"),
 )
 BITS = {name: 1 << k for k, (name, _) in enumerate(RULES)}
 

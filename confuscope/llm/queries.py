@@ -156,8 +156,8 @@ m AS (
          coalesce(c.n, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0)::BIGINT AS n_lines
   FROM d LEFT JOIN covered c ON d.r = c.r LEFT JOIN lines l ON d.r = l.r),
 f AS (
-  SELECT *, ((n_words < 10)::INT + 2 * (100 * n_repeat_words > 20 * n_words)::INT + 4 * (10 * n_symbols > n_words)::INT
-    + 8 * (word_chars < 2 * n_words OR word_chars > 12 * n_words)::INT + 16 * (10 * n_dup_lines > 3 * n_lines)::INT)::BIGINT AS failed FROM m)
+  SELECT *, ((n_words < 10)::INT + 2 * (100 * n_repeat_words > 20 * n_words)::INT + 4 * (n_symbols > n_words)::INT
+    + 8 * (word_chars < 2 * n_words OR word_chars > 12 * n_words)::INT + 16 * (2 * n_dup_lines > n_lines)::INT)::BIGINT AS failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, failed, failed & 3 <> 0 AS base_failed, failed & 31 = 0 AS kept FROM f
 """,
     "op5_exact_dedup": r"""

@@ -19,7 +19,7 @@ def test_stages_match_brute_force(spark, docs, docs_rows, tmp_path, empty_docs):
     rows = []
     for i, t in docs_rows:
         n, chars, symbols, lines, dup, rep = q.measure(t)
-        if not (n < 10 or 100 * rep > 20 * n or 10 * symbols > n or not 2 * n <= chars <= 12 * n or 10 * dup > 3 * lines):
+        if not (n < 10 or 100 * rep > 20 * n or symbols > n or not 2 * n <= chars <= 12 * n or 2 * dup > lines):
             rows.append((i, t))
     groups = exact(rows)
     rows = [r for r in dict.fromkeys(rows) if groups[re.sub(r"[\x20\x09-\x0D]", "", r[1])][0] == r[0]]
