@@ -245,9 +245,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, all columns as they were, whatever their names.
 
-    Texts that occur once pass without a join on them when the index shows no duplicates at all;
-    otherwise rows are looked up in the list of groups, which adaptive execution splits where one
-    text is very frequent.
+    Without duplicates in the index the rows pass as they are; otherwise they are looked up by digest in
+    the list of groups, a join that adaptive execution splits where one text is very frequent.
     """
     rows = written(digests(docs, id_col, text_col), "digests")
     groups = written(update_index(_as_state(rows)).where("n > 1"), "groups")
@@ -261,7 +260,8 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         F.col("digest").alias(digest), F.col("keep_id").alias(keep), F.col("keep_chars").alias(at), F.col("tied").alias(tied)), "known")
     keyed = docs.withColumn(digest, F.unhex(F.sha2(normalised(F.col(text_col)).cast("binary"), 256)))
     keyed = keyed.withColumn(chars, F.coalesce(F.char_length(col_of(text_col)), F.lit(0)).cast("long"))
-    looked = keyed.join(known, digest, "left")
+    # Sorted on both sides at any size, so that the plan that is tested is the plan that runs on a large corpus.
+    looked = keyed.join(known.hint("merge"), digest, "left")
     stays = looked.where(F.col(tied).isNull() | (col_of(id_col).cast("long").eqNullSafe(F.col(keep)) & (F.col(chars) == F.col(at))))
     if known.where(F.col(tied) > 1).isEmpty():
         return stays.select(*[col_of(c) for c in docs.columns])
