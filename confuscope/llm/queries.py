@@ -159,6 +159,16 @@ f AS (
   SELECT *, ((n_words < 10)::INT + 2 * (100 * n_repeat_words > 20 * n_words)::INT + 4 * (n_symbols > n_words)::INT
     + 8 * (word_chars < 2 * n_words OR word_chars > 12 * n_words)::INT + 16 * (2 * n_dup_lines > n_lines)::INT)::BIGINT AS failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, failed, failed & 3 <> 0 AS base_failed, failed & 31 = 0 AS kept FROM f
+""",
+    "op4_chat_masks": r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(15 + length(regexp_replace(role, '(\\|###|</turn>|:|\n)', 'X\1', 'g')) + length(regexp_replace(text, '(\\|###|</turn>)', 'X\1', 'g')))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
 """,
     "op5_exact_dedup": r"""
 WITH d AS (
