@@ -42,6 +42,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_work(spark: SparkSession) -> None:
+    """Delete all tables and files that operators wrote under the shared folder; results that still read
+    them must have been written elsewhere."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/work")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have, whatever its case."""
     taken, name = {c.lower() for c in df.columns}, f"__{stem}"
