@@ -289,7 +289,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by_fp = written(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
     groups = group_fingerprints(by_fp.select("fp"))
     linked = by_fp.join(groups, "fp")
-    lows = linked.groupBy("component").agg(F.min("low").alias("low"))
+    # Written, so that the join with it deals out both sides and a large component can be split.
+    lows = written(linked.groupBy("component").agg(F.min("low").alias("low")), "lows")
     new = linked.select("fp", "component").join(lows, "component").select("fp", F.col("low").alias("linked_low"))
     labels = written(by_fp.join(new, "fp", "left").select("fp", F.coalesce("linked_low", "low").alias("component_id")), "labels")
     return rows.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -396,7 +397,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     by_fp = written(rows.groupBy("fp").agg(F.min(order).alias("best"), F.count("*").alias("n")), "distinct")
     groups = _components(similar_edges(signed.select("fp", "sig", "mins").dropDuplicates(["fp"])))
     whole = by_fp.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    lows = whole.groupBy("component").agg(F.min("best").alias("best"), F.sum("n").alias("n")).where("n > 1")
+    # Written, so that the join with it deals out both sides and a large component can be split.
+    lows = written(whole.groupBy("component").agg(F.min("best").alias("best"), F.sum("n").alias("n")).where("n > 1"), "lows")
     shared = whole.select("fp", "component").join(lows.select("component", "best"), "component").select("fp", "best")
     members = rows.join(shared, "fp").select("doc_id", "text_key", (order == F.col("best")).alias("stay"))
     listed = written(members.groupBy("doc_id", "text_key").agg(F.max("stay").alias("stay"), F.count("*").alias("n")), "members")
