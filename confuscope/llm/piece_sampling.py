@@ -34,7 +34,7 @@ SPACE = "▁"
 LITERAL = "\udc81"
 #: Words whose lattices a worker keeps, and the length from which their characters are counted too: with 16
 #: for each place it starts afresh as well. Bounds memory, not results.
-KEPT, LONGEST = 350_000, 48
+KEPT, LONGEST = 450_000, 48
 #: Characters encoded at once, and rows of a batch that are turned into Python objects at once.
 GROUP, ROWS = 1_000_000, 500
 
@@ -93,8 +93,9 @@ class PieceModel:
             h = np.array(sorted(at), dtype=np.uint64)
             self.tables[n] = h, np.array([at[int(x)] for x in h], dtype=np.int64)
 
-    def arcs(self, codes: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, length, piece) of all pieces in ``codes``; limit: the end of each position's word."""
+    def arcs(self, codes: np.ndarray, limit: np.ndarray) -> list[tuple[np.ndarray, int, np.ndarray]]:
+        """(starts, length, pieces) by length of all pieces in ``codes``, those of one character first; limit:
+        the end of each position's word. A character that is no piece gets a code of its own."""
         pos, h = np.arange(len(codes)), np.zeros(len(codes), dtype=np.uint64)
         out = []
         for n in range(1, self.longest + 1):
@@ -108,8 +109,13 @@ class PieceModel:
             hit = table[at] == h
             pos, h, found = pos[hit], h[hit], ids[at[hit]]
             real = found >= 0
-            out.append((pos[real], np.full(int(real.sum()), n), found[real]))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, dtype=np.int64),) * 3
+            if n == 1:
+                every = self.size + codes.astype(np.int64)
+                every[pos[real]] = found[real]
+                out.append((np.arange(len(codes)), 1, every))
+            else:
+                out.append((pos[real], n, found[real]))
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -154,50 +160,50 @@ class Lattices:
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
         first = np.cumsum(lens) - lens
         word_of = np.repeat(np.arange(len(words)), lens)
-        start, n, piece = model.arcs(codes, (first + lens)[word_of])
-        lone = np.ones(len(codes), dtype=bool)
-        lone[start[n == 1]] = False
-        lone = np.flatnonzero(lone)  # characters that no piece is: their bytes
-        weight = np.r_[model.weight[piece], np.full(len(lone), model.unknown)]
-        start, n = np.r_[start, lone], np.r_[n, np.ones(len(lone), dtype=np.int64)]
-        piece = np.r_[piece, model.size + codes[lone].astype(np.int64)]
-        # Node of a place: characters before it, plus one for each word before.
-        source = start + word_of[start]
-        target = source + n
-        order = np.lexsort((piece, n, target))
-        source, target, weight, piece, n = (x[order] for x in (source, target, weight, piece, n))
+        groups = model.arcs(codes, (first + lens)[word_of])
+        # Node of a place: characters before it, plus one for each word before. Of one length, a node has
+        # one arc at most, so arcs are dealt to their places length by length.
+        ends = [start + word_of[start] + n for start, n, _ in groups]
         nodes = len(codes) + len(words)
-        counts = np.bincount(target, minlength=nodes)
+        counts = np.zeros(nodes, dtype=np.int64)
+        for target in ends:
+            counts[target] += 1
         ptr = np.r_[0, np.cumsum(counts)]
+        n_arcs = int(ptr[-1])
+        length, piece, weight = np.empty(n_arcs, dtype=np.uint8), np.empty(n_arcs, dtype=np.int64), np.empty(n_arcs)
+        filled = np.zeros(nodes, dtype=np.int64)
+        for (_, n, found), target in zip(groups, ends, strict=True):
+            slot = ptr[target] + filled[target]
+            filled[target] += 1
+            length[slot], piece[slot] = n, found
+            weight[slot] = np.where(found < model.size, model.weight[np.minimum(found, model.size - 1)], model.unknown)
         total = np.full(nodes, -np.inf)
         total[first + np.arange(len(words))] = 0.0
         depth = np.arange(nodes) - np.repeat(first + np.arange(len(words)), lens + 1)
         by_depth = np.argsort(depth, kind="stable")
         edges = np.searchsorted(depth[by_depth], np.arange(1, int(lens.max(initial=0)) + 2))
-        score = np.empty(len(source))
+        cum = np.empty(n_arcs, dtype=np.float32)
         for t in range(1, int(lens.max(initial=0)) + 1):
             at = by_depth[edges[t - 1] : edges[t]]
-            at = at[counts[at] > 0]
-            if not len(at):
-                continue
             c = counts[at]
             offs = np.cumsum(c) - c
-            arcs = np.arange(int(c.sum())) - np.repeat(offs, c) + np.repeat(ptr[at], c)
-            score[arcs] = s = total[source[arcs]] + weight[arcs]
-            total[at] = np.logaddexp.reduceat(s, offs)
-        # Only nodes that can be reached have weight; the characters' own arcs reach every node.
-        p = np.exp(score - total[target]) if len(score) else score
-        run = np.cumsum(p)
-        before = np.r_[0.0, run][ptr[target]] if len(run) else run
-        cum = run - before
-        if len(cum):
-            cum[ptr[1:][counts > 0] - 1] = 2.0  # the last arc takes what rounding leaves
+            arcs = np.arange(int(c.sum())) - np.repeat(offs - ptr[at], c)
+            score = total[np.repeat(at, c) - length[arcs]] + weight[arcs]
+            total[at] = np.logaddexp.reduceat(score, offs)
+            # Shares of the arcs, added up arc by arc so that they do not depend on the words around.
+            share = np.exp(score - np.repeat(total[at], c))
+            run = np.zeros(len(at))
+            for k in range(int(c.max())):
+                some = np.flatnonzero(c > k)
+                run[some] += share[offs[some] + k]
+                cum[arcs[offs[some] + k]] = run[some]
+            cum[arcs[offs + c - 1]] = 2.0  # the last arc takes what rounding leaves
         self.long += int(lens[lens > LONGEST].sum())
         self.base.extend(first + np.arange(len(words)) + self.ptr.n - 1)
         self.length.extend(lens)
         self.ptr.extend(ptr[1:] + self.ptr.data[self.ptr.n - 1])
         self.cum.extend(cum)
-        self.back.extend(n)
+        self.back.extend(length)
         self.piece.extend(piece)
 
     def sample(self, word: np.ndarray, place: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
