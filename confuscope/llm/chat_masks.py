@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import os
 import re
-from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,22 +82,24 @@ def _tokenizer(path: str):
 
 def mask_tokens(offsets: list[tuple[int, int]], spans: list[tuple[int, int, bool]]) -> tuple[list[int], list[tuple[int, int]]]:
     """(mask, loss): mask has 1 for each token that overlaps a trained span; loss has the characters
-    under these tokens within the spans, as sorted ranges that do not overlap."""
-    starts = [s for s, _, _ in spans]
-    mask, loss = [0] * len(offsets), []
-    for k, (a, b) in enumerate(offsets):
-        i = max(0, bisect_right(starts, a) - 1)
-        while i < len(spans) and spans[i][0] < b:
-            s, e, trained = spans[i]
-            lo, hi = max(a, s), min(b, e)
-            if trained and lo < hi:
-                mask[k] = 1
-                if loss and loss[-1][1] >= lo:
-                    loss[-1] = (loss[-1][0], max(hi, loss[-1][1]))
-                else:
-                    loss.append((lo, hi))
-            i += 1
-    return mask, loss
+    under these tokens within the spans, as sorted ranges that do not overlap.
+
+    Token starts and ends both ascend, so the first and the last token of a span are found by binary search.
+    """
+    at = np.array(offsets, dtype=np.int64).reshape(-1, 2)
+    starts, ends = np.ascontiguousarray(at[:, 0]), np.ascontiguousarray(at[:, 1])
+    mask, loss = np.zeros(len(at), dtype=np.int8), []
+    for s, e, trained in spans:
+        if not trained or s == e:
+            continue
+        first, last = np.searchsorted(ends, s, "right"), np.searchsorted(starts, e, "left")
+        if first >= last:
+            continue
+        mask[first:last] = 1
+        lo, hi = np.maximum(starts[first:last], s), np.maximum.accumulate(np.minimum(ends[first:last], e))
+        cut = np.flatnonzero(lo[1:] > hi[:-1])  # tokens that leave characters between them
+        loss += zip(lo[np.r_[0, cut + 1]].tolist(), hi[np.r_[cut, len(hi) - 1]].tolist(), strict=True)
+    return mask.tolist(), loss
 
 
 OUT = "conv_id long, n_turns long, formatted string, ids array<int>, mask array<byte>, loss_spans array<struct<start:int,end:int>>, turn_spans array<struct<start:int,end:int>>"

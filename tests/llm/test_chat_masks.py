@@ -50,6 +50,13 @@ def test_table(spark):
     assert c.format_conversations(df.where("1 = 0"), PATH).count() == 0
 
 
+def test_ranges():
+    spans = [(2, 6, True), (6, 6, True), (8, 10, False), (10, 14, True)]
+    assert c.mask_tokens([], spans) == ([], [])
+    assert c.mask_tokens([(0, 1), (1, 3), (3, 4), (5, 9), (9, 11), (12, 14)], spans) == ([0, 1, 1, 1, 1, 1], [(2, 4), (5, 6), (10, 11), (12, 14)])
+    assert c.mask_tokens([(0, 3), (2, 3), (2, 3), (3, 20)], spans) == ([1, 1, 1, 1], [(2, 6), (10, 14)])
+
+
 def test_not_a_conversation():
     with pytest.raises(ValueError):
         c.parse("### user\nno end")
