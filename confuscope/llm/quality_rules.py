@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +23,8 @@ from .common import fresh
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOL = re.compile(r"[#*$%&|<>]")
 WINDOW = 5
+#: Texts that are Python objects at once.
+ROWS = 500
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
@@ -87,7 +90,7 @@ _MEASURED = T.StructType([T.StructField(m, T.LongType(), False) for m in MEASURE
 @F.pandas_udf(_MEASURED)
 def _measure_udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
-        yield pd.DataFrame([measure(t) for t in texts], columns=list(MEASURES), dtype="int64")
+        yield pd.DataFrame(list(map(measure, texts)), columns=list(MEASURES), dtype="int64")
 
 
 def failed_bits() -> Column:
@@ -110,8 +113,16 @@ def build_ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     each, other columns are left out, an empty table gives an empty ledger. Texts are read whole and
     one by one, so a very long one costs its own size in memory.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), _measure_udf(F.col(text_col)).alias("m"))
-    rows = rows.select("doc_id", *[F.col(f"m.{m}").alias(m) for m in MEASURES])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                found = zip(*map(measure, part.column(1).to_pylist()), strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(m, pa.int64()) for m in found]], names=["doc_id", *MEASURES])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES))
     return rows.withColumn("failed", failed_bits())
 
 
