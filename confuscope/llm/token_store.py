@@ -112,6 +112,13 @@ _FILE = pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.in
 _FILE_SQL = "part int, path string, n_docs long, n_ids long"
 
 
+def id_width(tokenizer_path: str, end_id: int) -> int:
+    """Bytes of an id in the files: two if all ids of the vocabulary fit, else four."""
+    from tokenizers import Tokenizer
+
+    return 2 if max(Tokenizer.from_file(tokenizer_path).get_vocab_size() - 1, end_id) < 1 << 16 else 4
+
+
 def bounds(docs: DataFrame, id_col: str, n: int) -> list[int]:
     """At most n - 1 ids that split the documents about evenly; reads the id column only."""
     if n < 2:
@@ -139,10 +146,10 @@ def write_tokens(
     if files is None:
         files = max(1, min(100_000, -(-docs.count() // FILE_DOCS)))
     cuts = np.array(bounds(docs, id_col, int(files)), dtype=np.int64)
+    width = id_width(tokenizer_path, end_id)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
-        width = 2 if max(enc.tokenizer.get_vocab_size() - 1, end_id) < 1 << 16 else 4
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
@@ -165,10 +172,10 @@ def write_tokens(
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        encoder.cache_clear()  # a worker that has encoded before needs its memo no more
         context = TaskContext.get()
         fs, folder = open_store(out)
         fs.create_dir(folder, recursive=True)
-        width = 2 if max(encoder(tokenizer_path).tokenizer.get_vocab_size() - 1, end_id) < 1 << 16 else 4
         now, done = None, []
 
         def finish() -> None:
@@ -220,6 +227,7 @@ def read_tokens(manifest: DataFrame, doc_ids: Iterable[int] | None = None) -> Da
         base += n_ids
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder.cache_clear()
         for batch in batches:
             for part, path, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 fs, at = open_store(path)
