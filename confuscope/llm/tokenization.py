@@ -11,19 +11,22 @@ import os
 import re
 from collections.abc import Iterable
 from functools import lru_cache
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 
 #: Chunks that a worker remembers; when full it starts afresh. Bounds memory (about 200 bytes each), not results.
-MEMO = 700_000
+MEMO = 900_000
 #: The characters of longer chunks are counted; with 16 for each place in the memo it counts as full too.
 LONGEST = 64
 #: Chunks encoded as one string.
 BLOCK = 20
 
 #: White space in a wide sense, the safe side for telling where a tokenizer is bound to cut.
-_WIDE = re.compile(r"[\s\u180e\u200b\ufeff]")
+_WIDE = frozenset(c for c in map(chr, range(0x3001)) if c.isspace()) | frozenset("\u180e\u200b\ufeff")
+#: Stands before the first chunk of a text: a lone surrogate, which no valid text holds.
+_FIRST = "\udfff"
+_WIDE_OR_NONE = _WIDE | {""}
 _EVEN = re.compile(r"(?<![\s\u180e\u200b\ufeff]) (?![\s\u180e\u200b\ufeff])")
 
 
@@ -54,7 +57,6 @@ class ChunkEncoder:
         self.mode = self._mode()
         #: A character that always is a token of its own between chunks, and its id.
         self.part = {"glue": "\n", "drop": "|"}.get(self.mode, "")
-        self.between = {"glue": "\n", "drop": " | "}.get(self.mode, "")
         self.part_id = self.tokenizer.encode(self.part, add_special_tokens=False).ids[0] if self.part else -1
         self._forget()
 
@@ -75,36 +77,41 @@ class ChunkEncoder:
         """Chunks without the space before them; the first one in "glue" mode has none and says so."""
         if self.mode == "whole":
             return [text]
-        return (text.replace("\n", " ") if self.mode == "drop" else "\0" + text).split(" ")
+        return (text.replace("\n", " ") if self.mode == "drop" else _FIRST + text).split(" ")
 
     def _as_text(self, chunk: str) -> str:
         if self.mode != "glue":
             return chunk
-        return chunk[1:] if chunk[:1] == "\0" else " " + chunk
-
-    def _sound(self, chunk: str) -> bool:
-        """Whether the tokenizer is bound to cut before and after the chunk."""
-        if self.mode != "glue":
-            return True
-        return bool(chunk) and chunk != "\0" and not _WIDE.match(chunk) and not _WIDE.match(chunk[-1]) and not _WIDE.match(chunk[1:2] if chunk[0] == "\0" else "x")
+        return chunk[1:] if chunk[:1] == _FIRST else " " + chunk
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _store(self, first: int, chunks: list[str]) -> None:
-        """Encode the chunks numbered from ``first`` on; an unsound one gets the length -1."""
+        """Encode the chunks numbered from ``first`` on. One that the tokenizer need not cut off from its
+        neighbours ("glue" mode, white space at an end) gets the length -1."""
         n = first + len(chunks)
         if n > len(self.start):
             self.start = np.resize(self.start, max(n, 2 * len(self.start)))
             self.length = np.resize(self.length, len(self.start))
         self.length[first:n] = -1
-        easy, alone = [], []
+        part, glue, wide = self.part, self.mode == "glue", _WIDE
+        easy, numbers, alone = [], [], []
         for k, c in enumerate(chunks, first):
-            if self._sound(c):
-                (alone if not c or not self.part or self.part in c or len(c) > LONGEST else easy).append((k, self._as_text(c)))
+            if not c:
+                if not glue:
+                    alone.append((k, c))
+            elif glue and (c[0] in wide or c[-1] in wide or c[0] == _FIRST and c[1:2] in _WIDE_OR_NONE):
+                pass
+            elif part and part not in c and len(c) <= LONGEST and c[0] != _FIRST:
+                easy.append(c)
+                numbers.append(k)
+            else:
+                alone.append((k, self._as_text(c)))
+        lead, between = (" ", "\n ") if glue else ("", " | ")
         for at in range(0, len(easy), 20_000):
             some = easy[at : at + 20_000]
-            texts = [self.between.join([t for _, t in some[i : i + BLOCK]]) for i in range(0, len(some), BLOCK)]
+            texts = [lead + between.join(some[i : i + BLOCK]) for i in range(0, len(some), BLOCK)]
             ids: list[int] = []
             for found in self._ids(texts):
                 ids += found
@@ -114,7 +121,7 @@ class ChunkEncoder:
             if len(ends) != len(some):
                 raise ValueError("the tokenizer does not part chunks as expected")
             lengths = np.diff(ends, prepend=-1) - 1
-            self._keep(np.array([k for k, _ in some]), lengths, all_ids[all_ids != self.part_id])
+            self._keep(np.array(numbers[at : at + 20_000]), lengths, all_ids[all_ids != self.part_id])
         if alone:
             found = self._ids([t for _, t in alone])
             self._keep(np.array([k for k, _ in alone]), np.array([len(x) for x in found]), np.array([i for x in found for i in x], dtype="<u4"))
@@ -140,7 +147,7 @@ class ChunkEncoder:
         numbers, first = self.numbers, len(self.numbers)
         cut = [self._cut(t) if t else [] for t in texts]
         counts = np.array([len(c) for c in cut], dtype=np.int64)
-        index = np.fromiter((n for chunks in cut for n in map(numbers.__getitem__, chunks)), dtype=np.int64, count=int(counts.sum()))
+        index = np.fromiter(map(numbers.__getitem__, chain.from_iterable(cut)), dtype=np.int64, count=int(counts.sum()))
         if len(numbers) > first:
             new = list(islice(reversed(numbers), len(numbers) - first))[::-1]
             self._store(first, new)

@@ -12,7 +12,7 @@ def whole(name, text):
 
 
 def test_same_ids_as_whole_texts(docs_rows):
-    texts = [t for _, t in docs_rows] + ["\x1c a \x85b　 c", " a", "a ", "a  b", "\n a\n b \t c", "it's 've  's", "ΣΑΣ  Σ. ǅ", "á ́b", "᠎ ​ x"]
+    texts = [t for _, t in docs_rows] + ["\x1c a \x85b　 c", " a", "a ", "a  b", "\n a\n b \t c", "it's 've  's", "ΣΑΣ  Σ. ǅ", "á ́b", "᠎ ​ x", "a \0b", "\0", "\0 \0x", "a|b | c"]
     for name in FILES:
         enc = encoder(tokenizer_path(name))
         for t, ids in zip(texts, enc.encode(texts), strict=True):
@@ -20,7 +20,7 @@ def test_same_ids_as_whole_texts(docs_rows):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.sampled_from(["a", "The", " ", "  ", "\n", "\t", " ", "́", "7", "'s", "<|endoftext|>", "é", "\x1d", "Σ", "!?", "東"]), max_size=14))
+@given(st.lists(st.sampled_from(["a", "The", " ", "  ", "\n", "\t", " ", "́", "7", "'s", "<|endoftext|>", "é", "\x1d", "Σ", "!?", "東", "\0", "|", " | "]), max_size=14))
 def test_same_ids_on_any_mixture(parts):
     text = "".join(parts)
     for name in FILES:
