@@ -27,7 +27,7 @@ END_ID = 1
 #: Magic numbers of the seekable format.
 SEEK_FRAME, SEEK_FOOTER, DIRECTORY_FRAME = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50
 #: Documents in a file, about; files follow the input, not the cluster.
-FILE_DOCS = 1 << 14
+FILE_DOCS = 1 << 12
 
 
 def make_frame(ids: np.ndarray, width: int) -> tuple[bytes, int]:

@@ -16,7 +16,7 @@ from itertools import chain, islice
 import numpy as np
 
 #: Chunks that a worker remembers; when full it starts afresh. Bounds memory (about 200 bytes each), not results.
-MEMO = 900_000
+MEMO = 1_300_000
 #: The characters of longer chunks are counted; with 16 for each place in the memo it counts as full too.
 LONGEST = 64
 #: Chunks encoded as one string.
