@@ -11,8 +11,10 @@ an unbounded trie and no link is lost.
 
 from __future__ import annotations
 
+import os
 import re
-from collections.abc import Iterator
+import tempfile
+from collections.abc import Callable, Iterator
 from math import acos, pi
 
 import numpy as np
@@ -26,6 +28,9 @@ from pyspark.sql import types as T
 from .common import col_of, fresh, written
 from .components import connected_components
 
+#: Whether the pairs of positions (i, j) are links.
+Check = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _UPPER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 SHINGLE = 3
@@ -100,11 +105,27 @@ class _Forest:
             if a != b:
                 self.parent[max(a, b)] = min(a, b)
 
+    def link_checked(self, i: np.ndarray, j: np.ndarray, check: Check) -> None:
+        """Link the pairs that ``check`` finds true. Pairs that are connected meanwhile need no check, so they are
+        checked a growing number at a time."""
+        pairs = np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)], axis=1), axis=0)
+        step = 64
+        while len(pairs):
+            r = self.roots()
+            pairs = pairs[r[pairs[:, 0]] != r[pairs[:, 1]]]
+            now, pairs = pairs[:step], pairs[step:]
+            if len(now):
+                ok = check(now[:, 0], now[:, 1])
+                self.link(now[ok, 0], now[ok, 1])
+            step *= 2
+
 
-def trie_links(keys: np.ndarray, tries: np.ndarray, budget: int = BUDGET, wide: np.ndarray | None = None, wide_budget: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def trie_links(keys: np.ndarray, tries: np.ndarray, budget: int = BUDGET, wide: np.ndarray | None = None,
+               wide_budget: np.ndarray | None = None, check: Check | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Edges (i, j) between positions of ``keys`` that connect just what the links within each trie
     connect; a link is two keys of one trie that differ in at most ``budget`` bits and, if rows of
-    further words ``wide`` are given, differ in at most ``wide_budget`` bits of these.
+    further words ``wide`` are given, differ in at most ``wide_budget`` bits of these, the larger of both keys'
+    budgets; if ``check`` is given, it must also hold for the pair.
 
     ``keys``: unsigned 64-bit, sorted within each trie; ``tries``: the trie of each, ascending.
     All tries are traversed together, level by level, on
@@ -127,7 +148,7 @@ def trie_links(keys: np.ndarray, tries: np.ndarray, budget: int = BUDGET, wide:
         # Pairs of few keys, and of equal ones, are compared directly.
         few = ((a1 - a0) * (b1 - b0) <= 16) | (level >= BITS)
         if few.any():
-            _compare(keys, forest, a0[few], a1[few], b0[few], b1[few], budget, wide, wide_budget)
+            _compare(keys, forest, a0[few], a1[few], b0[few], b1[few], budget, wide, wide_budget, check)
             a0, a1, b0, b1, err = (x[~few] for x in (a0, a1, b0, b1, err))
         if not len(a0):
             continue
@@ -162,7 +183,7 @@ def _middle(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, level: int) -> np.
         lo = np.where(open_ & ~set_, mid + 1, lo)
 
 
-def _compare(keys: np.ndarray, forest: _Forest, a0, a1, b0, b1, budget: int, wide: np.ndarray | None, wide_budget: int) -> None:
+def _compare(keys: np.ndarray, forest: _Forest, a0, a1, b0, b1, budget: int, wide: np.ndarray | None, wide_budget: np.ndarray | None, check: Check | None) -> None:
     """Link all pairs across each pair of ranges that are near enough, a bounded number at a time."""
     while (large := ((a1 - a0) * (b1 - b0) > CHUNK) & (a1 - a0 > 1)).any():
         mid = (a0[large] + a1[large]) // 2
@@ -179,9 +200,12 @@ def _compare(keys: np.ndarray, forest: _Forest, a0, a1, b0, b1, budget: int, wid
         ok = (i != j) & (np.bitwise_count(keys[i] ^ keys[j]) <= budget)
         i, j = i[ok], j[ok]
         if wide is not None and len(i):
-            ok = np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1) <= wide_budget
+            ok = np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1) <= np.maximum(wide_budget[i], wide_budget[j])
             i, j = i[ok], j[ok]
-        forest.link(i, j)
+        if check is None:
+            forest.link(i, j)
+        elif len(i):
+            forest.link_checked(i, j, check)
 
 
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -301,11 +325,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: The stage's near copies: word shingles, the Jaccard similarity of their sets, and how it is seen.
 WIDE_SHINGLE, SIMILARITY = 5, 0.8
 WIDE_BITS, MINS = 512, 6
-#: Share of bits in which sets of that similarity differ (the angle between them), and budgets that far beyond it
-#: in deviations: one on all bits, four on the first word, which only steers the traversal.
-_SHARE = acos(2 * SIMILARITY / (1 + SIMILARITY)) / pi
-WIDE_BUDGET = round(WIDE_BITS * _SHARE + (WIDE_BITS * _SHARE * (1 - _SHARE)) ** 0.5)
-FIRST_BUDGET = round(BITS * _SHARE + 4 * (BITS * _SHARE * (1 - _SHARE)) ** 0.5)
+#: Signatures only make candidates. Share of bits in which sets of that similarity differ (the angle between them), and
+#: budgets four deviations beyond it, on all bits and on the first word, which steers the traversal. Small sets have ties:
+#: four shingles and the same with one more differ where two of the four bits are set and the fifth is (6/16 * 1/2).
+_SHARE, _SMALL_SHARE, SMALL = acos(2 * SIMILARITY / (1 + SIMILARITY)) / pi, 3 / 16, 16
+
+
+def _beyond(bits: int, share: float) -> int:
+    return round(bits * share + 4 * (bits * share * (1 - share)) ** 0.5)
+
+
+WIDE_BUDGET, SMALL_BUDGET, FIRST_BUDGET = _beyond(WIDE_BITS, _SHARE), _beyond(WIDE_BITS, _SMALL_SHARE), _beyond(BITS, _SMALL_SHARE)
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _LANES = (np.arange(1, WIDE_BITS // 64 + MINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -316,12 +346,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def wide_signature(text: str | None) -> tuple[bytes, list[int]]:
-    """SimHash of WIDE_BITS bits over the set of shingles, and the minima of MINS hashes over it."""
+def shingle_hashes(text: str | None) -> np.ndarray:
+    """The set of shingles as ascending hashes of 64 bits."""
     words = _WORD.findall((text or "").translate(_UPPER))
     k = WIDE_SHINGLE
     grams = {" ".join(words)} if len(words) <= k else set(map(" ".join, zip(*(words[i:] for i in range(k)), strict=False)))
-    h = np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), dtype=np.uint64, count=len(grams))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), dtype=np.uint64, count=len(grams)))
+
+
+def _signature(h: np.ndarray) -> tuple[bytes, list[int]]:
     total, lanes = np.zeros(WIDE_BITS, dtype=np.int64), WIDE_BITS // 64
     for at in range(0, len(h), 255):
         bits = np.unpackbits(_mix(h[at : at + 255, None] ^ _LANES[:lanes]).view(np.uint8), axis=1, bitorder="little")
@@ -330,46 +363,118 @@ def wide_signature(text: str | None) -> tuple[bytes, list[int]]:
     return np.packbits(2 * total > len(h), bitorder="little").tobytes(), mins
 
 
-_SIGNED = T.StructType([T.StructField("sig", T.BinaryType()), T.StructField("mins", T.ArrayType(T.LongType()))])
+def wide_signature(text: str | None) -> tuple[bytes, list[int]]:
+    """SimHash of WIDE_BITS bits over the set of shingles, and the minima of MINS hashes over it."""
+    return _signature(shingle_hashes(text))
+
+
+_SIGNED = T.StructType([T.StructField("fp", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("sig", T.BinaryType()), T.StructField("mins", T.ArrayType(T.LongType()))])
 
 
 @F.pandas_udf(_SIGNED)
 def _wide_udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """fp: digest of the set of shingles; size: of the set."""
     for texts in batches:
-        found = [wide_signature(t) for t in texts]
-        yield pd.DataFrame({"sig": [f[0] for f in found], "mins": [np.array(f[1], dtype=np.uint64).view(np.int64) for f in found]})
+        rows = []
+        for t in texts:
+            h = shingle_hashes(t)
+            sig, mins = _signature(h)
+            rows.append((xxhash.xxh64_intdigest(h.tobytes()), len(h), sig, np.array(mins, dtype=np.uint64).view(np.int64)))
+        out = pd.DataFrame(rows, columns=["fp", "size", "sig", "mins"])
+        yield out.assign(fp=out["fp"].to_numpy(dtype=np.uint64).view(np.int64))
+
+
+@F.pandas_udf(T.BinaryType())
+def _set_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for texts in batches:
+        yield pd.Series([shingle_hashes(t).tobytes() for t in texts])
+
+
+def _wide_links(t: pa.Table, by: str, check: Callable[[np.ndarray], Check] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(names, i, j): the links of rows (by, fp, size, sig) within each value of ``by``, as positions in the order
+    ``names`` of rows. ``check``: makes the check of pairs of positions in that order."""
+    tries, size = t[by].to_numpy(), t["size"].to_numpy()
+    words = np.frombuffer(b"".join(t["sig"].to_pylist()), dtype="<u8").reshape(-1, WIDE_BITS // 64)
+    order = np.lexsort((words[:, 0], tries))
+    words, budgets = words[order], np.where(size[order] < SMALL, SMALL_BUDGET, WIDE_BUDGET)
+    i, j = trie_links(np.ascontiguousarray(words[:, 0]), tries[order], FIRST_BUDGET, words, budgets, check and check(order))
+    return order, i, j
 
 
-def _join_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """As _join_tries, for rows (trie, fp, sig): the trie is over the signature's first word."""
+_MEMBER = pa.schema([("low", pa.int64()), ("trie", pa.int64()), ("fp", pa.int64())])
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (trie, fp, size, sig) those with a candidate in their trie, as (low, trie, fp): rows with the same low
+    and trie are connected by candidates."""
 
     def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        tries, fps = t["trie"].to_numpy(), t["fp"].to_numpy()
-        words = np.frombuffer(b"".join(t["sig"].to_pylist()), dtype="<u8").reshape(-1, WIDE_BITS // 64)
-        order = np.lexsort((words[:, 0], tries))
-        words, fps = words[order], fps[order]
-        i, j = trie_links(np.ascontiguousarray(words[:, 0]), tries[order], FIRST_BUDGET, words, WIDE_BUDGET)
+        order, i, j = _wide_links(t, "trie")
         if len(i):
-            yield pa.RecordBatch.from_arrays([pa.array(fps[i]), pa.array(fps[j])], schema=_EDGE)
+            low = np.unique(j)
+            at, of = order[np.r_[low, i]], order[np.r_[low, j]]
+            tries, fps = t["trie"].to_numpy(), t["fp"].to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(fps[of]), pa.array(tries[at]), pa.array(fps[at])], schema=_MEMBER)
 
     yield from _whole_tries(batches, run)
 
 
-def similar_edges(distinct: DataFrame) -> DataFrame:
-    """(a, b) of rows (fp, sig, mins), one for each signature: they connect what similarity connects.
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of rows (trie, fp, size, sig, grams) sorted by trie, between sets whose similarity is at least SIMILARITY.
+
+    The sets wait in an unnamed file, so only signatures and places are held."""
+    with tempfile.TemporaryFile() as store:
+        end = 0
+
+        def put_away() -> Iterator[pa.RecordBatch]:
+            nonlocal end
+            for b in batches:
+                at = []
+                for x in b.column("grams"):
+                    store.write(x.as_buffer())
+                    at.append(end)
+                    end += 8 * (len(x.as_buffer()) // 8)
+                store.flush()
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("trie", "fp", "size", "sig")), pa.array(at, pa.int64())], names=["trie", "fp", "size", "sig", "at"])
+
+        def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            fps, size, at = t["fp"].to_numpy(), t["size"].to_numpy(), t["at"].to_numpy()
+
+            def check(order: np.ndarray) -> Check:
+                read = lambda k: np.frombuffer(os.pread(store.fileno(), 8 * int(size[k]), int(at[k])), dtype=np.uint64)
+                return lambda i, j: np.fromiter((_similar(read(a), read(b)) for a, b in zip(order[i], order[j], strict=True)), dtype=bool, count=len(i))
+
+            order, i, j = _wide_links(t, "trie", check)
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(fps[order[i]]), pa.array(fps[order[j]])], schema=_EDGE)
+
+        yield from _whole_tries(put_away(), run)
+
+
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether the Jaccard similarity of two ascending arrays is at least SIMILARITY."""
+    if min(len(x), len(y)) < SIMILARITY * max(len(x), len(y)) - 1e-9:
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= SIMILARITY * (len(x) + len(y) - both) - 1e-9
+
+
+def candidate_members(distinct: DataFrame) -> DataFrame:
+    """(trie, fp) of rows (fp, size, sig, mins), one for each set: the sets that have a candidate, by the trie and
+    group of candidates that they are in.
 
     Sets of similarity s have a given minimum in common with probability s, so near copies meet in one of the
     tries that the MINS minima name. A trie that a frequent passage makes large is dealt out by the other
     minima, twice if need be.
     """
     pick = lambda used: F.array(*[F.lit(k) for k in range(MINS)]) if used is None else F.array_except(F.array(*[F.lit(k) for k in range(MINS)]), used)
-    rows = distinct.select("fp", "sig", "mins", F.array().cast("array<int>").alias("used"), F.lit(0).cast("long").alias("trie"))
+    rows = distinct.select("fp", "size", "sig", "mins", F.array().cast("array<int>").alias("used"), F.lit(0).cast("long").alias("trie"))
     parts = []
     for last in (False, False, True):
-        dealt = rows.select("fp", "sig", "mins", "used", "trie", F.explode(pick(F.col("used"))).alias("k"))
+        dealt = rows.select("fp", "size", "sig", "mins", "used", "trie", F.explode(pick(F.col("used"))).alias("k"))
         used = F.array_sort(F.concat("used", F.array("k")))
-        dealt = dealt.select("fp", "sig", "mins", used.alias("used"), F.xxhash64("trie", "k", F.element_at("mins", F.col("k") + 1)).alias("trie"))
-        large = None if last else written(dealt.groupBy("trie").agg(F.count("*").alias("size")).where(F.col("size") > SPLIT), "large")
+        dealt = dealt.select("fp", "size", "sig", "mins", used.alias("used"), F.xxhash64("trie", "k", F.element_at("mins", F.col("k") + 1)).alias("trie"))
+        large = None if last else written(dealt.groupBy("trie").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT), "large")
         if large is None or large.isEmpty():
             parts.append(dealt)
             break
@@ -377,25 +482,43 @@ def similar_edges(distinct: DataFrame) -> DataFrame:
         rows = written(dealt.join(large.select("trie"), "trie", "left_semi"), "dealt")
     out = None
     for part in parts:
-        keyed = part.select("trie", "fp", "sig").repartition(F.col("trie")).sortWithinPartitions("trie")
-        found = keyed.mapInArrow(_join_wide, "a long, b long")
+        keyed = part.select("trie", "fp", "size", "sig").repartition(F.col("trie")).sortWithinPartitions("trie")
+        found = keyed.mapInArrow(_candidates, "low long, trie long, fp long")
         out = found if out is None else out.unionByName(found)
-    return out
+    return out.select(F.xxhash64("trie", "low").alias("trie"), "fp")
+
+
+def similar_edges(signed: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b) of sets fp that connect what a similarity of at least SIMILARITY connects.
+
+    ``signed``: rows (text_key, fp, size, sig, mins); ``texts``: (text_key, text). Only sets with a candidate are made
+    again from their texts, and compared in full within each group of candidates.
+    """
+    members = written(candidate_members(signed.select("fp", "size", "sig", "mins").dropDuplicates(["fp"])), "candidates")
+    if members.isEmpty():
+        return signed.sparkSession.createDataFrame([], "a long, b long")
+    needed = signed.join(members.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min("text_key").alias("text_key"), F.first("size").alias("size"), F.first("sig").alias("sig"))
+    one = texts.join(needed, "text_key").groupBy("fp").agg(F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("text").alias("text"))
+    sets = written(one.select("fp", "size", "sig", _set_udf(F.col("text")).alias("grams")), "sets")
+    keyed = members.join(sets, "fp").select("trie", "fp", "size", "sig", "grams").repartition(F.col("trie")).sortWithinPartitions("trie")
+    return keyed.mapInArrow(_verified, "a long, b long")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with one document of each group of near copies, the one with the smallest id
     (null ids last; ties by a hash of the text; rows that are equal in id and text once).
 
-    Near copies are connected by signatures as far apart as sets of five-word shingles of Jaccard similarity
-    SIMILARITY are, or nearer. Rows are looked up in the list of the members of groups of several rows.
+    Near copies are connected by links between texts whose sets of five-word shingles have a Jaccard similarity of at
+    least SIMILARITY. Signatures make the candidates, and each link is checked on the sets. Rows are looked up in the
+    list of the members of groups of several rows.
     """
-    keys = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(col_of(text_col), F.lit(""))).alias("text_key"), _wide_udf(F.col(text_col)).alias("s"))
-    signed = written(keys.select("doc_id", "text_key", F.xxhash64("s.sig").alias("fp"), "s.sig", "s.mins"), "signatures")
+    text_key = F.xxhash64(F.coalesce(col_of(text_col), F.lit("")))
+    keys = docs.select(F.col(id_col).alias("doc_id"), text_key.alias("text_key"), _wide_udf(F.col(text_col)).alias("s"))
+    signed = written(keys.select("doc_id", "text_key", "s.*"), "signatures")
     rows = signed.select("doc_id", "text_key", "fp")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     by_fp = written(rows.groupBy("fp").agg(F.min(order).alias("best"), F.count("*").alias("n")), "distinct")
-    groups = _components(similar_edges(signed.select("fp", "sig", "mins").dropDuplicates(["fp"])))
+    groups = _components(similar_edges(signed, docs.select(text_key.alias("text_key"), col_of(text_col).alias("text"))))
     whole = by_fp.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     # Written, so that the join with it deals out both sides and a large component can be split.
     lows = written(whole.groupBy("component").agg(F.min("best").alias("best"), F.sum("n").alias("n")).where("n > 1"), "lows")

@@ -134,3 +134,28 @@ def test_large_tries_are_dealt_out(spark, monkeypatch):
     got = s.group_fingerprints(spark.createDataFrame([(signed(f),) for f in fps], "fp long"))
     got = {r["fp"]: r["component"] for r in got.collect()}
     assert got == components([(signed(a), signed(b)) for a, b in links(fps)])
+
+
+def test_links_are_those_of_exact_similarity(spark):
+    """Pairs between 0.7 and 0.9, one word appended to short texts among them, against all pairs by brute force."""
+    rng = random.Random(12)
+    rows = []
+    for k in range(120):
+        n = rng.randrange(60, 260)
+        a = [f"p{k}w{m}" for m in range(n)]
+        b = list(a)
+        for at in rng.sample(range(n), max(1, round(n * rng.uniform(0.02, 0.075)))):
+            b[at] = f"new{rng.randrange(10**9)}"
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+    for k in range(120, 240):
+        a = [f"p{k}w{m}" for m in range(rng.randrange(7, 15))]
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join([*a, "more"]))]
+    rows += [(500, None), (501, "")]
+    want, seen = {0}, []
+    for (i, a), (_, b) in zip(rows[::2], rows[1::2], strict=True):
+        x, y = brute_wide(a), brute_wide(b)
+        seen.append(len(x & y) / len(x | y))
+        want |= {i} if seen[-1] >= 0.8 else {i, i + 1}
+    assert sum(0.7 <= x < 0.8 for x in seen) > 20 and sum(0.8 <= x < 0.9 for x in seen) > 60
+    got = {r["doc_id"] for r in s.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
