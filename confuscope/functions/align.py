@@ -2,16 +2,19 @@
 
 The tables of all pairs in a batch are filled together, a row of every table at a time: NumPy works
 across the batch, so its cost does not fall on each character. Batches are cut so that the
-tables stay within a memory bound.
+tables stay within a memory bound; of a single table beyond it only some rows are kept and the others are
+filled again on the way back. Texts whose places differ no more than their characters do need no table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +23,8 @@ ALIGNMENT = T.ArrayType(PAIR)
 ALIGNED = T.StructType([T.StructField("a1", T.StringType()), T.StructField("a2", T.StringType())])
 #: Table cells held at once.
 CELLS = 24_000_000
+#: Characters of both texts whose alignments are handed on together.
+CHARS = 1_000_000
 
 
 def _codes(texts: list[str], width: int, pad: int) -> np.ndarray:
@@ -65,25 +70,81 @@ def edit_alignments(truths: list[str], preds: list[str]) -> list[list[tuple[str
     """Optimal unit-cost alignments, read from the end: an equal pair first, then a substitution, then a
     character of the prediction alone, else one of the truth alone."""
     out: list[list] = [[] for _ in truths]
-    for group in _groups(truths, preds):
+    rest = []
+    for k, (a, b) in enumerate(zip(truths, preds, strict=True)):
+        if _straight(a, b):
+            out[k] = list(zip(a, b, strict=True))
+        elif (len(a) + 1) * (len(b) + 1) > CELLS:
+            out[k] = _long_alignment(a, b)
+        else:
+            rest.append(k)
+    for group in _groups([truths[k] for k in rest], [preds[k] for k in rest]):
+        group = [rest[g] for g in group]
         d = _tables([truths[k] for k in group], [preds[k] for k in group], 0, 1, 1)
         for at, k in enumerate(group):
-            a, b, t, got = truths[k], preds[k], d[at], out[k]
-            i, j = len(a), len(b)
-            while i or j:
-                if i and j and (a[i - 1] == b[j - 1] or t[i, j] == t[i - 1, j - 1] + 1):
-                    i, j = i - 1, j - 1
-                    got.append((a[i], b[j]))
-                elif j and t[i, j] == t[i, j - 1] + 1:
-                    j -= 1
-                    got.append((None, b[j]))
-                else:
-                    i -= 1
-                    got.append((a[i], None))
-            got.reverse()
+            _trace_back(truths[k], preds[k], d[at], 0, len(truths[k]), len(preds[k]), out[k])
+            out[k].reverse()
     return out
 
 
+def _trace_back(a: str, b: str, t: np.ndarray, top: int, i: int, j: int, got: list) -> tuple[int, int]:
+    """Add the steps from (i, j) back to row ``top``, the first row of ``t``; to the corner if that is row 0."""
+    while i > top or (j and not top):
+        r = i - top
+        if i and j and (a[i - 1] == b[j - 1] or t[r, j] == t[r - 1, j - 1] + 1):
+            i, j = i - 1, j - 1
+            got.append((a[i], b[j]))
+        elif j and t[r, j] == t[r, j - 1] + 1:
+            j -= 1
+            got.append((None, b[j]))
+        else:
+            i -= 1
+            got.append((a[i], None))
+    return i, j
+
+
+def _straight(a: str, b: str) -> bool:
+    """Whether the alignment place by place is optimal because as many characters have no counterpart anywhere
+    as differ in their place. The same then holds for the fronts that the traceback passes, so it takes this path."""
+    if len(a) != len(b):
+        return False
+    if a == b:
+        return True
+    ca, cb = _codes([a], len(a), -1)[0], _codes([b], len(b), -1)[0]
+    _, kind = np.unique(np.r_[ca, cb], return_inverse=True)
+    n, kinds = len(a), int(kind.max()) + 1
+    common = np.minimum(np.bincount(kind[:n], minlength=kinds), np.bincount(kind[n:], minlength=kinds)).sum()
+    return bool(n - common == (ca != cb).sum())
+
+
+def _long_alignment(a: str, b: str) -> list[tuple[str | None, str | None]]:
+    """As edit_alignments, with about twice the square root of the table's rows held at once."""
+    ca, cb = _codes([a], len(a), -1)[0], _codes([b], len(b), -1)[0]
+    steps = np.arange(len(b) + 1, dtype=np.int32)
+
+    def below(row: np.ndarray, i: int) -> np.ndarray:
+        new = np.empty_like(row)
+        new[0] = i
+        new[1:] = np.minimum(row[1:] + 1, row[:-1] + (ca[i - 1] != cb))
+        return np.minimum.accumulate(new - steps) + steps
+
+    every = isqrt(len(a)) + 1
+    kept, row = [steps], steps
+    for i in range(1, len(a) + 1):
+        row = below(row, i)
+        if i % every == 0:
+            kept.append(row)
+    got: list = []
+    i, j = len(a), len(b)
+    while i or j:
+        top = max(i - 1, 0) // every * every
+        rows = [kept[top // every]]
+        for k in range(top + 1, i + 1):
+            rows.append(below(rows[-1], k))
+        i, j = _trace_back(a, b, np.stack(rows), top, i, j, got)
+    return got[::-1]
+
+
 def global_alignments(firsts: list[str], seconds: list[str], match: int = 2, mismatch: int = -1, gap: int = -1) -> list[tuple[str, str]]:
     """Highest-scoring global alignments with gaps as "-"; from the end a pair goes before a gap in the
     second and that before a gap in the first."""
@@ -132,6 +193,33 @@ def align(truth: Column, prediction: Column, case_sensitive: bool = True, normal
     return _align_udf(fold_case(truth, case_sensitive), fold_case(prediction, case_sensitive))
 
 
+def with_alignment(pairs: DataFrame, truth: str, prediction: str, case_sensitive: bool = True, normalize: bool = True) -> DataFrame:
+    """``pairs`` with a column alignment as of align. The alignments of whole texts are far larger than the texts,
+    so they are handed on in slices and not by the batch of rows that is read."""
+    from .text import fold_case, nfc
+
+    ready = lambda c: fold_case(nfc(F.col(c)) if normalize else F.col(c), case_sensitive)
+    kept = pairs.columns
+    schema = T.StructType([*pairs.schema.fields, T.StructField("alignment", ALIGNMENT)])
+    rows = pairs.select("*", ready(truth).alias("__t"), ready(prediction).alias("__p"))
+    kind = pa.list_(pa.struct([("t", pa.string()), ("p", pa.string())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ts, ps = ([x or "" for x in batch.column(c).to_pylist()] for c in ("__t", "__p"))
+            ends = np.cumsum([len(x) + len(y) for x, y in zip(ts, ps, strict=True)])
+            cuts = [0, *(np.flatnonzero(np.diff(ends // CHARS)) + 1).tolist(), len(ts)] if len(ts) else [0]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                found = edit_alignments(ts[lo:hi], ps[lo:hi])
+                flat = [x for f in found for x in f]
+                both = pa.StructArray.from_arrays([pa.array([x for x, _ in flat], pa.string()), pa.array([y for _, y in flat], pa.string())], ["t", "p"])
+                made = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(f) for f in found])], pa.int32()), both).cast(kind)
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), made], names=[*kept, "alignment"])
+
+    return rows.mapInArrow(run, schema)
+
+
 def needleman_wunsch(first: Column, second: Column) -> Column:
     return _global_udf(first, second)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.align import align, char_accuracy, char_error_rate, confusion_pairs, operation_counts
+from ..functions.align import char_accuracy, char_error_rate, confusion_pairs, operation_counts, with_alignment
 from ..functions.scalar import ratio
 from ..functions.text import characters, segments
 
@@ -49,7 +49,7 @@ def segment_texts(texts: DataFrame, chars: int = 100, lines: int = 5, shortest:
 
 def match_texts(pairs: DataFrame, case_sensitive: bool = True, normalize: bool = True) -> DataFrame:
     """(script, filename, truth, prediction) with alignment, the four counts, accuracy and error rate."""
-    rows = pairs.withColumn("alignment", align(F.col("truth"), F.col("prediction"), case_sensitive, normalize))
+    rows = with_alignment(pairs, "truth", "prediction", case_sensitive, normalize)
     rows = rows.select("*", *operation_counts(F.col("alignment")))
     m, s, i, d = (F.col(c) for c in ("matches", "substitutions", "insertions", "deletions"))
     return rows.withColumn("char_accuracy", char_accuracy(m, s, d)).withColumn("cer", char_error_rate(m, s, i, d))

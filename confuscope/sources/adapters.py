@@ -69,11 +69,11 @@ def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("lang").alias("script"), F.format_string("d%09d", "doc_id").alias("filename"), "text")
 
 
-def channel_pairs(spark: SparkSession, sf_dir: str, length: int = 200) -> DataFrame:
-    """(script, filename, truth, prediction): the first characters of a document and what a
-    substituting channel makes of them. The short rows are dealt out evenly, as aligning them costs far more
+def channel_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(script, filename, truth, prediction): a document's whole text and what a
+    substituting channel makes of it. The rows are dealt out evenly, as aligning them costs far more
     than moving them and a file's split may hold all of them."""
-    t = document_texts(spark, sf_dir).select("script", "filename", F.substring("text", 1, length).alias("truth"))
+    t = document_texts(spark, sf_dir).select("script", "filename", F.col("text").alias("truth"))
     t = t.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     return t.withColumn("prediction", channel(F.col("truth")))
 

@@ -1,5 +1,6 @@
 import random
 import unicodedata
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from confuscope.functions import align as L
 from confuscope.functions import text as X
 from confuscope.operators import texts as O
+from confuscope.plans import queries as Q
 from confuscope.sources.config import get_charset
 
 
@@ -139,3 +141,31 @@ def test_small_functions(spark):
     assert [r["text"] for r in O.word_filter(words).collect()] == ["b"]
     assert val(O.edit_distance(F.lit("kitten"), F.lit("sitting"))) == 3 and val(O.edit_distance(F.lit("kitten"), F.lit("sitting"), 2)) == -1
     assert val(X.characters(F.lit("a\U0001f600"))) == ["a", "\U0001f600"] and val(X.characters(F.lit(""))) == []
+
+
+def test_straight_and_long_alignments_are_those_of_the_table(monkeypatch):
+    rng = random.Random(6)
+    word = lambda n, cs: "".join(rng.choice(cs) for _ in range(n))
+    pairs = [(word(rng.randrange(40), "abcd"), word(rng.randrange(40), "abcx")) for _ in range(300)]
+    pairs += [(a, a.translate(str.maketrans("ab", "xy"))) for a, _ in pairs]
+    truths, preds = (list(x) for x in zip(*pairs, strict=True))
+    straight = L._straight
+    assert sum(map(straight, truths, preds)) >= 300
+    monkeypatch.setattr(L, "_straight", lambda a, b: False)
+    want = L.edit_alignments(truths, preds)
+    monkeypatch.setattr(L, "CELLS", 0)
+    assert L.edit_alignments(truths, preds) == want
+    monkeypatch.setattr(L, "_straight", straight)
+    assert L.edit_alignments(truths, preds) == want
+
+
+def test_channel_queries_count_whole_texts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(L, "CHARS", 3000)
+    texts = ["a tone of note " * 100, "x" * 250, "é, eaotn " * 40, ""]
+    rows = [("en", k, t) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "lang string, doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = Counter((c, c.translate(str.maketrans("eaotn", "εαοτν"))) for t in texts for c in t)
+    for query in (Q.channel_cells, Q.channel_engine):
+        assert {(r["true_char"], r["pred_char"]): r["n"] for r in query(spark, str(tmp_path)).collect()} == want
+    got = {r["doc_id"]: r["matches"] + r["substitutions"] for r in Q.channel_match(spark, str(tmp_path)).collect()}
+    assert got == {k: len(t) for k, t in enumerate(texts) if t}
