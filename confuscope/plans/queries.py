@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions.align import needleman_wunsch
 from ..functions.scalar import r6
-from ..functions.text import clean_text, segments
+from ..functions.text import clean_text
 from ..operators import counts as C
 from ..operators import distance as D
 from ..operators import interpret as I
@@ -148,8 +148,7 @@ def clean_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segment_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = F.replace(F.col("text"), F.lit("."), F.lit("\n"))
-    return T.table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(segments(F.translate(lines, "\r", " "))).alias("segment_index", "text"))
+    return X.segment_texts(T.document_texts(spark, sf_dir))
 
 
 def channel_match(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -169,3 +169,12 @@ def test_channel_queries_count_whole_texts(spark, tmp_path, monkeypatch):
         assert {(r["true_char"], r["pred_char"]): r["n"] for r in query(spark, str(tmp_path)).collect()} == want
     got = {r["doc_id"]: r["matches"] + r["substitutions"] for r in Q.channel_match(spark, str(tmp_path)).collect()}
     assert got == {k: len(t) for k, t in enumerate(texts) if t}
+
+
+def test_segment_query_takes_whole_documents(spark, tmp_path):
+    lines = [f"{k:04d} " + "w" * 55 for k in range(400)]
+    rows = [("en", 1, "\n".join(lines)), ("de", 2, "\n".join(["ten chars."] * 7)), ("de", 3, "")]
+    spark.createDataFrame(rows, "lang string, doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in Q.segment_texts(spark, str(tmp_path)).select("script", "source_file", "segment_index", "text").collect())
+    want = [("de", "d000000002", 0, "\n".join(["ten chars."] * 5)), ("de", "d000000002", 1, "ten chars.\nten chars.")]
+    assert got == want + [("en", "d000000001", k, line) for k, line in enumerate(lines)]
