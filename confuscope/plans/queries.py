@@ -249,11 +249,11 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _boot(c: DataFrame, n: DataFrame) -> DataFrame:
-    return R.bootstrap_summary(R.bootstrap_replicates(c, n, replicates=100))
+    return R.bootstrap_summary(R.bootstrap_replicates(c, n))
 
 
 def _perm(c: DataFrame, n: DataFrame) -> DataFrame:
-    return R.permutation_summary(R.permutation_replicates(c, n, replicates=100))
+    return R.permutation_summary(R.permutation_replicates(c, n))
 
 
 QUERIES: dict[str, Query] = {

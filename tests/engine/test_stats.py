@@ -72,3 +72,12 @@ def test_tails():
 def test_effect_size(spark):
     e = lambda x, m, s: spark.range(1).select(S.effect_size(F.lit(x), F.lit(m), F.lit(s)).alias("e")).first()["e"]
     assert e(3.0, 1.0, 2.0) == 1 and e(1.0, 1.0, 0.0) == 0 and e(2.0, 1.0, 0.0) == math.inf
+
+
+def test_resampling_queries_run_the_default_number_of_replicates(monkeypatch):
+    from confuscope.plans import queries as Q
+
+    for name, summary, run in (("bootstrap_replicates", "bootstrap_summary", Q._boot), ("permutation_replicates", "permutation_summary", Q._perm)):
+        monkeypatch.setattr(Q.R, name, lambda c, n, **given: given)
+        monkeypatch.setattr(Q.R, summary, lambda given: given)
+        assert run(None, None) == {}
