@@ -5,8 +5,8 @@ that differ in at most three bits agree on one of four blocks of 16 bits; each f
 the four tries named by (block, value of the block). In
 a trie, node pairs are traversed together from (root, root): the bits in which the two prefixes
 differ are added up and a pair is pruned as soon as they exceed the budget. A trie with more than
-SPLIT fingerprints is dealt out further by the same argument on its remaining bits, so no task gets
-an unbounded trie and no link is lost.
+SPLIT fingerprints is dealt out further by the same argument on its remaining bits, and what is still too
+large then by pairs of parts of it, so no task gets an unbounded trie and no link is lost.
 """
 
 from __future__ import annotations
@@ -254,6 +254,20 @@ def _without(width: int, k: int, total: int):
     return F.shiftleft(head, after).bitwiseOR(tail)
 
 
+def split_large(rows: DataFrame) -> DataFrame:
+    """Rows (trie, fp, ...) with every trie of more than SPLIT members dealt out: its members fall into parts by
+    a hash of fp, and each pair of parts is a trie of its own, of about SPLIT members at most. Any two members of a trie
+    still meet, so no link is lost, whatever SPLIT is; a member is repeated for each part."""
+    sizes = rows.groupBy("trie").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT)
+    large = written(sizes.select("trie", F.ceil(2 * F.col("n") / SPLIT).cast("int").alias("parts")), "large")
+    if large.isEmpty():
+        return rows
+    own = F.pmod(F.xxhash64("fp", F.lit("part")), F.col("parts")).cast("int")
+    paired = rows.join(large, "trie").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    paired = paired.withColumn("trie", F.xxhash64("trie", F.least("own", "other"), F.greatest("own", "other")))
+    return rows.join(large, "trie", "left_anti").unionByName(paired.select(*rows.columns))
+
+
 def fingerprint_edges(distinct: DataFrame) -> DataFrame:
     """(a, b) signed fingerprints that connect what links within the budget connect.
 
@@ -276,7 +290,7 @@ def fingerprint_edges(distinct: DataFrame) -> DataFrame:
         parts.append(dealt.join(large, "trie", "left_anti"))
         rows = written(dealt.join(large.select("trie"), "trie", "left_semi"), "dealt")
     if rows is not None:
-        parts.append(rows)
+        parts.append(split_large(rows))
     out = None
     for part in parts:
         # A collision of two tries' hashes only puts both in one trie; keys are then compared in full.
@@ -464,28 +478,14 @@ def candidate_members(distinct: DataFrame) -> DataFrame:
     group of candidates that they are in.
 
     Sets of similarity s have a given minimum in common with probability s, so near copies meet in one of the
-    tries that the MINS minima name. A trie that a frequent passage makes large is dealt out by the other
-    minima, twice if need be.
+    tries that the MINS minima name. A trie that a frequent passage makes large is dealt out by pairs of its parts, so
+    candidates do not depend on SPLIT.
     """
-    pick = lambda used: F.array(*[F.lit(k) for k in range(MINS)]) if used is None else F.array_except(F.array(*[F.lit(k) for k in range(MINS)]), used)
-    rows = distinct.select("fp", "size", "sig", "mins", F.array().cast("array<int>").alias("used"), F.lit(0).cast("long").alias("trie"))
-    parts = []
-    for last in (False, False, True):
-        dealt = rows.select("fp", "size", "sig", "mins", "used", "trie", F.explode(pick(F.col("used"))).alias("k"))
-        used = F.array_sort(F.concat("used", F.array("k")))
-        dealt = dealt.select("fp", "size", "sig", "mins", used.alias("used"), F.xxhash64("trie", "k", F.element_at("mins", F.col("k") + 1)).alias("trie"))
-        large = None if last else written(dealt.groupBy("trie").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT), "large")
-        if large is None or large.isEmpty():
-            parts.append(dealt)
-            break
-        parts.append(dealt.join(large, "trie", "left_anti"))
-        rows = written(dealt.join(large.select("trie"), "trie", "left_semi"), "dealt")
-    out = None
-    for part in parts:
-        keyed = part.select("trie", "fp", "size", "sig").repartition(F.col("trie")).sortWithinPartitions("trie")
-        found = keyed.mapInArrow(_candidates, "low long, trie long, fp long")
-        out = found if out is None else out.unionByName(found)
-    return out.select(F.xxhash64("trie", "low").alias("trie"), "fp")
+    named = F.posexplode("mins").alias("k", "low")
+    dealt = distinct.select("fp", "size", "sig", named).select(F.xxhash64("k", "low").alias("trie"), "fp", "size", "sig")
+    keyed = split_large(dealt).repartition(F.col("trie")).sortWithinPartitions("trie")
+    found = keyed.mapInArrow(_candidates, "low long, trie long, fp long")
+    return found.select(F.xxhash64("trie", "low").alias("trie"), "fp")
 
 
 def similar_edges(signed: DataFrame, texts: DataFrame) -> DataFrame:

@@ -159,3 +159,41 @@ def test_links_are_those_of_exact_similarity(spark):
     assert sum(0.7 <= x < 0.8 for x in seen) > 20 and sum(0.8 <= x < 0.9 for x in seen) > 60
     got = {r["doc_id"] for r in s.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want
+
+
+def test_split_does_not_change_candidates(spark, monkeypatch):
+    """Sets that share one minimum only, and a trie much larger than SPLIT."""
+    rng = random.Random(21)
+    sig = bytes(64)
+    rows = [(k, 300, sig, [7, *(rng.getrandbits(60) for _ in range(s.MINS - 1))]) for k in range(40)]
+    rows += [(100 + k, 300, sig, [rng.getrandbits(60) for _ in range(s.MINS)]) for k in range(5)]
+    far = bytes([255]) * 64
+    rows += [(200, 300, far, rows[0][3]), (201, 300, far, [1, 2, 3, rows[1][3][3], 5, 6])]
+    df = spark.createDataFrame(rows, "fp long, size int, sig binary, mins array<long>")
+
+    def groups():
+        by = {}
+        for r in s.candidate_members(df).collect():
+            by.setdefault(r["trie"], []).append(r["fp"])
+        return components([(g[0], x) for g in by.values() for x in g[1:]])
+
+    whole = groups()
+    assert set(whole) == set(range(40)) and set(whole.values()) == {0}
+    monkeypatch.setattr(s, "SPLIT", 3)
+    assert groups() == whole
+    monkeypatch.setattr(s, "SPLIT", 1)
+    assert groups() == whole
+
+
+def test_last_tries_are_bounded(spark, monkeypatch):
+    """Fingerprints that agree on every block but their last bits stay together through all levels."""
+    monkeypatch.setattr(s, "SPLIT", 4)
+    fps = list(range(64))
+    rows = spark.createDataFrame([(1, f) for f in fps] + [(2, 7)], "trie long, fp long")
+    out = s.split_large(rows).collect()
+    size = {}
+    for r in out:
+        size.setdefault(r["trie"], set()).add(r["fp"])
+    assert max(map(len, size.values())) <= 14 and {7} in size.values()
+    met = {(a, b) for m in size.values() for a in m for b in m if a < b}
+    assert met == {(a, b) for a in fps for b in fps if a < b}
