@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -72,18 +73,59 @@ def test_key_and_order_do_not_matter_otherwise(spark):
     assert x.split("@")[1] == y.split("@")[1] and x != y
 
 
-@pytest.mark.parametrize("passed", [5_000, 0])
-def test_collisions_are_made_anew(spark, monkeypatch, passed):
-    """One-letter accounts of one domain collide among each other and with real ones."""
-    monkeypatch.setattr(pii, "MAX_PASSED", passed)
-    real = [f"{c}@mail.example.org" for c in "abcdefghijklmnopqr"]
-    df = spark.createDataFrame([(k, f"{m} and {m}") for k, m in enumerate(real)], "doc_id long, text string")
-    anew = pii.made_anew(df, KEY)
-    out = {r["doc_id"]: r["text"].split(" and ") for r in pii.with_surrogates(df, KEY).collect()}
-    assert all(x == y for x, y in out.values())
-    made = [x for x, _ in out.values()]
-    assert len(set(made)) == len(real) and not set(made) & set(real)
-    assert anew.count() > 0
+def test_one_atom_has_one_surrogate_however_it_is_written(spark):
+    texts = ["Mr. Smith", "Mr. John Smith", "Dr. J. Smith", "Mr. K. Smith", "Mr. O'Brien", "4111 1111 1111 1111", "4111111111111111", "+1 (988) 555-2485", "988-555-2485", "+19885552485",
+             "020 7946 0958", "BOB@x.org", "bob@X.org", "GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["text"] for r in pii.with_surrogates(df, KEY).orderBy("doc_id").collect()]
+    last = {x.split()[-1] for x in got[:4]}
+    assert len(last) == 1 and "Smith" not in last and "Brien" not in got[4]
+    assert got[2].split()[1] != got[3].split()[1] and got[2].split()[1][1] == "."
+    digits = [re.sub(r"\D", "", x) for x in got]
+    assert digits[5] == digits[6] and luhn(digits[5]) and digits[7] == "1" + digits[8] == digits[9]
+    assert re.fullmatch(r"0\d\d \d{4} \d{4}", got[10]) and got[10] != texts[10]
+    assert got[11].lower() == got[12].lower()
+    assert got[13].replace(" ", "") == got[14] and got[14].startswith("GB") and int("".join(str(int(c, 36)) for c in got[14][4:] + got[14][:4])) % 97 == 1
+
+
+def test_more_types_and_what_is_left_alone(spark):
+    texts = ["2001:db8:85a3::8a2e:370:7334", "ghp_abcdefghijklmnopqrstuvwxyzABCDEFGHIJ", "at 12:30:45 of 2024", "0810992847249404", "AB12 CDEF 3456 GHIJ", "1234567890123", "a::b", "x" * 50_000 + "-y" * 20_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["text"] for r in pii.with_surrogates(df, KEY).orderBy("doc_id").collect()]
+    assert re.fullmatch(r"[0-9a-f]{4}:[0-9a-f]{3}:[0-9a-f]{4}::[0-9a-f]{4}:[0-9a-f]{3}:[0-9a-f]{4}", got[0]) and got[0] != texts[0]
+    assert re.fullmatch(r"ghp_[a-z]{26}[A-Z]{10}", got[1]) and got[1] != texts[1]
+    assert got[2:] == texts[2:]
+
+
+def test_collisions_are_made_anew(spark):
+    """All one-letter accounts of one domain: letters do not suffice, so some grow."""
+    real = [f"{c}@mail.example.org" for c in "abcdefghijklmnopqrstuvwxyz"]
+    df = spark.createDataFrame([(k, f"{m} and {m}", 1, 2) for k, m in enumerate(real)] + [(0, f"{real[0]} and {real[0]}", 1, 2)], "doc_id long, text string, __attempts int, __texthash int")
+    rows = [(r["doc_id"], r["text"].split(" and ")) for r in pii.with_surrogates(df, KEY).collect()]
+    assert len(rows) == 27 and all(x == y for _, (x, y) in rows)
+    made = {d: x for d, (x, _) in rows}
+    assert len(set(made.values())) == len(real) and not set(made.values()) & set(real)
+    assert len({x.split("@")[1] for x in made.values()}) == 1
+
+
+def test_more_names_than_short_surrogates(spark):
+    """20,000 persons known by the family name only, and as many addresses of one small network as it has."""
+    rng = random.Random(1)
+    names = set()
+    while len(names) < 20_000:
+        names.add("Q" + "".join(rng.choice("bcdfgklmnprstvz") + rng.choice("aeiou") for _ in range(4)))
+    rows = [(k, f"Mr. {n} and Mr. Ali {n}") for k, n in enumerate(sorted(names))]
+    rows += [(20_000 + k, f"from 192.168.{k // 250}.{k % 250}") for k in range(8_000)]
+    got = {r["doc_id"]: r["text"] for r in pii.with_surrogates(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()}
+    family = {}
+    for k in range(20_000):
+        one, both = got[k].split(" and ")
+        family[k] = one.split()[1]
+        assert both.split()[2] == family[k]
+    assert len(set(family.values())) == 20_000 and not {x.lower() for x in family.values()} & {n.lower() for n in names}
+    real = {t.split()[1] for _, t in rows[20_000:]}
+    made = {got[k].split()[1] for k in range(20_000, 28_000)}
+    assert len(made) == 8_000 and not made & real
 
 
 def test_empty(spark):
