@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,21 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"\x20\x09-\x0D"
 
 
+#: How to clear what a Python worker remembers between tasks; workers are shared by all operators of a session.
+_MEMORIES: list[Callable[[], None]] = []
+
+
+def remembers(clear: Callable[[], None]) -> None:
+    """Say how to clear a memory that outlives tasks."""
+    _MEMORIES.append(clear)
+
+
+def forget() -> None:
+    """Clear them all: called by operators' tasks that do not need what other operators left in the worker."""
+    for clear in _MEMORIES:
+        clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, col_of, fresh, written
+from .common import SPACE_CLASS, col_of, forget, fresh, written
 
 
 class CuckooFilter:
@@ -164,6 +164,7 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merge equal digests within a task, before the shuffle: a hot text costs one row a task."""
+    forget()
     best: dict[bytes, tuple] = {}
     for batch in batches:
         for digest, *value in _rows(batch):
@@ -176,6 +177,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A shard of the index takes its rows in: n > 0 adds n rows, n < 0 removes rows."""
+    forget()
     index, removals = DigestIndex(), []
     for batch in batches:
         for digest, *value in _rows(batch):

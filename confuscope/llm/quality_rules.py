@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh
+from .common import forget, fresh
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -89,6 +89,7 @@ _MEASURED = T.StructType([T.StructField(m, T.LongType(), False) for m in MEASURE
 
 @F.pandas_udf(_MEASURED)
 def _measure_udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    forget()
     for texts in batches:
         yield pd.DataFrame(list(map(measure, texts)), columns=list(MEASURES), dtype="int64")
 
@@ -115,6 +116,7 @@ def build_ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for lo in range(0, batch.num_rows, ROWS):
                 part = batch.slice(lo, ROWS)

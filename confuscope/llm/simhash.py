@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col_of, fresh, written
+from .common import col_of, forget, fresh, written
 from .components import connected_components
 
 #: Whether the pairs of positions (i, j) are links.
@@ -61,6 +61,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 @F.pandas_udf(T.LongType())
 def _fingerprint_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    forget()
     for texts in batches:
         yield pd.Series(np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64))
 
@@ -225,6 +226,7 @@ def _join_tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _whole_tries(batches: Iterator[pa.RecordBatch], run) -> Iterator[pa.RecordBatch]:
     """Hand on whole tries, many small ones together; of sorted rows a bounded number is held."""
+    forget()
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
@@ -388,6 +390,7 @@ _SIGNED = T.StructType([T.StructField("fp", T.LongType()), T.StructField("size",
 @F.pandas_udf(_SIGNED)
 def _wide_udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """fp: digest of the set of shingles; size: of the set."""
+    forget()
     for texts in batches:
         rows = []
         for t in texts:
@@ -400,6 +403,7 @@ def _wide_udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 @F.pandas_udf(T.BinaryType())
 def _set_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    forget()
     for texts in batches:
         yield pd.Series([shingle_hashes(t).tobytes() for t in texts])
 

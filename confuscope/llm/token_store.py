@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import work_path, written
+from .common import forget, work_path, written
 from .tokenization import encoder
 
 END_ID = 1
@@ -172,7 +172,7 @@ def write_tokens(
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder.cache_clear()  # a worker that has encoded before needs its memo no more
+        forget()  # a worker that has encoded before needs its memo no more
         context = TaskContext.get()
         fs, folder = open_store(out)
         fs.create_dir(folder, recursive=True)
@@ -227,7 +227,7 @@ def read_tokens(manifest: DataFrame, doc_ids: Iterable[int] | None = None) -> Da
         base += n_ids
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder.cache_clear()
+        forget()
         for batch in batches:
             for part, path, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 fs, at = open_store(path)

@@ -15,6 +15,8 @@ from itertools import chain, islice
 
 import numpy as np
 
+from .common import remembers
+
 #: Chunks that a worker remembers; when full it starts afresh. Bounds memory (about 200 bytes each), not results.
 MEMO = 1_300_000
 #: The characters of longer chunks are counted; with 16 for each place in the memo it counts as full too.
@@ -172,3 +174,6 @@ class ChunkEncoder:
 def encoder(path: str) -> ChunkEncoder:
     """One encoder for each worker and vocabulary."""
     return ChunkEncoder(path)
+
+
+remembers(encoder.cache_clear)

@@ -20,3 +20,12 @@ def test_names(spark):
     assert common.fresh(df, "id") == "__id_" and common.fresh(df, "ID") == "__ID_"
     assert df.select(common.col_of("A.b").alias("x")).first()["x"] == 2
     assert df.select(common.ascii_lower(common.F.lit("ÄBc")).alias("x")).first()["x"] == "Äbc"
+
+def test_tasks_forget_what_others_remember(tmp_path):
+    seen = []
+    common.remembers(lambda: seen.append(1))
+    try:
+        common.forget()
+        assert seen == [1]
+    finally:
+        common._MEMORIES.pop()
