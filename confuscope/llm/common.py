@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,18 +39,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, local mode) a temporary folder is set for the session.
+    Only in local mode, where that setting may be absent (tests), a temporary folder is set for the session and deleted
+    when the program ends; on a cluster its absence is an error, as each machine would write to its own disk.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.sparkContext.setCheckpointDir(root)
+        if not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="shared-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        root = "file://" + folder
+        context.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+#: Paths of work tables by open scratch(), the innermost last.
+_SCRATCH: list[list[str]] = []
+
+
 def work_path(spark: SparkSession, label: str) -> str:
     """A new path under the shared folder."""
-    return f"{shared_dir(spark)}/work/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/work/{label}-{uuid.uuid4().hex}"
+    for paths in _SCRATCH[-1:]:
+        paths.append(path)
+    return path
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -55,14 +72,50 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = work_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["work_path"] = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table made by written() that nothing reads any more."""
+    path = df.__dict__.get("work_path")
+    if path:
+        _delete(df.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables and files that operators write under the shared folder within the block are deleted at its end, but for
+    those that the function it yields is called with."""
+    paths: list[str] = []
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df.__dict__["work_path"])
+        return df
+
+    _SCRATCH.append(paths)
+    try:
+        yield keep
+    finally:
+        _SCRATCH.remove(paths)
+        for path in paths:
+            if path not in kept:
+                _delete(spark, path)
+        for outer in _SCRATCH[-1:]:
+            outer += kept
 
 
 def clear_work(spark: SparkSession) -> None:
     """Delete all tables and files that operators wrote under the shared folder; results that still read
     them must have been written elsewhere."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/work")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_dir(spark)}/work")
 
 
 def fresh(df: DataFrame, stem: str) -> str:

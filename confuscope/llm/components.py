@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _lowest(edges: DataFrame) -> DataFrame:
@@ -40,5 +40,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         large = _lowest(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = _lowest(large)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        pairs = written(small.where("u <> v").distinct(), "edges")
+        old, pairs = pairs, written(small.where("u <> v").distinct(), "edges")
+        discard(old)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

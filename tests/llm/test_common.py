@@ -1,6 +1,8 @@
 from pathlib import Path
 from urllib.parse import urlparse
 
+import pytest
+
 from confuscope.llm import common
 
 
@@ -29,3 +31,23 @@ def test_tasks_forget_what_others_remember(tmp_path):
         assert seen == [1]
     finally:
         common._MEMORIES.pop()
+
+
+def test_scratch_deletes_what_is_not_kept(spark):
+    from types import SimpleNamespace
+
+    exists = lambda df: Path(urlparse(df.__dict__["work_path"]).path).exists()
+    with common.scratch(spark) as keep:
+        a = common.written(spark.range(3), "a")
+        with common.scratch(spark) as inner:
+            b, c = inner(common.written(spark.range(4), "b")), common.written(spark.range(5), "c")
+        assert exists(b) and not exists(c)
+        keep(a)
+    assert exists(a) and not exists(b) and a.count() == 3
+    common.discard(a)
+    assert not exists(a)
+    common.discard(spark.range(1))
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    far = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: None))
+    with pytest.raises(RuntimeError):
+        common.shared_dir(far)
