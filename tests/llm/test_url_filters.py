@@ -1,6 +1,11 @@
+import random
+import subprocess
+import sys
+
+import duckdb
 import pytest
 
-from confuscope.llm.queries import URL_RULES
+from confuscope.llm.queries import ORACLE_SQL, QUERIES, URL_RULES
 from confuscope.llm.url_filters import Rule, filter_urls
 
 CANON = '<html><LINK  rel="canonical" href="{}"></html>'
@@ -59,3 +64,63 @@ def test_bad_rules():
         Rule("deny", "net/")
     with pytest.raises(ValueError):
         Rule("block", "net")
+
+
+def made_pages(rng, n):
+    """Pages of a few hosts, of which many name another one as canonical, in chains and circles."""
+    hosts = ["a.example.net", "example.com", "www.example.com", "free.org", "x.example.org", "other.io", "blog.other.io"]
+    url = lambda: f"http{rng.choice(['', 's'])}://{rng.choice(hosts)}/{rng.choice(['en', 'de', 'fr'])}/{rng.randrange(n)}{rng.choice(['', '', '?page=2', '#top'])}"
+    urls = [url() for _ in range(n)]
+    tag = lambda: f'<p><link rel="canonical" href="{rng.choice(urls)}">' if rng.random() < 0.4 else "<p>canonical"
+    return [(k, u, tag()) for k, u in enumerate(urls)]
+
+
+def test_query_with_canonical_links_matches_its_sql(spark, tmp_path):
+    rows = made_pages(random.Random(9), 400) + [(900, None, None), (901, "x", CANON.format("http://a.example.net/fr/1"))]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = [tuple(r) for r in QUERIES["op1_url_filters"](spark, str(tmp_path)).select("page_id", "host", "path", "rule", "verdict", "decided_by").collect()]
+    db = duckdb.connect()
+    db.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = db.sql(ORACLE_SQL["op1_url_filters"]).select("page_id, host, path, rule, verdict, decided_by").fetchall()
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert sum(r[5] == "alias" for r in got) > 20
+
+
+def test_many_rules_against_brute_force(spark):
+    rng = random.Random(10)
+    label = lambda: rng.choice("abcd")
+    host = lambda: ".".join(label() for _ in range(rng.randrange(1, 4)))
+    path = lambda: "/" + "".join(rng.choice("xy/") for _ in range(rng.randrange(4)))
+    rules = [Rule(rng.choice(["allow", "block"]), host().upper() + path()) for _ in range(1500)]
+    pages = [(k, f"http://{rng.choice(['', 'z.', 'Q.'])}{host()}{path()}", None) for k in range(300)] + [(300, "http://" + "a." * 3000 + "b/x", None), (301, "http://a..b/x", None)]
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), rules).collect()}
+    table = spark.createDataFrame([(r.action, r.pattern) for r in rules], "action string, pattern string")
+    assert got == {r["page_id"]: (r["rule"], r["verdict"]) for r in filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), table).collect()}
+    for k, u, _ in pages:
+        h, _, p = u[7:].partition("/")
+        h, p = h.lower(), "/" + p
+        fits = []
+        for r in rules:
+            rh, _, rp = r.pattern.partition("/")
+            if (h == rh.lower() or h.endswith("." + rh.lower())) and p.startswith("/" + rp):
+                fits.append((-len(r.pattern), r.action, r.pattern))
+        assert got[k] == ((min(fits)[2], min(fits)[1]) if fits else (None, "allow"))
+
+
+def test_no_rules_and_long_texts(spark):
+    df = spark.createDataFrame([(1, "http://" + "h" * 9_000 + "/" + "p/" * 40_000, CANON.format("/x") + "<link " * 20_000)], "page_id long, url string, html string")
+    assert [r["verdict"] for r in filter_urls(df, []).collect()] == ["allow"]
+    assert [r["verdict"] for r in filter_urls(df, URL_RULES).collect()] == ["allow"]
+
+
+def test_generated_code_compiles(tmp_path):
+    code = """
+from pyspark.sql import SparkSession
+from confuscope.llm.queries import URL_RULES
+from confuscope.llm.url_filters import filter_urls
+s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+df = s.createDataFrame([(1, "http://a.com/x", "<link rel=canonical href='/y'>"), (2, "http://b.net/", "")], "page_id long, url string, html string")
+print(filter_urls(df, URL_RULES).count())
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    assert done.stdout.strip() == "2" and "Failed to compile" not in done.stderr
