@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import struct
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -28,6 +29,8 @@ END_ID = 1
 SEEK_FRAME, SEEK_FOOTER, DIRECTORY_FRAME = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50
 #: Documents in a file, about; files follow the input, not the cluster.
 FILE_DOCS = 1 << 12
+#: Files at most, as their list is read by the driver; beyond it files grow. And ids that are sampled for each.
+MOST_FILES, SAMPLED = 100_000, 16
 
 
 def make_frame(ids: np.ndarray, width: int) -> tuple[bytes, int]:
@@ -108,8 +111,8 @@ def open_store(uri: str):
 
 _FRAME = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("n_ids", pa.int64()), ("checksum", pa.int64()), ("frame", pa.binary())])
 _FRAME_SQL = "part int, doc_id long, tie long, n_ids long, checksum long, frame binary"
-_FILE = pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
-_FILE_SQL = "part int, path string, n_docs long, n_ids long"
+_FILE = pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
+_FILE_SQL = "part int, path string, n_docs long, n_ids long, low long, high long"
 
 
 def id_width(tokenizer_path: str, end_id: int) -> int:
@@ -119,12 +122,13 @@ def id_width(tokenizer_path: str, end_id: int) -> int:
     return 2 if max(Tokenizer.from_file(tokenizer_path).get_vocab_size() - 1, end_id) < 1 << 16 else 4
 
 
-def bounds(docs: DataFrame, id_col: str, n: int) -> list[int]:
-    """At most n - 1 ids that split the documents about evenly; reads the id column only."""
-    if n < 2:
-        return []
-    cuts = docs.select(F.col(id_col).cast("double").alias("x")).approxQuantile("x", [k / n for k in range(1, n)], 0.25 / n)
-    return [int(x) for x in cuts]
+def bounds(docs: DataFrame, id_col: str, n: int, n_docs: int) -> np.ndarray:
+    """n - 1 ids at most that split the documents about evenly, from a sample of SAMPLED ids for each file; reads the id
+    column only. They decide which documents share a file, nothing else; an id with the rows of several files repeats."""
+    share = min(1.0, SAMPLED * n / max(n_docs, 1))
+    ids = docs.select(F.col(id_col).cast("long").alias("x")).where("x is not null")
+    found = np.sort((ids if share == 1.0 else ids.sample(share, 1)).toArrow()["x"].to_numpy())
+    return found[np.arange(1, n) * len(found) // n] if n > 1 and len(found) else np.zeros(0, dtype=np.int64)
 
 
 def write_tokens(
@@ -132,7 +136,7 @@ def write_tokens(
     end_id: int = END_ID, files: int | None = None,
 ) -> DataFrame:
     """Encode every text, append ``end_id`` and write the files; returns the written manifest
-    (part, path, n_docs, n_ids). Files in order of part, and documents within them, ascend by doc_id.
+    (part, path, n_docs, n_ids, low, high: the smallest and largest doc_id, null if the file has none). Files in order of part, and documents within them, ascend by doc_id.
 
     ``files``: number of files; by default follows the number of documents. Null ids come first, and
     documents of one id are ordered by a hash of their text; an id that has the rows of several files
@@ -143,9 +147,10 @@ def write_tokens(
     """
     spark = docs.sparkSession
     out = out or work_path(spark, "tokens")
+    n_docs = docs.count()
     if files is None:
-        files = max(1, min(100_000, -(-docs.count() // FILE_DOCS)))
-    cuts = np.array(bounds(docs, id_col, int(files)), dtype=np.int64)
+        files = max(1, min(MOST_FILES, -(-n_docs // FILE_DOCS)))
+    cuts = bounds(docs, id_col, int(files), n_docs)
     width = id_width(tokenizer_path, end_id)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +188,9 @@ def write_tokens(
             writer.close()
             stream.close()
             fs.move(temp, f"{folder}/part-{part:06d}.tokens")
-            done.append((part, f"{out}/part-{part:06d}.tokens", len(writer.docs), n_ids))
+            # Documents ascend and null ids come first.
+            last = writer.docs[-1]
+            done.append((part, f"{out}/part-{part:06d}.tokens", len(writer.docs), n_ids, next((d for d in writer.docs if d is not None), None), last))
 
         for batch in batches:
             for part, doc_id, _, n_ids, checksum, frame in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -212,18 +219,22 @@ _DOC = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int
 
 
 def read_tokens(manifest: DataFrame, doc_ids: Iterable[int] | None = None) -> DataFrame:
-    """(part, doc_id, start, n_tokens, ids) of the documents in the files; with ``doc_ids`` only
-    their frames are decompressed. start counts the ids of all documents before it in all files.
+    """(part, doc_id, start, n_tokens, ids) of the documents in the files; with ``doc_ids`` only the files that may have
+    them are opened, and only their frames are decompressed. start counts the ids of all documents before it in all
+    files.
 
     The offsets of files are summed up from the manifest, which has a row for each file.
     """
     spark: SparkSession = manifest.sparkSession
     wanted = None if doc_ids is None else frozenset(doc_ids)
     # A row for each file: bounded by the number of files, which are of a fixed size.
-    files = sorted(tuple(r) for r in manifest.select("part", "path", "n_ids").collect())
+    files = sorted(tuple(r) for r in manifest.select("part", "path", "n_ids", "low", "high").collect())
+    asked = None if wanted is None else sorted(d for d in wanted if d is not None)
     base, rows = 0, []
-    for part, path, n_ids in files:
-        rows.append((part, path, base))
+    for part, path, n_ids, low, high in files:
+        near = asked is None or None in wanted or high is not None and bisect_left(asked, low) < bisect_right(asked, high)
+        if near:
+            rows.append((part, path, base))
         base += n_ids
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -68,6 +68,7 @@ def test_round_trip(spark, docs, docs_rows, empty_docs, files):
     some = ts.read_tokens(manifest, [3, 210]).collect()
     assert {r["doc_id"] for r in some} == {3, 210} and len(some) == 4
     assert all(zlib.crc32(r["ids"]) for r in some)
+    assert len(ts.read_tokens(manifest, [None, 223]).collect()) == 3 and ts.read_tokens(manifest, []).count() == ts.read_tokens(manifest, [999]).count() == 0
     assert ts.read_tokens(ts.write_tokens(empty_docs, PATH)).count() == 0
 
 
@@ -77,3 +78,13 @@ def test_one_id_over_many_files(spark):
     assert manifest.count() > 2
     got = sorted((r["start"], r["doc_id"]) for r in ts.read_tokens(manifest).collect())
     assert [d for _, d in got] == [1] + [7] * 200 + [9]
+
+
+def test_a_lookup_opens_the_files_that_may_have_it(spark):
+    rows = [(k, f"text {k}") for k in range(400)]
+    manifest = ts.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), PATH, files=8)
+    assert manifest.count() == 8 and max(r["n_docs"] for r in manifest.collect()) <= 100
+    found = ts.read_tokens(manifest, [5, 390])
+    assert sorted(r["doc_id"] for r in found.collect()) == [5, 390] and found.rdd.getNumPartitions() == 2
+    (low, high), = {(r["low"], r["high"]) for r in manifest.collect() if r["part"] == 0}
+    assert low == 0 and 20 < high < 100
