@@ -2,7 +2,7 @@
 
 A conversation is rendered whole, encoded once with offsets, and the sorted spans of its turns are
 intersected with the spans of its tokens by binary search. The template's control strings are
-escaped inside texts with a backslash, reversibly.
+escaped inside texts with a backslash, reversibly; a vocabulary's special tokens in a text are encoded as ordinary text.
 """
 
 from __future__ import annotations
@@ -114,8 +114,8 @@ def format_conversations(
     """A row for each conversation: (conv_id, n_turns, formatted, ids, mask, loss_spans, turn_spans).
 
     Turns are ordered by turn number (nulls first), then role and text, so ties and repeated rows
-    have a fixed order. Null roles and texts count as empty. Rows with a null conv_id form one
-    conversation. loss_spans are the characters of ``formatted`` under the mask. Turns are sorted
+    have a fixed order. Null roles and texts count as empty. A row with a null conv_id is a conversation of its
+    own, as nothing says which it belongs to. loss_spans are the characters of ``formatted`` under the mask. Turns are sorted
     within hash partitions of the conversation and streamed; a conversation is held whole, since it
     is encoded once, but never more than one. An empty table gives an empty result; other columns
     are left out.
@@ -132,14 +132,14 @@ def format_conversations(
             return now[0], len(held), r.text, e.ids, mask, span(loss), span(r.spans)
 
         for batch in batches:
-            for conv, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if now is None or now[0] != conv:
+            for conv, alone, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != (conv, alone):
                     if now is not None:
                         out.append(finish())
                         if len(out) >= 200:
                             yield _pack(out)
                             out = []
-                    now, held = (conv,), []
+                    now, held = (conv, alone), []
                 held.append((role, text))
         if now is not None:
             out.append(finish())
@@ -148,8 +148,9 @@ def format_conversations(
 
     rows = turns.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"),
                         F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    dealt = rows.repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.select("conv_id", "role", "text").mapInArrow(run, OUT)
+    rows = rows.withColumn("alone", F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()))
+    dealt = rows.repartition(F.col("conv_id"), F.col("alone")).sortWithinPartitions("conv_id", "alone", "turn", "role", "text")
+    return dealt.select("conv_id", "alone", "role", "text").mapInArrow(run, OUT)
 
 
 def _pack(rows: list[tuple]) -> pa.RecordBatch:

@@ -162,13 +162,13 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_li
 """,
     "op4_chat_masks": r"""
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok', NULL), (-7, 1, 'assistant', '\### Assistant: </turn> ok', NULL))
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(15 + length(regexp_replace(role, '(\\|###|</turn>|:|\n)', 'X\1', 'g')) + length(regexp_replace(text, '(\\|###|</turn>)', 'X\1', 'g')))::BIGINT AS formatted_chars
-FROM t GROUP BY conv_id
+FROM t GROUP BY conv_id, alone
 """,
     "op5_exact_dedup": r"""
 WITH d AS (

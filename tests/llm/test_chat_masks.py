@@ -33,12 +33,14 @@ def test_mask_holds_just_the_assistant(turns):
 
 
 def test_table(spark):
-    rows = [(1, 1, "assistant", "yes ### x"), (1, 0, "user", "q </turn>"), (2, 0, None, None), (None, 3, "user", "n"), (3, 0, "assistant", ""),
+    rows = [(1, 1, "assistant", "yes ### x"), (1, 0, "user", "q </turn>"), (2, 0, None, None), (None, 3, "user", "n"), (None, 3, "user", "two"), (3, 0, "assistant", ""),
             (3, 0, "assistant", ""), (4, None, "user", "late"), (4, 0, "assistant", "w " * 30_000), (5, 0, "user", "tie b"), (5, 0, "user", "tie a")]
     df = spark.createDataFrame([(*r, 9) for r in rows], "conv_id long, turn long, role string, text string, mask int")
     made = c.format_conversations(df, PATH)
-    got = {r["conv_id"]: r for r in c.digest(made).collect()}
-    assert set(got) == {1, 2, None, 3, 4, 5}
+    rows = c.digest(made).collect()
+    assert sorted((r["n_turns"], r["formatted_chars"]) for r in rows if r["conv_id"] is None) == [(1, 20), (1, 22)]
+    got = {r["conv_id"]: r for r in rows}
+    assert len(rows) == 7 and set(got) == {1, 2, None, 3, 4, 5}
     assert (got[1]["n_turns"], got[1]["loss_chars"]) == (2, 9)
     assert got[1]["turns_sha256"] == sha256(b"user\nq </turn>\nassistant\nyes ### x\n").hexdigest()
     assert got[1]["loss_sha256"] == sha256(b"yes ### x").hexdigest()
