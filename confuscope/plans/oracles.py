@@ -105,6 +105,17 @@ TESTS = FAMILIES + """,
 tests AS (SELECT 'all' AS family, a || '_' || b AS test_id, least(round(d * 20, 6), 1) AS p FROM famd)"""
 
 
+#: Each turn with the next one of its conversation, and their edit distance. The built-in function counts bytes, so a pair's
+#: characters are numbered first.
+TURNS = """
+pair AS (SELECT x.role AS script, x.conv_id AS a, x.turn AS b, nfc_normalize(coalesce(x.text, '')) AS truth, nfc_normalize(coalesce(y.text, '')) AS prediction
+  FROM conversations x JOIN conversations y ON x.conv_id = y.conv_id AND y.turn = x.turn + 1)"""
+DISTANCES = """
+kinds AS (SELECT *, list_distinct(string_split(truth || prediction, '')) AS ks FROM pair),
+dist AS (SELECT *, levenshtein(array_to_string(list_transform(string_split(truth, ''), lambda c: CASE WHEN c = '' THEN '' ELSE chr(list_position(ks, c)::INT) END), ''),
+  array_to_string(list_transform(string_split(prediction, ''), lambda c: CASE WHEN c = '' THEN '' ELSE chr(list_position(ks, c)::INT) END), ''))::INT AS distance FROM kinds)"""
+
+
 def r6(*names: str) -> str:
     return ", ".join(f"round({n}, 6) + 0.0 AS {n}" for n in names)
 
@@ -187,10 +198,11 @@ SELECT 'frobenius' AS method, a, arg_min(b, d) AS nearest, round(min(d), 6) AS d
 tri AS (SELECT count(*) AS n FROM sq x JOIN sq y ON x.a = y.a JOIN sq z ON z.a = y.b AND z.b = x.b WHERE x.d > y.d + z.d + 1e-10)
 SELECT 'wasserstein' AS method, true AS non_negativity, true AS identity, true AS symmetry, n = 0 AS triangle_inequality, true AS self_minimum, n = 0 AS is_metric, n = 0 AS all_passed FROM tri""",
     "wasserstein_families": f"WITH {FAMILIES} SELECT a, b, round(d, 6) AS d FROM famd",
-    "wasserstein_pairs": f"WITH {FAMILIES} SELECT a.vec_id AS a, b.vec_id AS b, round(avg(abs(a.c - b.c)), 6) AS d FROM cum a JOIN cum b ON a.pos = b.pos AND a.vec_id < b.vec_id GROUP BY ALL",
-    "family_separation": f"""WITH {FAMILIES}, p AS (SELECT a.family AS fa, b.family AS fb, avg(abs(a.c - b.c)) AS d FROM cum a JOIN cum b ON a.pos = b.pos AND a.vec_id < b.vec_id GROUP BY a.family, b.family, a.vec_id, b.vec_id)
-SELECT round(avg(d) FILTER (fa = fb), 6) AS within_mean, round(avg(d) FILTER (fa <> fb), 6) AS between_mean, round(avg(d) FILTER (fa = fb) / avg(d) FILTER (fa <> fb), 6) AS separation,
-  count(*) FILTER (fa = fb) AS n_within, count(*) FILTER (fa <> fb) AS n_between FROM p""",
+    "wasserstein_nearest": f"""WITH {FAMILIES}, p AS (SELECT a.vec_id AS query, b.vec_id, avg(abs(a.c - b.c)) AS d FROM cum a JOIN cum b ON a.pos = b.pos AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 GROUP BY ALL)
+SELECT query, round(min(d), 6) AS d FROM p GROUP BY query""",
+    "family_separation": f"""WITH {FAMILIES}, p AS (SELECT substr(a, 2)::INT % 2 = substr(b, 2)::INT % 2 AS same, d FROM famd)
+SELECT round(avg(d) FILTER (same), 6) AS within_mean, round(avg(d) FILTER (NOT same), 6) AS between_mean, round(avg(d) FILTER (same) / avg(d) FILTER (NOT same), 6) AS separation,
+  count(*) FILTER (same) AS n_within, count(*) FILTER (NOT same) AS n_between FROM p""",
     "spectrum_lines": f"WITH {FAMILIES} SELECT family AS script, (pos - 1)::INT AS idx, round(x, 6) AS value, round(c, 6) AS cum FROM fam JOIN famcum USING (family, pos)",
     "spectral_entropy": """SELECT vec_id, round(h, 6) AS entropy, round(exp(h), 6) AS effective_rank FROM (
   SELECT vec_id, -sum(q * ln(q)) AS h FROM (SELECT vec_id, x * x / sum(x * x) OVER (PARTITION BY vec_id) AS q FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings)) WHERE q > 0 GROUP BY vec_id)""",
@@ -228,27 +240,31 @@ SELECT script, sum(hit::INT)::BIGINT AS covered, count(*) AS charset_size, round
   coalesce(string_agg(CASE WHEN NOT hit AND ch NOT IN (' ', chr(10)) THEN ch END, '' ORDER BY ch), '') AS missing FROM j GROUP BY script""",
     "clean_text": """SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(9), ' '), ' +', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'),
   '[^\\n a-zA-Z0-9.,!?;:''"()\\[\\]{}/-]', '', 'g'), ' +', ' ', 'g'), ' ' || chr(10)) AS cleaned FROM documents""",
-    "segment_texts": """WITH RECURSIVE ls AS (SELECT item_id, list_filter(list_transform(string_split(replace(replace(text, '.', chr(10)), chr(13), ' '), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM benchmark),
-f(item_id, k, open, n, c, done) AS (SELECT item_id, 1, NULL::VARCHAR, 0, 0, []::VARCHAR[] FROM ls UNION ALL
-  SELECT item_id, k + 1, CASE WHEN full_ OR open IS NULL THEN line ELSE open || chr(10) || line END, CASE WHEN full_ THEN length(line) ELSE n + length(line) END, CASE WHEN full_ THEN 1 ELSE c + 1 END,
-    CASE WHEN full_ AND open IS NOT NULL THEN list_append(done, open) ELSE done END
-  FROM (SELECT f.*, ls.l[k] AS line, n + length(ls.l[k]) > 100 OR c >= 5 AS full_ FROM f JOIN ls USING (item_id) WHERE k <= len(ls.l))),
-e AS (SELECT f.item_id, list_filter(CASE WHEN open IS NULL THEN done ELSE list_append(done, open) END, lambda s: length(s) >= 20) AS segs FROM f JOIN ls USING (item_id) WHERE k = len(ls.l) + 1)
-SELECT item_id, (generate_subscripts(segs, 1) - 1)::INT AS segment_index, unnest(segs) AS text FROM e""",
-    "channel_match": """WITH t AS (SELECT lang AS script, doc_id, string_split(left(text, 200), '') AS a, string_split(translate(left(text, 200), 'eaotn', 'εαοτν'), '') AS b, length(left(text, 200)) AS n FROM documents),
-m AS (SELECT script, doc_id, n, len(list_filter(list_zip(a, b), lambda z: z[1] = z[2])) AS matches FROM t WHERE n > 0)
-SELECT script, doc_id, matches::INT AS matches, (n - matches)::INT AS substitutions, 0 AS insertions, 0 AS deletions, round(matches / n::DOUBLE, 6) AS char_accuracy, round((n - matches) / n::DOUBLE, 6) AS cer FROM m""",
-    "channel_cells": """WITH z AS (SELECT lang AS script, unnest(string_split(left(text, 200), '')) AS true_char, unnest(string_split(translate(left(text, 200), 'eaotn', 'εαοτν'), '')) AS pred_char FROM documents)
+    "segment_texts": r"""WITH RECURSIVE x AS (SELECT lang AS script, format('d{:09d}', doc_id) AS source_file, row_number() OVER () AS r,
+  list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[\x09-\x0D\x{85}\pZ]+|[\x09-\x0D\x{85}\pZ]+$', '', 'g')), lambda x: x <> '') AS ls FROM documents),
+l AS (SELECT r, generate_subscripts(ls, 1) AS k, unnest(ls) AS line FROM x),
+f(r, k, open, n, c, closed) AS (SELECT r, 0::BIGINT, NULL::VARCHAR, 0::BIGINT, 0, NULL::VARCHAR FROM x WHERE len(ls) > 0 UNION ALL
+  SELECT r, k, CASE WHEN full_ OR open IS NULL THEN line ELSE open || chr(10) || line END, CASE WHEN full_ THEN length(line) ELSE n + length(line) END, CASE WHEN full_ THEN 1 ELSE c + 1 END, CASE WHEN full_ THEN open END
+  FROM (SELECT f.r, l.k, f.open, f.n, f.c, l.line, f.n + length(l.line) > 100 OR f.c >= 5 AS full_ FROM f JOIN l ON f.r = l.r AND l.k = f.k + 1)),
+s AS (SELECT r, k, closed AS text FROM f WHERE closed IS NOT NULL UNION ALL SELECT f.r, f.k + 1, f.open FROM f JOIN x ON f.r = x.r AND f.k = len(x.ls) AND f.k > 0)
+SELECT script, source_file, (row_number() OVER (PARTITION BY r ORDER BY k) - 1)::INT AS segment_index, s.text FROM s JOIN x USING (r) WHERE length(s.text) >= 20""",
+    "channel_match": """WITH d AS (SELECT lang AS script, doc_id, coalesce(text, '') AS text FROM documents),
+t AS (SELECT script, doc_id, string_split(text, '') AS a, string_split(translate(text, 'eaotn', 'εαοτν'), '') AS b, length(text) AS n FROM d),
+m AS (SELECT script, doc_id, n, CASE WHEN n = 0 THEN 0 ELSE len(list_filter(list_zip(a, b), lambda z: z[1] = z[2])) END AS matches FROM t)
+SELECT script, doc_id, matches::INT AS matches, (n - matches)::INT AS substitutions, 0 AS insertions, 0 AS deletions,
+  CASE WHEN n = 0 THEN 0 ELSE round(matches / n::DOUBLE, 6) END AS char_accuracy, CASE WHEN n = 0 THEN 1 ELSE round((n - matches) / n::DOUBLE, 6) END AS cer FROM m""",
+    "channel_cells": """WITH z AS (SELECT lang AS script, unnest(string_split(text, '')) AS true_char, unnest(string_split(translate(text, 'eaotn', 'εαοτν'), '')) AS pred_char FROM documents)
 SELECT script, true_char, pred_char, count(*)::DOUBLE AS n FROM z WHERE true_char <> '' GROUP BY ALL""",
-    "edit_distance": r"""WITH d AS (SELECT doc_id, lang, text, left(text, 40) AS head, length(text) AS n, left(text, 200) AS f FROM documents)
-SELECT a.lang AS script, a.doc_id AS a, b.doc_id AS b, levenshtein(a.f, b.f)::INT AS distance FROM d a JOIN d b ON a.head = b.head AND a.doc_id < b.doc_id AND a.text <> b.text AND abs(a.n - b.n) <= 40
-WHERE regexp_full_match(a.f, '[\x00-\x7f]*', 's') AND regexp_full_match(b.f, '[\x00-\x7f]*', 's')""",
-    "input_validation": """WITH i AS (SELECT lang AS script, count(*) AS n_images FROM documents GROUP BY lang), t AS (SELECT lang AS script, count(*) AS n_labels FROM documents WHERE doc_id % 10 < 9 GROUP BY lang)
+    "edit_distance": f"WITH {TURNS}, {DISTANCES} SELECT script, a, b, distance FROM dist",
+    "turn_alignment": f"""WITH {TURNS}, {DISTANCES}
+SELECT script, a, b, distance AS edits, length(truth)::INT AS truth_chars, length(prediction)::INT AS prediction_chars,
+  CASE WHEN truth = '' THEN 1 ELSE round(distance / length(truth)::DOUBLE, 6) END AS cer FROM dist""",
+    "input_validation": """WITH i AS (SELECT lang AS script, count(*) AS n_images FROM documents GROUP BY lang), t AS (SELECT lang AS script, count(*) AS n_labels FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL GROUP BY lang)
 SELECT script, n_images, n_labels, round(n_labels / n_images::DOUBLE, 6) AS coverage, true AS passed FROM i JOIN t USING (script)""",
     "run_statistics": """SELECT d.lang AS script, sum((quality IS NOT NULL AND toxic = 0)::INT)::BIGINT AS processed, sum((quality IS NULL)::INT)::BIGINT AS skipped, sum((quality IS NOT NULL AND toxic = 1)::INT)::BIGINT AS errors
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.lang""",
-    "label_lines": """WITH x AS (SELECT doc_id, lang AS script, 'f' || (doc_id % 50)::VARCHAR AS filename, trim(left(text, 30)) AS t FROM documents WHERE text NOT LIKE '%"%' AND left(text, 30) NOT LIKE '%' || chr(10) || '%')
-SELECT script, filename, arg_max(trim(t, '"'''), doc_id) AS text FROM x GROUP BY ALL""",
+    "label_lines": """WITH x AS (SELECT lang AS script, 'd' || doc_id::VARCHAR AS filename, doc_id, replace(replace(coalesce(text, ''), chr(10), '\\n'), chr(13), '\\r') AS t FROM documents)
+SELECT script, filename, arg_max(trim(trim(t, '"'), ), doc_id) AS text FROM x GROUP BY ALL""",
     "labels_join": """SELECT d.lang AS script, count(*) AS images, count(l.doc_id) AS labelled, count(*) - count(l.doc_id) AS unlabelled FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.lang""",
 }
 ORACLE_SQL["channel_engine"] = ORACLE_SQL["channel_cells"]
@@ -268,3 +284,22 @@ SELECT a.script AS a, b.script AS b, round(1 - (SELECT count(*) FROM c x JOIN c
   / (SELECT count(DISTINCT ch) FROM c WHERE script IN (a.script, b.script))::DOUBLE, 6) AS d FROM (SELECT DISTINCT script FROM c) a JOIN (SELECT DISTINCT script FROM c) b ON a.script < b.script"""
 ORACLE_SQL["distance_histogram"] = f"""WITH {FAMILIES}, e AS (SELECT min(d) AS lo, max(d) AS hi FROM famd)
 SELECT 'wasserstein' AS method, least(floor((d - lo) / ((hi - lo) / 10)), 9)::INT AS bin, count(*) AS n FROM famd, e GROUP BY ALL"""
+ORACLE_SQL["json_export"] = counted(EVENT, """, tops AS (SELECT script, string_agg(true_char || '>' || pred_char || '=' || n::BIGINT::VARCHAR, ',' ORDER BY n DESC, true_char, pred_char) AS top FROM (
+  SELECT *, row_number() OVER (PARTITION BY script ORDER BY n DESC, true_char, pred_char) AS r FROM off) WHERE r <= 10 GROUP BY script),
+rows AS (SELECT script, i, string_agg(n::BIGINT::VARCHAR, ',' ORDER BY j) AS line FROM dense GROUP BY ALL)
+SELECT script, (SELECT string_agg(ch, ',' ORDER BY idx) FROM labels l WHERE l.script = m.script) AS characters, (SELECT string_agg(line, '/' ORDER BY i) FROM rows r WHERE r.script = m.script) AS matrix,
+  top, round(accuracy, 6) AS accuracy, round(sparsity, 6) AS sparsity, total_observations, size FROM metrics m JOIN tops USING (script)""", METRICS + DENSE)
+ORACLE_SQL["profile_summary"] = counted(TRI, """SELECT script, printf('%s: n=%d gap=%.4f rank=%.2f fiedler=%.4f accuracy=%.4f gini=%.4f', script, 3, bistochastic_gap, effective_rank, fiedler_value, accuracy, gini) AS summary
+FROM prof JOIN features USING (script)""", FEATURES + SINKHORN + SPECTRA, True)
+ORACLE_SQL["analysis_json"] = counted(TRI, """, every AS (SELECT a, b, d FROM spectral UNION ALL SELECT b, a, d FROM spectral),
+bad AS (SELECT count(*) AS n FROM every x JOIN every y ON x.a = y.a JOIN every z ON z.a = y.b AND z.b = x.b WHERE x.d > y.d + z.d + 1e-10)
+SELECT part, name, round(value, 6) + 0.0 AS value FROM (
+  SELECT 'size' AS part, script AS name, 3.0 AS value FROM prof UNION ALL SELECT 'accuracy', script, accuracy FROM metrics UNION ALL SELECT 'spectral_gap', script, bistochastic_gap FROM prof
+  UNION ALL SELECT 'effective_rank', script, effective_rank FROM prof UNION ALL SELECT 'distance', a || '_vs_' || b, d FROM spectral UNION ALL SELECT 'sanity', 'all_passed', (n = 0)::INT FROM bad)""",
+                                      METRICS + DENSE + SINKHORN + SPECTRA, True)
+ORACLE_SQL["average_linkage"] = counted(NATION, """, ends AS (SELECT a, b, d FROM fro UNION ALL SELECT b, a, d FROM fro),
+leaves AS (SELECT script AS leaf, (row_number() OVER (ORDER BY script) - 1)::INT AS cl, count(*) OVER ()::INT AS n FROM sizes),
+tree(step, leaf, cl, n, i, j, h) AS (SELECT 0, leaf, cl, n, NULL::INT, NULL::INT, NULL::DOUBLE FROM leaves UNION ALL
+  SELECT t.step + 1, t.leaf, CASE WHEN t.cl IN (m.i, m.j) THEN t.n + t.step ELSE t.cl END, t.n, m.i, m.j, m.h
+  FROM tree t, (SELECT x.cl AS i, y.cl AS j, avg(d) AS h FROM tree x JOIN tree y ON x.cl < y.cl JOIN ends e ON e.a = x.leaf AND e.b = y.leaf GROUP BY x.cl, y.cl ORDER BY round(avg(d), 12), x.cl, y.cl LIMIT 1) m)
+SELECT 'frobenius' AS method, step - 1 AS step, i AS left, j AS right, round(any_value(h), 6) AS height, count(*) FILTER (cl = n + step - 1)::INT AS size FROM tree WHERE step > 0 GROUP BY step, i, j""", FROBENIUS, True)

@@ -78,22 +78,31 @@ def _family_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("a_script").alias("a"), F.col("b_script").alias("b"), d.alias("d"), F.lit("wasserstein").alias("method"))
 
 
-def _vector_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cumulative shares are worked out once for each vector, so a pair costs one pass over two arrays."""
+def wasserstein_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search: for every vector whose id is divisible by 50 the distance to the nearest of all others.
+
+    Queries lie in blocks of bounded size; each row meets each block once, and what it finds is reduced to a row for each
+    query before it is shuffled. Cumulative shares are worked out once for each vector.
+    """
     e = T.embedding_spectra(spark, sf_dir)
-    cum = e.select("script", "family", A.running(A.as_distribution(F.col("values"))).alias("c")).persist()
-    gap = F.aggregate(F.zip_with("a_c", "b_c", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x) / F.size("a_c")
-    return D.pairs(cum).select(F.col("a_script").alias("a"), F.col("b_script").alias("b"), "a_family", "b_family", gap.alias("d"))
+    cum = e.select(F.substring("script", 2, 12).cast("long").alias("vec_id"), A.running(A.as_distribution(F.col("values"))).alias("c"))
+    asked = cum.where("vec_id % 50 = 0").select((F.col("vec_id") / 50 / QUERY_BLOCK).cast("long").alias("block"), F.struct("vec_id", "c").alias("q"))
+    blocks = asked.groupBy("block").agg(F.collect_list("q").alias("qs"))
+    last = T.table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0] or 0
+    met = cum.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last // 50 // QUERY_BLOCK).cast("long")))).join(blocks, "block")
+    gap = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x) / F.size(a)
+    found = F.transform("qs", lambda q: F.struct(q["vec_id"].alias("query"), F.when(q["vec_id"] != F.col("vec_id"), gap(q["c"], F.col("c"))).alias("d")))
+    return _rounded(met.select(F.inline(found)).groupBy("query").agg(F.min("d").alias("d")))
 
 
-def wasserstein_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    number = lambda c: F.substring(c, 2, 12).cast("long")
-    return _rounded(_vector_distances(spark, sf_dir).select(number("a").alias("a"), number("b").alias("b"), "d"))
+#: Queries in a block.
+QUERY_BLOCK = 64
 
 
 def family_separation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = T.embedding_spectra(spark, sf_dir).select("script", "family")
-    return _rounded(V.family_separation(_vector_distances(spark, sf_dir).select("a", "b", "d"), e))
+    """Mean distances within and between two halves of the families' mean spectra: pairs of groups, however many vectors."""
+    halves = _families(spark, sf_dir).select("script", F.when(F.substring("script", 2, 9).cast("int") % 2 == 0, "even").otherwise("odd").alias("family"))
+    return _rounded(V.family_separation(_family_distances(spark, sf_dir).select("a", "b", "d"), halves))
 
 
 def spectral_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +161,7 @@ def segment_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def channel_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = X.match_texts(T.channel_pairs(spark, sf_dir).where("truth <> ''"))
+    m = X.match_texts(T.channel_pairs(spark, sf_dir))
     return _rounded(m.select("script", F.substring("filename", 2, 12).cast("long").alias("doc_id"), "matches", "substitutions", "insertions", "deletions", "char_accuracy", "cer"))
 
 
@@ -169,23 +178,25 @@ def channel_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = T.near_pairs(spark, sf_dir).where(r"truth rlike '^[\\x00-\\x7f]*$' and prediction rlike '^[\\x00-\\x7f]*$'")
-    return p.select("script", "a", "b", X.edit_distance(F.col("truth"), F.col("prediction")).alias("distance"))
+    return T.turn_pairs(spark, sf_dir).select("script", "a", "b", X.edit_distance(F.col("truth"), F.col("prediction")).alias("distance"))
 
 
-def near_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = T.near_pairs(spark, sf_dir).withColumn("filename", F.concat_ws("-", "a", "b"))
-    return _rounded(X.match_texts(p).select("script", "a", "b", "matches", "substitutions", "insertions", "deletions", "cer"))
+def turn_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the alignments of whole texts add up to: edits, and the characters of both sides."""
+    p = T.turn_pairs(spark, sf_dir).withColumn("filename", F.concat_ws("-", "a", "b"))
+    edits = F.col("substitutions") + F.col("insertions") + F.col("deletions")
+    chars = lambda gaps: F.col("matches") + F.col("substitutions") + F.col(gaps)
+    return _rounded(X.match_texts(p).select("script", "a", "b", edits.alias("edits"), chars("deletions").alias("truth_chars"), chars("insertions").alias("prediction_chars"), "cer"))
 
 
 def sequence_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = T.near_pairs(spark, sf_dir).withColumn("z", needleman_wunsch(F.col("truth"), F.col("prediction")))
+    p = T.turn_pairs(spark, sf_dir).withColumn("z", needleman_wunsch(F.col("truth"), F.col("prediction")))
     return p.select("script", "a", "b", F.col("z.a1").alias("aligned1"), F.col("z.a2").alias("aligned2"))
 
 
 def input_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = T.document_texts(spark, sf_dir).select("script", "filename")
-    truth = t.where("cast(right(filename, 1) as int) < 9")
+    truth = _labelled(spark, sf_dir).where("quality is not null").select("script", F.format_string("d%09d", "doc_id").alias("filename"))
     return _rounded(V.validate_inputs(t, truth, ["en", "de", "fr", "es"])).drop("message")
 
 
@@ -205,11 +216,14 @@ def labels_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The label-file parser on lines made of the documents, with comments and broken lines among them."""
-    d = T.table(spark, sf_dir, "documents").where("not contains(text, '\"') and not contains(left(text, 30), '\n')")
-    line = F.concat(F.lit("  f"), (F.col("doc_id") % 50).cast("string"), F.lit(' : "'), F.expr("trim(left(text, 30))"), F.lit('"  '))
-    lines = d.select(F.col("lang").alias("script"), F.col("doc_id").alias("line_no"), F.explode(F.array(line, F.lit("# note: x"), F.lit(""), F.lit("no colon"))).alias("value"))
-    return IO.label_lines(lines)
+    """The label-file parser on a line for each document with its whole text, line ends escaped; an earlier line of the same
+    name, comments and broken lines stand among them."""
+    d = T.table(spark, sf_dir, "documents")
+    text = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+    line = lambda said: F.concat(F.lit("  d"), F.col("doc_id").cast("string"), F.lit(' : "'), said, F.lit('"  '))
+    rows = F.array(line(F.lit("an earlier label")), F.lit("# note: x"), F.lit(""), F.lit("no colon"), line(text))
+    lines = d.select(F.col("lang").alias("script"), "doc_id", F.posexplode(rows).alias("pos", "value"))
+    return IO.label_lines(lines.select("script", (F.col("doc_id") * 5 + F.col("pos")).alias("line_no"), "value"))
 
 
 def character_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,6 +270,37 @@ def _perm(c: DataFrame, n: DataFrame) -> DataFrame:
     return R.permutation_summary(R.permutation_replicates(c, n))
 
 
+MATRIX_JSON = ("script string, characters array<string>, matrix array<array<double>>, metadata struct<accuracy:double,total_observations:bigint,sparsity:double,size:int>,"
+               " top_confusions array<struct<rank:int,`true`:string,predicted:string,count:bigint>>")
+
+
+def _json_back(c: DataFrame, n: DataFrame) -> DataFrame:
+    """The exported JSON, read back."""
+    j = IO.matrix_json(c, n).select(F.from_json("json", MATRIX_JSON).alias("j")).select("j.*")
+    rows = F.transform("matrix", lambda r: F.array_join(F.transform(r, lambda x: x.cast("bigint").cast("string")), ","))
+    top = F.transform("top_confusions", lambda t: F.concat(t["true"], F.lit(">"), t["predicted"], F.lit("="), t["count"].cast("string")))
+    return j.select("script", F.array_join("characters", ",").alias("characters"), F.array_join(rows, "/").alias("matrix"), F.array_join(top, ",").alias("top"),
+                    "metadata.accuracy", "metadata.sparsity", "metadata.total_observations", "metadata.size")
+
+
+ANALYSIS_JSON = ("method string, scripts array<struct<name:string,size:int,accuracy:double,spectral_gap:double,effective_rank:double>>, distances map<string,double>,"
+                 " sanity struct<triangle_inequality:boolean,all_passed:boolean>")
+
+
+def _analysis_back(p: DataFrame, c: DataFrame, n: DataFrame) -> DataFrame:
+    """The analysis as JSON, read back as (part, name, value)."""
+    j = reports.analysis_json(p, D.distances(p), "spectral").select(F.from_json("json", ANALYSIS_JSON).alias("j")).select("j.*")
+    of = lambda part, name, value: F.struct(F.lit(part).alias("part"), name.alias("name"), value.cast("double").alias("value"))
+    scripts = [_field_of_scripts(of, f) for f in ("size", "accuracy", "spectral_gap", "effective_rank")]
+    distances = F.transform(F.map_entries("distances"), lambda e: of("distance", e["key"], e["value"]))
+    sane = F.array(of("sanity", F.lit("all_passed"), F.col("sanity.all_passed").cast("int")))
+    return j.select(F.inline(F.concat(*scripts, distances, sane)))
+
+
+def _field_of_scripts(of, field: str):
+    return F.transform("scripts", lambda s: of(field, s["name"], s[field]))
+
+
 QUERIES: dict[str, Query] = {
     "count_cells": on("nation", lambda c, n: c, False),
     "count_cells_events": on("event", lambda c, n: c, False),
@@ -283,7 +328,7 @@ QUERIES: dict[str, Query] = {
     "eigen_invariants": on("nation", _invariants, False),
     "normalized_spectra": on("tri", lambda c, n: P.normalized_spectra(M.spectral_features(c, n)).select("kind", "script", F.posexplode("values").alias("idx", "value"))),
     "compare_profiles": profiles_of("tri", lambda p, c, n: P.compare_profiles(p)),
-    "profile_summary": profiles_of("nation", lambda p, c, n: P.profile_summary(p)),
+    "profile_summary": profiles_of("tri", lambda p, c, n: P.profile_summary(p)),
     "spectral_distance": profiles_of("tri", lambda p, c, n: D.distances(p, "spectral")),
     "multi_spectrum_distance": profiles_of("tri", lambda p, c, n: D.distances(p, "multi_spectrum")),
     "frobenius_distance": on("nation", D.frobenius),
@@ -296,7 +341,7 @@ QUERIES: dict[str, Query] = {
     "average_linkage": on("nation", lambda c, n: D.average_linkage(D.distances(None, "frobenius", c, n))),
     "metric_axioms": lambda spark, d: D.sanity(D.square(_family_distances(spark, d).persist())),
     "wasserstein_families": lambda spark, d: _rounded(_family_distances(spark, d).drop("method")),
-    "wasserstein_pairs": wasserstein_pairs,
+    "wasserstein_nearest": wasserstein_nearest,
     "family_separation": family_separation,
     "spectrum_lines": lambda spark, d: _rounded(reports.spectrum_lines(_families(spark, d))),
     "spectral_entropy": spectral_entropy,
@@ -311,7 +356,7 @@ QUERIES: dict[str, Query] = {
     "validation_summary": on("nation", lambda c, n: V.validation_summary(V.validate_matrices(c, n)).select("script", "n_passed", "n_failed")),
     "heatmap": on("nation", lambda c, n: reports.heatmap(c, n).select("script", "i", "j", "n")),
     "csv_export": on("event", IO.csv_rows),
-    "json_export": on("event", IO.matrix_json),
+    "json_export": on("event", _json_back),
     "char_counts": char_counts,
     "text_statistics": text_statistics,
     "top_characters": top_characters,
@@ -322,7 +367,7 @@ QUERIES: dict[str, Query] = {
     "channel_cells": channel_cells,
     "channel_engine": channel_engine,
     "edit_distance": edit_distance,
-    "near_alignment": near_alignment,
+    "turn_alignment": turn_alignment,
     "sequence_alignment": sequence_alignment,
     "input_validation": input_validation,
     "run_statistics": run_statistics,
@@ -333,7 +378,7 @@ QUERIES: dict[str, Query] = {
     "distance_square": on("nation", lambda c, n: D.square(D.distances(None, "frobenius", c, n))),
     "distance_histogram": lambda spark, d: reports.histogram(_family_distances(spark, d), bins=10, by=("method",)),
     "feature_bars": on("event", lambda c, n: reports.feature_bars(I.interpretable_features(c, n))),
-    "analysis_json": profiles_of("nation", lambda p, c, n: reports.analysis_json(p, D.distances(p).persist(), "spectral")),
+    "analysis_json": profiles_of("tri", _analysis_back),
     "character_overlap": character_overlap,
     "synthetic_cells": synthetic_cells,
     "synthetic_validation": synthetic_validation,

@@ -30,10 +30,24 @@ def nation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).select(*KEYS)
 
 
+def _with_next(rows: DataFrame, key: str, time: str, unit: str, order: list[str], value: str) -> DataFrame:
+    """``rows`` with a column pred_char: ``value`` of the next row of the same ``key``, in ``order``, which starts with ``time``.
+
+    Rows meet by key and unit of time only, so a key that very many rows have is many tasks; the last row of a unit gets
+    the first one of the key's next unit from a table with a row for each key and unit.
+    """
+    rows = rows.withColumn("unit", F.date_trunc(unit, F.col(time)))
+    first = rows.groupBy(F.col(key).alias("k"), F.col("unit").alias("u")).agg(F.min(F.struct(*order, F.col(value).alias("v"))).alias("first"))
+    later = first.select("k", "u", F.lead("first.v").over(W.partitionBy("k").orderBy("u")).alias("later"))
+    near = F.lead(F.struct(F.col(value).alias("v"))).over(W.partitionBy(key, "unit").orderBy(*order))
+    both = rows.withColumn("near", near).join(later, F.col(key).eqNullSafe(F.col("k")) & F.col("unit").eqNullSafe(F.col("u")))
+    return both.withColumn("pred_char", F.when(F.col("near").isNotNull(), F.col("near.v")).otherwise(F.col("later"))).drop("near", "later", "k", "u", "unit")
+
+
 def event_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """script: user_id mod 4; an event's type and the next one of the user."""
-    nxt = F.lead("event_type").over(W.partitionBy("user_id").orderBy("ts", "event_id"))
-    e = table(spark, sf_dir, "events").select("user_id", "event_type", nxt.alias("pred_char")).where("pred_char is not null")
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id")
+    e = _with_next(e, "user_id", "ts", "day", ["ts", "event_id"], "event_type").where("pred_char is not null")
     return e.select(F.concat(F.lit("u"), (F.col("user_id") % 4).cast("string")).alias("script"), F.col("event_type").alias("true_char"), "pred_char")
 
 
@@ -42,8 +56,8 @@ def status_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     region, nation = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
     where = F.broadcast(nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("script")))
     customer = table(spark, sf_dir, "customer").join(where, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "script")
-    nxt = F.lead("o_orderstatus").over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
-    o = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderstatus").alias("true_char"), nxt.alias("pred_char")).where("pred_char is not null")
+    o = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderstatus").alias("true_char"), "o_orderdate", "o_orderkey")
+    o = _with_next(o, "o_custkey", "o_orderdate", "year", ["o_orderdate", "o_orderkey"], "true_char").where("pred_char is not null")
     return o.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(*KEYS)
 
 
@@ -78,10 +92,10 @@ def channel_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.withColumn("prediction", channel(F.col("truth")))
 
 
-def near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(script, a, b, truth, prediction): documents with the same first 40 characters, different texts and a
-    length difference of 40 at most; the first 200 characters of each."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("script"), "text", F.substring("text", 1, 40).alias("head"), F.substring("text", 1, 200).alias("front"))
-    side = lambda p: d.select("head", *[F.col(c).alias(p + c) for c in ("doc_id", "script", "front")], F.char_length("text").alias(p + "n"), F.xxhash64("text").alias(p + "h"))
-    j = side("x_").join(side("y_"), "head").where("x_doc_id < y_doc_id and x_h <> y_h and abs(x_n - y_n) <= 40")
-    return j.select(F.col("x_script").alias("script"), F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b"), F.col("x_front").alias("truth"), F.col("y_front").alias("prediction"))
+def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(script, a, b, truth, prediction): each turn of a conversation and the next one, whole texts; script is the role of
+    the first, a the conversation and b its turn. As many pairs as turns, met by an equi-join."""
+    c = table(spark, sf_dir, "conversations")
+    first = c.select(F.col("role").alias("script"), F.col("conv_id").alias("a"), F.col("turn").alias("b"), F.col("text").alias("truth"))
+    second = c.select(F.col("conv_id").alias("a"), (F.col("turn") - 1).alias("b"), F.col("text").alias("prediction"))
+    return first.join(second, ["a", "b"]).select("script", "a", "b", "truth", "prediction")
