@@ -89,15 +89,23 @@ def dense_laplacian(m: np.ndarray, normalized: bool = True) -> np.ndarray:
     return np.eye(len(m)) - inv[:, None] * w * inv[None, :]
 
 
+def _is_symmetric(m: np.ndarray, source_type: str) -> bool:
+    return source_type in ("laplacian", "symmetric") or np.allclose(m, m.T, atol=1e-10)
+
+
 def eigenvalues(m: np.ndarray, source_type: str = "general") -> np.ndarray:
     """Eigenvalues by descending magnitude; symmetric matrices get the symmetric solver."""
-    if source_type in ("laplacian", "symmetric") or np.allclose(m, m.T, atol=1e-10):
-        lam = np.linalg.eigvalsh(m).astype(complex)
-    else:
-        lam = np.linalg.eigvals(m)
+    lam = np.linalg.eigvalsh(m).astype(complex) if _is_symmetric(m, source_type) else np.linalg.eigvals(m)
     return lam[np.argsort(-np.abs(lam), kind="stable")]
 
 
+def eigenpairs(m: np.ndarray, source_type: str = "general") -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues as above, and unit eigenvectors as columns in their order."""
+    lam, vectors = np.linalg.eigh(m) if _is_symmetric(m, source_type) else np.linalg.eig(m)
+    order = np.argsort(-np.abs(lam), kind="stable")
+    return lam[order].astype(complex), vectors[:, order].astype(complex)
+
+
 def verify(lam: np.ndarray, source_type: str) -> None:
     """Known properties of the spectrum; a violation raises."""
     mag = np.abs(lam)
@@ -167,26 +175,35 @@ def bistochastic_cells(cells: DataFrame, labels: DataFrame, iterations: int = IT
     return per_script(cells, labels, f, "script string, i int, j int, n double")
 
 
-def eigen_table(cells: DataFrame, labels: DataFrame, source_type: str = "bistochastic", check: bool = True) -> DataFrame:
+def _source(m: np.ndarray, source_type: str) -> np.ndarray:
+    """The matrix that is analysed, of a count matrix."""
+    if source_type == "stochastic":
+        s = m.sum(axis=1, keepdims=True)
+        return np.where(s > 0, m / np.where(s > 0, s, 1), 1 / len(m))
+    if source_type == "bistochastic":
+        return sinkhorn(m)[0]
+    if source_type == "symmetric":
+        return (m + m.T) / 2
+    return dense_laplacian(m) if source_type == "laplacian" else m
+
+
+def eigen_table(cells: DataFrame, labels: DataFrame, source_type: str = "bistochastic", check: bool = True, vectors: bool = False) -> DataFrame:
     """(script, k, re, im, magnitude) of all eigenvalues by descending magnitude, of the matrix that
-    ``source_type`` names: general, stochastic, bistochastic, symmetric or laplacian."""
+    ``source_type`` names: general, stochastic, bistochastic, symmetric or laplacian. ``vectors``: with the unit
+    eigenvectors as arrays vector_re and vector_im by label index."""
 
     def f(script: str, m: np.ndarray) -> pd.DataFrame:
-        if source_type == "stochastic":
-            s = m.sum(axis=1, keepdims=True)
-            m = np.where(s > 0, m / np.where(s > 0, s, 1), 1 / len(m))
-        elif source_type == "bistochastic":
-            m = sinkhorn(m)[0]
-        elif source_type == "symmetric":
-            m = (m + m.T) / 2
-        elif source_type == "laplacian":
-            m = dense_laplacian(m)
-        lam = eigenvalues(m, source_type)
+        m = _source(m, source_type)
+        lam, v = eigenpairs(m, source_type) if vectors else (eigenvalues(m, source_type), None)
         if check:
             verify(lam, source_type)
-        return pd.DataFrame({"script": script, "k": range(len(lam)), "re": lam.real, "im": lam.imag, "magnitude": np.abs(lam)})
+        out = {"script": script, "k": range(len(lam)), "re": lam.real, "im": lam.imag, "magnitude": np.abs(lam)}
+        if vectors:
+            out |= {"vector_re": list(v.real.T), "vector_im": list(v.imag.T)}
+        return pd.DataFrame(out)
 
-    return per_script(cells, labels, f, "script string, k int, re double, im double, magnitude double")
+    more = ", vector_re array<double>, vector_im array<double>" if vectors else ""
+    return per_script(cells, labels, f, "script string, k int, re double, im double, magnitude double" + more)
 
 
 def eigen_summary(eigen: DataFrame, laplacian: bool = False) -> DataFrame:

@@ -5,7 +5,7 @@ Windows run over one family of tests or pairs (``family``); families are indepen
 
 from __future__ import annotations
 
-from math import erfc, sqrt
+from math import erfc, factorial, sqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -77,12 +77,13 @@ def order_counts(xy: DataFrame) -> DataFrame:
 
 
 def kendall(xy: DataFrame) -> DataFrame:
-    """(family, n, tau, rank_preservation): tau-b, null for constant input; the share of ordered pairs in x
-    that y orders alike, ties of y counting as wrong."""
+    """(family, n, tau, rank_preservation, tied): tau-b, null for constant input; the share of ordered pairs in x
+    that y orders alike, ties of y counting as wrong; the number of pairs that are tied in x or y."""
     c, d = F.col("concordant"), F.col("discordant")
     nx, ny = c + d + F.col("ties_y"), c + d + F.col("ties_x")
     tau = F.when((nx > 0) & (ny > 0), (c - d) / F.sqrt(nx.cast("double") * ny))
-    return order_counts(xy).select("family", "n", tau.alias("tau"), (c / F.greatest(F.col("ordered"), F.lit(1))).alias("rank_preservation"))
+    return order_counts(xy).select("family", "n", tau.alias("tau"), (c / F.greatest(F.col("ordered"), F.lit(1))).alias("rank_preservation"),
+                                     (F.col("ties_x") + F.col("ties_y") + F.col("ties_both")).alias("tied"))
 
 
 def spearman_p(rho: float | None, n: int) -> float | None:
@@ -92,13 +93,35 @@ def spearman_p(rho: float | None, n: int) -> float | None:
     return 0.0 if abs(rho) >= 1 else student_t_two_sided(rho * sqrt((n - 2) / (1 - rho * rho)), n - 2)
 
 
-def kendall_p(tau: float | None, n: int) -> float | None:
-    """Two-sided p by the normal approximation without ties; small samples have no exact branch."""
+#: Sample size up to which tau without ties has an exact p.
+EXACT = 33
+
+
+def _orders_with(n: int, most: int) -> int:
+    """Number of the n! orders with at most ``most`` inversions: coefficients of the product of 1 + x + ... + x^(k - 1)."""
+    counts = [1] + [0] * most
+    for k in range(2, n + 1):
+        run, new = 0, []
+        for i in range(most + 1):
+            run += counts[i] - (counts[i - k] if i >= k else 0)
+            new.append(run)
+        counts = new
+    return sum(counts)
+
+
+def kendall_p(tau: float | None, n: int, tied: int | None = None) -> float | None:
+    """Two-sided p. Exact up to EXACT values, and where at most one pair is out of order, if ``tied``, the number of
+    tied pairs, is given as 0; else the normal approximation without ties."""
     if tau is None or n < 2:
         return None
+    pairs = n * (n - 1) // 2
+    wrong = round((1 - abs(tau)) * pairs / 2)
+    if tied == 0 and (n <= EXACT or wrong <= 1):
+        return min(1.0, 2 * _orders_with(n, wrong) / factorial(n))
     return erfc(abs(tau) / sqrt(2 * (2 * n + 5) / (9 * n * (n - 1))) / sqrt(2))
 
 
+
 def effect_size(x: Column, mean: Column, std: Column) -> Column:
     """(x - mean) / std; with no spread 0 if they agree, else infinite."""
     return F.when(std > 0, (x - mean) / std).when(x == mean, F.lit(0.0)).otherwise(F.lit(INF))

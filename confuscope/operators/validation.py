@@ -104,7 +104,7 @@ def run_statistics(outcomes: DataFrame) -> DataFrame:
 
 
 def compare_with_truth(truth: DataFrame, computed: DataFrame, threshold: float = SYNTHETIC_THRESHOLD) -> DataFrame:
-    """(family, n_pairs, spearman_rho, spearman_t, kendall_tau, rank_preservation, mae, passed) of two tables
+    """(family, n_pairs, spearman_rho, spearman_t, kendall_tau, rank_preservation, tied_pairs, mae, passed) of two tables
     (family, a, b, d) of the same pairs; distances are divided by their largest for the mean error."""
     t = truth.select("family", "a", "b", F.col("d").alias("x"))
     both = t.join(computed.select("family", "a", "b", F.col("d").alias("y")), ["family", "a", "b"])
@@ -113,7 +113,7 @@ def compare_with_truth(truth: DataFrame, computed: DataFrame, threshold: float =
     mae = xy.join(top, "family").groupBy("family").agg(F.avg(F.abs(F.col("x") / F.col("mx") - F.col("y") / F.col("my"))).alias("mae"))
     s, k = spearman(xy), kendall(xy)
     out = s.select("family", F.col("n").alias("n_pairs"), F.col("rho").alias("spearman_rho"), F.col("t").alias("spearman_t"))
-    out = out.join(k.select("family", F.col("tau").alias("kendall_tau"), "rank_preservation"), "family").join(mae, "family")
+    out = out.join(k.select("family", F.col("tau").alias("kendall_tau"), "rank_preservation", F.col("tied").alias("tied_pairs")), "family").join(mae, "family")
     return out.withColumn("passed", F.coalesce(F.col("spearman_rho") >= threshold, F.lit(False)))
 
 
@@ -193,5 +193,5 @@ def family_separation(dist: DataFrame, families: DataFrame) -> DataFrame:
 
 def p_values(row) -> dict[str, float | None]:
     """p of one collected row of compare_with_truth."""
-    return {"spearman_p": spearman_p(row["spearman_rho"], row["n_pairs"]), "kendall_p": kendall_p(row["kendall_tau"], row["n_pairs"])}
+    return {"spearman_p": spearman_p(row["spearman_rho"], row["n_pairs"]), "kendall_p": kendall_p(row["kendall_tau"], row["n_pairs"], row["tied_pairs"])}
 

@@ -20,6 +20,7 @@ from ..operators import resample as R
 from ..operators import stats as S
 from ..operators import texts as X
 from ..operators import validation as V
+from ..session import shared_path
 from ..sources import adapters as T
 from ..sources import config as G
 from ..sources import engines as E
@@ -247,12 +248,16 @@ def synthetic_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def streaming_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The running counts as one batch: what the stream's complete mode ends with."""
-    from ..streaming.counts import windowed_cells
-
-    e = T.table(spark, sf_dir, "events").select("ts", F.lit("all").alias("script"), F.col("event_type").alias("true_char"), F.when(F.col("value") > 50, F.lit("high")).otherwise(F.lit("low")).alias("pred_char"))
-    out = windowed_cells(e, width="1 day")
-    return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "true_char", "pred_char", "n")
+    """Counts by day of the events read as a stream, until all files are taken in."""
+    from ..streaming.counts import drain, windowed_cells
+
+    stream = spark.readStream.schema(T.table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+    # A stream's event time is an instant: wall times count as UTC, whatever the session's zone.
+    ts = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts")).cast("timestamp")
+    e = stream.select(ts.alias("ts"), F.lit("all").alias("script"), F.col("event_type").alias("true_char"), F.when(F.col("value") > 50, F.lit("high")).otherwise(F.lit("low")).alias("pred_char"))
+    out = drain(windowed_cells(e, width="1 day"), shared_path(spark, "stream"))
+    start = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col("window_start").cast("timestamp_ntz"))
+    return out.select(F.date_format(start, "yyyy-MM-dd").alias("day"), "true_char", "pred_char", "n")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

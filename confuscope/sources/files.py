@@ -208,14 +208,22 @@ def load_texts(texts: DataFrame, charsets: dict[str, str] | None = None) -> Data
     return rows.withColumn("line_count", F.size(F.split("cleaned_text", "\n"))).withColumn("char_count", F.char_length("cleaned_text"))
 
 
+#: Characters of a file's name by which files are gathered.
+FRONT = 7
+
+
 def image_plan(texts: DataFrame, augmentations: int = 3) -> DataFrame:
     """(script, filename, text): one image for each non-empty line and augmentation. Images of a script are
-    numbered over its files by name; the numbers of lines before a file are a small table."""
+    numbered over its files by name; the numbers of lines before a file are summed up among the files that
+    begin alike, and then over these beginnings, so that no task gets all files."""
     lines = texts.select("script", F.col("filename").alias("file"), F.posexplode(F.expr(
         r"filter(transform(split(text, '\n'), x -> regexp_replace(x, r'(?U)^\s+|\s+$', '')), x -> x <> '')")).alias("at", "text"))
     counts = lines.groupBy("script", "file").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(W.partitionBy("script").orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    base = counts.select("script", "file", before.alias("base"))
+    counts = counts.withColumn("front", F.substring("file", 1, FRONT))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    far = counts.groupBy("script", "front").agg(F.sum("n").alias("n")).select("script", "front", before(W.partitionBy("script").orderBy("front")).alias("far"))
+    near = counts.select("script", "file", "front", before(W.partitionBy("script", "front").orderBy("file")).alias("near"))
+    base = near.join(far, ["script", "front"]).select("script", "file", (F.col("near") + F.col("far")).alias("base"))
     stem = F.regexp_replace("file", r"\.txt$", "")
     rows = lines.join(base, ["script", "file"]).withColumn("aug", F.explode(F.sequence(F.lit(0), F.lit(augmentations - 1))))
     return rows.select("script", F.format_string("%s_%04d_aug%d.png", stem, (F.col("base") + F.col("at")).cast("int"), "aug").alias("filename"), "text")

@@ -34,3 +34,16 @@ def follow(cells: DataFrame, each: Callable[[DataFrame, int], None], checkpoint:
     """Run ``each(batch, number)`` on every update, for instance to recompute profiles of changed scripts."""
     writer = cells.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(each)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def drain(cells: DataFrame, path: str, mode: str = "complete") -> DataFrame:
+    """Run a stream over all that is there now and read what it ends with (in complete mode the whole result). ``path``: a
+    folder that driver and executors share, for the checkpoint and a table for each batch."""
+    spark, last = cells.sparkSession, []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch-{number}")
+        last.append(number)
+
+    follow(cells, keep, f"{path}/checkpoint", mode).awaitTermination()
+    return spark.read.schema(cells.schema).parquet(f"{path}/batch-{last[-1]}") if last else spark.createDataFrame([], cells.schema)

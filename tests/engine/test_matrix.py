@@ -66,6 +66,17 @@ def test_eigen_table(literal):
         assert mags == sorted(mags, reverse=True)
 
 
+def test_eigenvectors(literal):
+    cells, labels = (t.where("script = 'simple'") for t in literal)
+    for kind, m in (("laplacian", M.dense_laplacian(SIMPLE)), ("stochastic", SIMPLE / SIMPLE.sum(1, keepdims=True)), ("general", SIMPLE)):
+        plain = [(r["re"], r["im"]) for r in M.eigen_table(cells, labels, kind).orderBy("k").collect()]
+        rows = M.eigen_table(cells, labels, kind, vectors=True).orderBy("k").collect()
+        assert np.allclose([(r["re"], r["im"]) for r in rows], plain)
+        for r in rows:
+            v = np.array(r["vector_re"]) + 1j * np.array(r["vector_im"])
+            assert np.linalg.norm(v) == pytest.approx(1) and np.allclose(m @ v, (r["re"] + 1j * r["im"]) * v)
+
+
 def test_spectral_features(literal):
     got = by_script(P.with_scalars(M.spectral_features(*literal)))
     assert set(got) == set(MATRICES)

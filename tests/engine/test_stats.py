@@ -81,3 +81,16 @@ def test_resampling_queries_run_the_default_number_of_replicates(monkeypatch):
         monkeypatch.setattr(Q.R, name, lambda c, n, **given: given)
         monkeypatch.setattr(Q.R, summary, lambda given: given)
         assert run(None, None) == {}
+
+
+def test_exact_kendall_p_counts_orders():
+    from itertools import combinations, permutations
+
+    for n in (2, 3, 4, 6):
+        orders = [sum(a > b for a, b in combinations(o, 2)) for o in permutations(range(n))]
+        for wrong in range(n * (n - 1) // 2 + 1):
+            tau = 1 - 4 * wrong / (n * (n - 1))
+            far = min(wrong, n * (n - 1) // 2 - wrong)
+            want = min(1.0, 2 * sum(x <= far for x in orders) / len(orders))
+            assert S.kendall_p(tau, n, 0) == pytest.approx(want)
+    assert S.kendall_p(1.0, 50, 0) < 1e-60 and S.kendall_p(0.5, 40, 0) == S.kendall_p(0.5, 40)
