@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from weakref import finalize
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,18 +36,31 @@ def _rounded(df: DataFrame, places: int = 6) -> DataFrame:
     return df.select(*[r6(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def released(out: DataFrame, *held: DataFrame) -> DataFrame:
+    """``out``, with frames that it reads more than once released when nobody has it any more."""
+    for frame in held:
+        finalize(out, frame.unpersist).atexit = False
+    return out
+
+
 def on(fixture: str, f: Callable[[DataFrame, DataFrame], DataFrame], rounded: bool = True) -> Query:
     """A query of an operator on the counted cells of a fixture."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = f(*T.with_labels(FIXTURES[fixture](spark, sf_dir)))
-        return _rounded(out) if rounded else out
+        cells, labels = T.with_labels(FIXTURES[fixture](spark, sf_dir))
+        out = f(cells, labels)
+        return released(_rounded(out) if rounded else out, cells)
 
     return run
 
 
 def profiles_of(fixture: str, f: Callable[[DataFrame, DataFrame, DataFrame], DataFrame]) -> Query:
-    return on(fixture, lambda c, n: f(P.extract_profiles(c, n).persist(), c, n))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        cells, labels = T.with_labels(FIXTURES[fixture](spark, sf_dir))
+        profiles = P.extract_profiles(cells, labels).persist()
+        return released(_rounded(f(profiles, cells, labels)), cells, profiles)
+
+    return run
 
 
 def _exploded(spectra: DataFrame, kinds=D.SPECTRA) -> DataFrame:
@@ -75,7 +89,7 @@ def _families(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _family_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = A.wasserstein_1d(F.col("a_values"), F.col("b_values"))
-    p = D.pairs(_families(spark, sf_dir).persist())
+    p = D.pairs(_families(spark, sf_dir))
     return p.select(F.col("a_script").alias("a"), F.col("b_script").alias("b"), d.alias("d"), F.lit("wasserstein").alias("method"))
 
 
@@ -263,8 +277,8 @@ def streaming_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profiles of the market segments and their ranked spectral distances."""
     cells, labels = T.with_labels(T.nation_pairs(spark, sf_dir))
-    pruned, kept = C.prune_unused(cells, labels)
-    return _rounded(D.rank_by_distance(D.distances(P.extract_profiles(pruned, kept).persist(), "spectral")))
+    profiles = P.extract_profiles(*C.prune_unused(cells, labels)).persist()
+    return released(_rounded(D.rank_by_distance(D.distances(profiles, "spectral"))), cells, profiles)
 
 
 def _boot(c: DataFrame, n: DataFrame) -> DataFrame:
@@ -344,7 +358,7 @@ QUERIES: dict[str, Query] = {
     "distance_ranking": on("nation", lambda c, n: D.rank_by_distance(D.distances(None, "frobenius", c, n))),
     "nearest_script": on("nation", lambda c, n: D.nearest(D.distances(None, "frobenius", c, n))),
     "average_linkage": on("nation", lambda c, n: D.average_linkage(D.distances(None, "frobenius", c, n))),
-    "metric_axioms": lambda spark, d: D.sanity(D.square(_family_distances(spark, d).persist())),
+    "metric_axioms": lambda spark, d: D.sanity(D.square(_family_distances(spark, d))),
     "wasserstein_families": lambda spark, d: _rounded(_family_distances(spark, d).drop("method")),
     "wasserstein_nearest": wasserstein_nearest,
     "family_separation": family_separation,
