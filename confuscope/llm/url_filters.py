@@ -9,6 +9,7 @@ aliases, and of two rules of equal length the allow rule wins. Everything else i
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -57,7 +58,9 @@ def _let(value: Column, body) -> Column:
 def rule_table(spark: SparkSession, rules: Sequence[Rule] | DataFrame) -> DataFrame:
     """(rule_host, rule_path, action, pattern), one row for each host and path; allow precedes."""
     if not isinstance(rules, DataFrame):
-        rules = spark.createDataFrame([(r.action, r.pattern) for r in rules], "action string, pattern string")
+        # One literal, which the JVM takes apart.
+        rows = json.dumps([{"action": r.action, "pattern": r.pattern} for r in rules])
+        rules = spark.range(1).select(F.inline(F.from_json(F.lit(rows), "array<struct<action:string,pattern:string>>")))
     at = F.instr("pattern", "/")
     parts = rules.select(ascii_lower(F.substring("pattern", F.lit(1), at - 1)).alias("rule_host"), F.substring("pattern", at, F.length("pattern")).alias("rule_path"), "action", "pattern")
     best = parts.groupBy("rule_host", "rule_path").agg(F.min(F.struct("action", "pattern")).alias("best"))
