@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import forget
 from .tokenization import Numbers
 
 SEED = 7
@@ -325,6 +326,7 @@ def sample_pieces(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         lattices = Lattices(piece_model(model_path, alpha))
         for batch in batches:
             for ids, texts in _groups(batch, GROUP):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_masks, exact_dedup, packing, piece_sampling, pii, quality_rules, sharding, simhash, token_store, url_filters
-from .common import table
+from .common import table, written
 
 #: Rules and key in production.
 URL_RULES = (
@@ -79,9 +79,10 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sampled ids of every document, and whether they decode to its text: crc32 of both."""
+    """Sampled ids of every document, and whether they decode to its text: crc32 of both. The ids are written and read
+    back, so a task runs one Python worker and not one behind another."""
     docs, model = table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model")
-    decoded = piece_sampling.decode_pieces(piece_sampling.sample_pieces(docs, model), model)
+    decoded = piece_sampling.decode_pieces(written(piece_sampling.sample_pieces(docs, model), "pieces"), model)
     return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"),
                           F.char_length("text").cast("long").alias("decoded_chars"), F.crc32(F.col("text").cast("binary")).alias("decoded_crc32"))
 
