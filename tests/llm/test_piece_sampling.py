@@ -1,7 +1,10 @@
+import math
+import re
 from collections import Counter
 from math import exp, log
 
 import numpy as np
+import xxhash
 
 from confuscope.llm import piece_sampling as ps
 from confuscope.llm.queries import tokenizer_path
@@ -65,3 +68,50 @@ def test_memory_bound_changes_nothing(monkeypatch):
     got = [ps.encode_rows(lat, [k], [t], 1)[0].tolist() for k, t in enumerate(texts)]
     assert got == want
     assert [ps.decode_ids(model, np.array(x)) for x in got] == texts
+
+
+def plain_mix(x):
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+    x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+    return x ^ x >> 31
+
+
+def plain_sample(model, vocabulary, doc_id, text, seed):
+    """One text in plain Python: every word's lattice filtered forward and sampled backward, node by node."""
+    key = xxhash.xxh64_intdigest(b"null" if doc_id is None else str(doc_id).encode(), seed)
+    out, at = [], 0
+    text = text.replace("▁", "\udc81").replace(" ", "▁")
+    for word in re.findall("▁+[^▁\n]*|[^▁\n]+|\n", "▁" + text) if text else []:
+        total, arcs = [0.0], [[]]
+        for end in range(1, len(word) + 1):
+            into = []
+            for n in range(1, min(end, model.longest) + 1):
+                piece = vocabulary.get(word[end - n : end])
+                if piece is not None or n == 1:
+                    into.append((n, piece, total[end - n] + (model.unknown if piece is None else model.weight[piece])))
+            top = max(w for *_, w in into)
+            total.append(top + math.log(sum(math.exp(w - top) for *_, w in into)))
+            arcs.append(into)
+        end, ids = len(word), []
+        while end:
+            u, run = (plain_mix((key + (at + end) * 0x9E3779B97F4A7C15) % 2**64) >> 40) / 2**24, 0.0
+            for n, piece, w in arcs[end]:
+                run += math.exp(w - total[end])
+                if u < run:
+                    break
+            char = word[end - 1 : end]
+            raw = ("▁" if char == "\udc81" else char).encode()
+            ids = ([piece] if piece is not None else [int(model.bytes_at[b]) for b in raw]) + ids
+            end -= n
+        out += ids
+        at += len(word)
+    return out
+
+
+def test_rows_match_brute_force(spark, docs_rows):
+    model = ps.piece_model(PATH)
+    vocabulary = {p: k for k, p in reversed(list(enumerate(model.pieces))) if model.weight[k] < 0}
+    rows = [(d, t) for d, t in docs_rows if len(t or "") < 6_000]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((str(r["doc_id"]), np.frombuffer(r["ids"], dtype="<i4").tolist()) for r in ps.sample_pieces(df, PATH).collect())
+    assert got == sorted((str(d), plain_sample(model, vocabulary, d, t or "", ps.SEED)) for d, t in rows)
