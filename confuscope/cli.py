@@ -4,6 +4,7 @@
     python -m confuscope.cli analyze --matrices DIR --out DIR [--method spectral]
     python -m confuscope.cli validate [--sizes latin=26,greek=24]
     python -m confuscope.cli plan --texts DIR --out DIR [--augmentations 3]
+    python -m confuscope.cli render --texts DIR --out DIR [--augmentations 3] [--max-width 4000]
     python -m confuscope.cli scaffold --out DIR [--scripts a,b]
 """
 
@@ -15,6 +16,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from .functions.render import RenderSettings
 from .operators import counts as C
 from .operators import distance as D
 from .operators import texts as X
@@ -57,6 +59,21 @@ def analyze(spark: SparkSession, matrices: str, out: str, method: str = "spectra
     return reports.analysis_report(profiles, dist, method)
 
 
+def render(spark: SparkSession, texts: str, out: str, augmentations: int = 3, max_width: int = 4000) -> str:
+    """Texts to images, labels and a summary under ``out``, as recognize() takes them; returns the summary. The first
+    image of a line is as drawn, the others are augmented."""
+    settings = RenderSettings(max_width=max_width)
+    plan = IO.image_plan(IO.read_texts(spark, texts), augmentations)
+    first = plan["filename"].endswith("_aug0.png")
+    images = IO.render_images(plan.where(first), settings, augmented=False).unionByName(IO.render_images(plan.where(~first), settings))
+    n = IO.write_images(images, f"{out}/images").count()
+    IO.write_labels(plan, f"{out}/labels")
+    summary = IO.dataset_summary(plan, augmentations)
+    summary.write.mode("overwrite").json(f"{out}/summary")
+    lines = [f"{r['script']}: {r['total_lines']} lines, {r['total_images']} images" for r in summary.orderBy("script").collect()]
+    return "\n".join([*lines, f"{n} images written"])
+
+
 def scaffold(out: str, scripts: list[str]) -> list[str]:
     """Folders for images and labels of each script, and a label file to fill in; existing files stay."""
     made = []
@@ -89,6 +106,11 @@ def main(argv: list[str] | None = None) -> int:
     t.add_argument("--texts", required=True)
     t.add_argument("--out", required=True)
     t.add_argument("--augmentations", type=int, default=3)
+    d = sub.add_parser("render")
+    d.add_argument("--texts", required=True)
+    d.add_argument("--out", required=True)
+    d.add_argument("--augmentations", type=int, default=3)
+    d.add_argument("--max-width", type=int, default=4000)
     s = sub.add_parser("scaffold")
     s.add_argument("--out", required=True)
     s.add_argument("--scripts", type=names, default=list(LANGUAGES))
@@ -101,6 +123,8 @@ def main(argv: list[str] | None = None) -> int:
         print(recognize(spark, args.images, args.truth, args.out, args.engine, args.scripts))
     elif args.command == "analyze":
         print(analyze(spark, args.matrices, args.out, args.method))
+    elif args.command == "render":
+        print(render(spark, args.texts, args.out, args.augmentations, args.max_width))
     elif args.command == "validate":
         V.method_comparison(spark, args.sizes).show(100, truncate=False)
     else:

@@ -1,6 +1,7 @@
-"""What images of text are made of, short of drawing glyphs: sizes, kept lines, augmentations.
+"""What images of text are made of beside the glyphs: sizes, kept lines, augmentations.
 
-Glyph widths come from a font, which is not part of this engine; callers give the metrics.
+Glyph widths come from a font, which is not part of this engine; callers give the metrics. glyphs.py draws boxes of
+hexadecimal digits instead, which need no font.
 """
 
 from __future__ import annotations

@@ -303,3 +303,5 @@ tree(step, leaf, cl, n, i, j, h) AS (SELECT 0, leaf, cl, n, NULL::INT, NULL::INT
   SELECT t.step + 1, t.leaf, CASE WHEN t.cl IN (m.i, m.j) THEN t.n + t.step ELSE t.cl END, t.n, m.i, m.j, m.h
   FROM tree t, (SELECT x.cl AS i, y.cl AS j, avg(d) AS h FROM tree x JOIN tree y ON x.cl < y.cl JOIN ends e ON e.a = x.leaf AND e.b = y.leaf GROUP BY x.cl, y.cl ORDER BY round(avg(d), 12), x.cl, y.cl LIMIT 1) m)
 SELECT 'frobenius' AS method, step - 1 AS step, i AS left, j AS right, round(any_value(h), 6) AS height, count(*) FILTER (cl = n + step - 1)::INT AS size FROM tree WHERE step > 0 GROUP BY step, i, j""", FROBENIUS, True)
+ORACLE_SQL["rendered_cells"] = """WITH c AS (SELECT unnest(string_split(nfc_normalize(text), '')) AS ch FROM benchmark)
+SELECT 'benchmark' AS script, ch AS true_char, ch AS pred_char, count(*)::DOUBLE AS n FROM c WHERE ch <> '' GROUP BY ch"""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions.align import needleman_wunsch
+from ..functions.render import RenderSettings
 from ..functions.scalar import r6
 from ..functions.text import clean_text
 from ..operators import counts as C
@@ -192,6 +193,16 @@ def channel_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.count_pairs(X.label_pairs(X.match_texts(both)))
 
 
+def rendered_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text to image and back: every benchmark text whole as a PNG file, read from its pixels, aligned and counted."""
+    t = T.table(spark, sf_dir, "benchmark").select(F.lit("benchmark").alias("script"), F.col("item_id").cast("string").alias("filename"), F.coalesce("text", F.lit("")).alias("text"))
+    wide = RenderSettings(max_width=1 << 24, max_height=1 << 24)
+    images = IO.render_images(t, wide, augmented=False)
+    seen = E.recognize_images(images.select("script", "filename", "content"), lambda: E.BoxEngine(wide)).select("script", "filename", F.col("text").alias("prediction"))
+    both = t.withColumnRenamed("text", "truth").join(seen, ["script", "filename"])
+    return C.count_pairs(X.label_pairs(X.match_texts(both)))
+
+
 def edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.turn_pairs(spark, sf_dir).select("script", "a", "b", X.edit_distance(F.col("truth"), F.col("prediction")).alias("distance"))
 
@@ -385,6 +396,7 @@ QUERIES: dict[str, Query] = {
     "channel_match": channel_match,
     "channel_cells": channel_cells,
     "channel_engine": channel_engine,
+    "rendered_cells": rendered_cells,
     "edit_distance": edit_distance,
     "turn_alignment": turn_alignment,
     "sequence_alignment": sequence_alignment,

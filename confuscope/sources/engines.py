@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import glyphs
+from ..functions.render import RenderSettings
 from .config import ENGINES, LANGUAGES
 
 RESULT = "text string, confidence double, characters array<string>, char_confidences array<double>, error string"
@@ -93,7 +95,28 @@ class ChannelEngine(Engine):
         return Recognized(text, self.confidence, list(text), [self.confidence] * len(text))
 
 
+class BoxEngine(Engine):
+    """Reads the images that this engine draws, from their pixels."""
+
+    name = "boxes"
+
+    def __init__(self, settings: RenderSettings | None = None, scale: int = 1) -> None:
+        super().__init__()
+        self.settings, self.scale = settings or RenderSettings(), scale
+
+    def is_available(self) -> bool:
+        return True
+
+    def supports_script(self, script: str) -> bool:
+        return True
+
+    def recognize(self, content: bytes, script: str) -> Recognized:
+        text, sure = glyphs.read(glyphs.from_png(content), self.settings, self.scale)
+        return Recognized(text, sum(sure) / len(sure) if sure else 0.0, list(text), sure)
+
+
 register_engine("channel", ChannelEngine)
+register_engine("boxes", BoxEngine)
 
 
 def recognize_images(images: DataFrame, make: Callable[[], Engine]) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import glyphs
+from ..functions.render import RenderSettings, augment, augmentation_tag
 from ..model import CELLS, LABELS
 from .config import ImageSettings
 
@@ -237,6 +239,45 @@ def dataset_summary(plan: DataFrame, augmentations: int = 3) -> DataFrame:
 # ---------------------------------------------------------------------------------------------------- images
 
 
+def render_images(plan: DataFrame, settings: RenderSettings | None = None, scale: int = 1, augmented: bool = True, seed: int = 42) -> DataFrame:
+    """(script, filename, text, tag, content): the PNG file of each row (script, filename, text) of a plan. ``augmented``: with the
+    augmentations that are drawn for the file's name; tag says which."""
+    tagged = plan.select("script", "filename", "text", (augmentation_tag(F.col("filename"), seed, (settings or RenderSettings()).probability) if augmented else F.lit("none")).alias("tag"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from ..operators.resample import rng_for
+
+        for pdf in batches:
+            drawn = [glyphs.draw(t or "", settings, scale) for t in pdf["text"]]
+            files = [glyphs.to_png(augment(p, tag, rng_for(seed, name), settings)) for p, tag, name in zip(drawn, pdf["tag"], pdf["filename"], strict=True)]
+            yield pdf.assign(content=files)
+
+    return tagged.mapInPandas(run, "script string, filename string, text string, tag string, content binary")
+
+
+def write_images(images: DataFrame, out: str) -> DataFrame:
+    """Write every image as ``out/<script>/<filename>``; returns (script, filename, path). Files are written under a name of
+    the attempt and then renamed, so that a task which runs again leaves whole files only."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs as pafs
+        from pyspark import TaskContext
+
+        fs, root = pafs.FileSystem.from_uri(out)
+        for pdf in batches:
+            paths = []
+            for script, name, content in zip(pdf["script"], pdf["filename"], pdf["content"], strict=True):
+                fs.create_dir(f"{root}/{script}", recursive=True)
+                temp = f"{root}/{script}/.{name}-{TaskContext.get().taskAttemptId()}"
+                with fs.open_output_stream(temp) as stream:
+                    stream.write(bytes(content))
+                fs.move(temp, f"{root}/{script}/{name}")
+                paths.append(f"{out}/{script}/{name}")
+            yield pdf[["script", "filename"]].assign(path=paths)
+
+    return images.select("script", "filename", "content").mapInPandas(run, "script string, filename string, path string")
+
+
 def read_images(spark: SparkSession, folder: str, settings: ImageSettings | None = None) -> DataFrame:
     """(script, filename, format, content) of ``folder/<script>/*``; the names' case counts."""
     formats = (settings or ImageSettings()).formats
