@@ -14,7 +14,9 @@ import argparse
 import sys
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from .functions.render import RenderSettings
 from .operators import counts as C
@@ -22,7 +24,7 @@ from .operators import distance as D
 from .operators import texts as X
 from .operators import validation as V
 from .operators.profile import extract_profiles
-from .plans import reports
+from .plans import plots, reports
 from .session import get_session
 from .sources import engines as E
 from .sources import files as IO
@@ -47,14 +49,28 @@ def recognize(spark: SparkSession, images: str, truth: str, out: str, engine: st
     return reports.pipeline_report(cells, kept, engine)
 
 
+def labels_of(profiles: DataFrame) -> DataFrame:
+    """(script, k): scripts numbered by name, a row for each matrix."""
+    return profiles.select("script", (F.row_number().over(W.orderBy("script")) - 1).alias("k"))
+
+
 def analyze(spark: SparkSession, matrices: str, out: str, method: str = "spectral") -> str:
-    """Matrices to profiles, distances and checks under ``out``; returns the report."""
+    """Matrices to profiles, distances, checks and plots under ``out``; returns the report."""
     cells, labels = IO.read_matrices(spark, matrices)
     profiles = extract_profiles(cells, labels)
     profiles.write.mode("overwrite").parquet(f"{out}/profiles")
     profiles = spark.read.parquet(f"{out}/profiles")
     IO.write_distances(D.distances(profiles, method, cells, labels), f"{out}/distances")
     dist = IO.read_distances(spark, f"{out}/distances")
+    plots.write_svg(plots.heatmap_svg(reports.heatmap(cells, labels)), f"{out}/plots/matrices")
+    square = D.square(dist).select("method", "a", "b", "d")
+    at = lambda c, k: labels_of(profiles).select(F.col("script").alias(c), F.col("k").alias(k))
+    grid = square.join(at("a", "i"), "a").join(at("b", "j"), "b").select(F.col("method").alias("script"), "i", "j", F.col("a").alias("true_char"), F.col("b").alias("pred_char"), F.col("d").alias("n"))
+    plots.write_svg(plots.heatmap_svg(grid, title="Distances"), f"{out}/plots/distances")
+    spectra = [profiles.select(F.lit(k).alias("name"), F.col("script").alias("series"), F.posexplode(f"{k}_spectrum").alias("x", "value")) for k in D.SPECTRA]
+    plots.write_svg(plots.lines_svg(spectra[0].unionByName(spectra[1]).unionByName(spectra[2]), "Spectrum", "eigenvalue index", "magnitude"), f"{out}/plots/spectra")
+    bars = reports.feature_bars(profiles).select(F.col("script").alias("name"), F.col("feature").alias("label"), "value")
+    plots.write_svg(plots.bars_svg(bars, "Measures"), f"{out}/plots/measures")
     reports.analysis_json(profiles, dist, method).withColumnRenamed("json", "value").write.mode("overwrite").text(f"{out}/results")
     return reports.analysis_report(profiles, dist, method)
 

@@ -305,3 +305,4 @@ tree(step, leaf, cl, n, i, j, h) AS (SELECT 0, leaf, cl, n, NULL::INT, NULL::INT
 SELECT 'frobenius' AS method, step - 1 AS step, i AS left, j AS right, round(any_value(h), 6) AS height, count(*) FILTER (cl = n + step - 1)::INT AS size FROM tree WHERE step > 0 GROUP BY step, i, j""", FROBENIUS, True)
 ORACLE_SQL["rendered_cells"] = """WITH c AS (SELECT unnest(string_split(nfc_normalize(text), '')) AS ch FROM benchmark)
 SELECT 'benchmark' AS script, ch AS true_char, ch AS pred_char, count(*)::DOUBLE AS n FROM c WHERE ch <> '' GROUP BY ch"""
+ORACLE_SQL["heatmap_svg"] = counted(NATION, """SELECT script, count(*)::INT AS squares, (count(DISTINCT i) + count(DISTINCT j))::INT AS labels FROM dense WHERE n > 0 GROUP BY script""", DENSE)

@@ -27,7 +27,7 @@ from ..sources import adapters as T
 from ..sources import config as G
 from ..sources import engines as E
 from ..sources import files as IO
-from . import reports
+from . import plots, reports
 
 Query = Callable[[SparkSession, str], DataFrame]
 FIXTURES = {"nation": T.nation_pairs, "event": T.event_pairs, "tri": T.status_pairs}
@@ -300,6 +300,12 @@ def _perm(c: DataFrame, n: DataFrame) -> DataFrame:
     return R.permutation_summary(R.permutation_replicates(c, n))
 
 
+def _heatmap_marks(c: DataFrame, n: DataFrame) -> DataFrame:
+    """The squares and labels of each drawn matrix, counted in the file."""
+    count = lambda tag: F.regexp_count("svg", F.lit(f"<{tag} ")) - 1
+    return plots.heatmap_svg(reports.heatmap(c, n)).select(F.col("name").alias("script"), count("rect").alias("squares"), count("text").alias("labels"))
+
+
 MATRIX_JSON = ("script string, characters array<string>, matrix array<array<double>>, metadata struct<accuracy:double,total_observations:bigint,sparsity:double,size:int>,"
                " top_confusions array<struct<rank:int,`true`:string,predicted:string,count:bigint>>")
 
@@ -385,6 +391,7 @@ QUERIES: dict[str, Query] = {
     "matrix_validation": on("nation", lambda c, n: V.validate_matrices(c, n).select("script", "check_name", "passed")),
     "validation_summary": on("nation", lambda c, n: V.validation_summary(V.validate_matrices(c, n)).select("script", "n_passed", "n_failed")),
     "heatmap": on("nation", lambda c, n: reports.heatmap(c, n).select("script", "i", "j", "n")),
+    "heatmap_svg": on("nation", _heatmap_marks),
     "csv_export": on("event", IO.csv_rows),
     "json_export": on("event", _json_back),
     "char_counts": char_counts,
