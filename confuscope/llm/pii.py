@@ -51,7 +51,7 @@ _COUNTRY = r"\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3
 
 #: Types with their patterns, the first that fits decides.
 PATTERNS: tuple[tuple[str, str], ...] = (
-    ("EMAIL", r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,9}[A-Za-z]{2,24}"),
+    ("EMAIL", r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,9}[A-Za-z]{2,24}"),
     ("SECRET", _SECRET_HEAD + r"[A-Za-z0-9+/_-]{8,}"),
     ("AWS_KEY", r"(?:AKIA|ASIA)[A-Z0-9]{16}"),
     ("TOKEN", rf"(?:{_TOKEN_HEAD})[A-Za-z0-9_-]{{20,}}"),
@@ -64,8 +64,8 @@ PATTERNS: tuple[tuple[str, str], ...] = (
     ("PERSON", rf"(?:{_TITLE})\.?\s(?:{_INITIALS}\s){{0,2}}{_NAME}(?:\s(?:{_INITIALS}\s)?{_NAME}){{0,2}}"),
 )
 PATTERN = dict(PATTERNS)
-#: What every entity has; texts without it are left alone unread by the longer pattern.
-HINT = rf"[0-9@]|(?:{_TITLE})\.?\s\p{{Lu}}|{_SECRET_HEAD}|{_TOKEN_HEAD}|AKIA|ASIA|[A-Fa-f]:[A-Fa-f:]"
+#: What every entity has, a sign or a word; texts with none of them are left alone unread by the longer pattern.
+SIGNS, WORDS = "[0-9@=:]", (*TITLES_FEMALE, *TITLES_MALE, *TITLES_OPEN, "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xox", "AIza")
 ENTITY = r"(?<![\p{L}\p{N}_])(?:" + "|".join(p for _, p in PATTERNS) + ")"
 #: Separators of numbers, and of the parts of an atom's name.
 _MARKS, SEP = " ()+-./", "\x1f"
@@ -415,7 +415,10 @@ def _is_real(value: Column) -> Column:
 def _matches(text: Column) -> Column:
     """What the pattern finds, in order; empty for null."""
     found = F.regexp_extract_all(text, F.lit(f"({ENTITY})"), F.lit(1))
-    return F.when(text.rlike(HINT), found).otherwise(F.array().cast("array<string>"))
+    maybe = text.rlike(SIGNS)
+    for word in WORDS:
+        maybe = maybe | F.contains(text, F.lit(word))
+    return F.when(maybe, found).otherwise(F.array().cast("array<string>"))
 
 
 def entities_of(text: Column) -> Column:
