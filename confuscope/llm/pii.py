@@ -79,9 +79,9 @@ class Key:
 
     secret: str
 
-    def stream(self, kind: str, value: Column, attempt: Column, block: int = 0) -> Column:
+    def stream(self, kind: Column | str, value: Column, attempt: Column, block: int = 0) -> Column:
         """64 hex digits."""
-        return F.sha2(F.concat_ws(SEP, F.lit(self.secret), F.lit(kind), value, attempt.cast("string"), F.lit(str(block))), 256)
+        return F.sha2(F.concat_ws(SEP, F.lit(self.secret), F.lit(kind) if isinstance(kind, str) else kind, value, attempt.cast("string"), F.lit(str(block))), 256)
 
     def rotation(self, alphabet: str) -> str:
         """The alphabet turned by a number of places that the key names, never by none."""
@@ -110,7 +110,7 @@ def _byte(stream: Column, i: Column) -> Column:
     return digit(F.substring(hexed, 1, 1)) * 16 + digit(F.substring(hexed, 2, 1))
 
 
-def _long_stream(key: Key, kind: str, value: Column, attempt: Column) -> Column:
+def _long_stream(key: Key, kind: Column | str, value: Column, attempt: Column) -> Column:
     return F.concat(*[key.stream(kind, value, attempt, b) for b in range(3)])
 
 
@@ -188,7 +188,8 @@ def _ip(value: Column, key: Key, attempt: Column) -> Column:
 
 def _groups(stream: Column, n: int) -> Column:
     """Groups of an IPv6 address without leading zeros."""
-    return F.concat_ws(":", *[F.concat(_pick("123456789abcdef", _byte(stream, F.lit(40 + k))), F.substring(stream, 4 * k + 1, 3)) for k in range(n)])
+    group = lambda k: F.concat(_pick("123456789abcdef", _byte(stream, k + 40)), F.substring(stream, k * 4 + 1, F.lit(3)))
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), group), ":")
 
 
 def _ipv6(value: Column, key: Key, attempt: Column) -> Column:
@@ -232,11 +233,11 @@ def _iban(value: Column, key: Key, attempt: Column) -> Column:
     return _let(made, lambda m: F.concat(country, check(m), m))
 
 
-def _digits(kind: str, digits: Column, key: Key, attempt: Column) -> Column:
+def _digits(kind: Column | str, digits: Column, key: Key, attempt: Column) -> Column:
     return _grown(digits, _long_stream(key, kind, digits, attempt), attempt, _DIGITS)
 
 
-def _tail(kind: str, tail: Column, key: Key, attempt: Column) -> Column:
+def _tail(kind: Column | str, tail: Column, key: Key, attempt: Column) -> Column:
     s = _long_stream(key, kind, tail, attempt)
     hexed = _grown(F.lower(tail), s, attempt, _HEX, hexed=True)
     return F.when(tail.rlike("^[0-9a-f]+$"), hexed).when(tail.rlike("^[0-9A-F]+$"), F.upper(hexed)).otherwise(_grown(tail, s, attempt, _LOWER))
@@ -247,7 +248,7 @@ def _is_cyrillic(name: Column) -> Column:
 
 
 def _item(items: tuple[str, ...], n: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(x) for x in items]), F.pmod(n, F.lit(len(items))) + 1)
+    return F.element_at(F.split(F.lit(",".join(items)), ","), F.pmod(n, F.lit(len(items))) + 1)
 
 
 def _stem(name: Column, stream: Column, attempt: Column) -> Column:
@@ -274,7 +275,7 @@ def _name(name: Column, given: Column, female: Column, key: Key, attempt: Column
 
 def _name_forms(name: Column, key: Key, attempt: Column) -> Column:
     """All that a name may become, with any ending."""
-    ends = lambda items: F.array(*[F.lit(x) for x in dict.fromkeys(items)])
+    ends = lambda items: F.split(F.lit(",".join(dict.fromkeys(items))), ",")
     latin, cyrillic = ends(LATIN_ENDS_FEMALE + LATIN_ENDS_MALE + LATIN_ENDS_FAMILY), ends(CYRILLIC_ENDS_FEMALE + CYRILLIC_ENDS_MALE)
     stem = _stem(name, _long_stream(key, "NAME", name, attempt), attempt)
     return _let(stem, lambda x: F.transform(F.when(_is_cyrillic(name), cyrillic).otherwise(latin), lambda e: F.lower(F.concat(x, e))))
@@ -313,8 +314,8 @@ def _is_initials(name: Column) -> Column:
     return name.rlike(f"^{_INITIALS}$")
 
 
-def _atom(kind: str, value: Column) -> Column:
-    return F.concat(F.lit(kind + SEP), value)
+def _atom(kind: Column | str, value: Column) -> Column:
+    return F.concat(F.lit(kind + SEP) if isinstance(kind, str) else F.concat(kind, F.lit(SEP)), value)
 
 
 def atoms_of(value: Column) -> Column:
@@ -342,11 +343,8 @@ def claims_of(kind: Column, value: Column, key: Key, attempt: Column) -> Column:
         F.when(kind == "MAILBOX", F.concat(_mailbox(F.substring_index(value, "@", 1), value, key, attempt), F.lit("@"), F.substring_index(value, "@", -1)))
         .when(kind == "DOMAIN", _domain(value, value, key, attempt)).when(kind == "IP", _ip(value, key, attempt)).when(kind == "IPV6", _ipv6(value, key, attempt))
         .when(kind == "CARD", _card(value, key, attempt)).when(kind == "IBAN", _iban(value, key, attempt))
+        .when(kind.isin("SECRET", "AWS_KEY", "TOKEN"), _tail(kind, value, key, attempt)).otherwise(_digits(kind, value, key, attempt))
     )
-    for k in ("PHONE", "SSN", "OTHER"):
-        one = one.when(kind == k, _digits(k, value, key, attempt))
-    for k in ("SECRET", "AWS_KEY", "TOKEN"):
-        one = one.when(kind == k, _tail(k, value, key, attempt))
     return F.when(kind == "NAME", _name_forms(value, key, attempt)).otherwise(F.array(one))
 
 
@@ -359,29 +357,21 @@ def surrogate(value: Column, key: Key, attempt: Lookup = lambda _: F.lit(0)) ->
 
 
 def _surrogate_of(kind: Column, value: Column, key: Key, attempt: Lookup) -> Column:
-    def by(name: str, atom: Column, body) -> Column:
+    def by(name: Column | str, atom: Column, body) -> Column:
         return _let(atom, lambda v: _let(attempt(_atom(name, v)), lambda a: body(v, a)))
 
-    def laid(name: str, body) -> Column:
-        return _let(by(name, _bare(value), body), lambda made: _lay(value, made))
-
-    def tail(name: str) -> Column:
-        return F.concat(_head(kind, value), by(name, _rest(kind, value), lambda v, a: _tail(name, v, key, a)))
-
     local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     mailbox = by("MAILBOX", F.lower(value), lambda v, a: _mailbox(local, v, key, a))
     email = F.concat(mailbox, F.lit("@"), by("DOMAIN", F.lower(domain), lambda v, a: _domain(domain, v, key, a)))
     ipv6 = by("IPV6", F.lower(value), lambda v, a: _ipv6(v, key, a))
     phone = F.concat(_trunk(value), by("PHONE", _national(value), lambda v, a: _digits("PHONE", v, key, a)))
+    number = by(kind, _bare(value), lambda v, a: F.when(kind == "CARD", _card(v, key, a)).when(kind == "IBAN", _iban(v, key, a)).otherwise(_digits(kind, v, key, a)))
     return (
         F.when(kind == "EMAIL", email).when(kind == "PERSON", _person(value, key, attempt))
-        .when(kind == "SECRET", tail("SECRET")).when(kind == "AWS_KEY", tail("AWS_KEY")).when(kind == "TOKEN", tail("TOKEN"))
+        .when(kind.isin("SECRET", "AWS_KEY", "TOKEN"), F.concat(_head(kind, value), by(kind, _rest(kind, value), lambda v, a: _tail(kind, v, key, a))))
         .when(kind == "IPV6", F.when(value.rlike("[A-F]"), F.upper(ipv6)).otherwise(ipv6))
         .when(kind == "IP", by("IP", value, lambda v, a: _ip(v, key, a)))
-        .when(kind == "PHONE", _let(phone, lambda made: _lay(value, made)))
-        .when(kind == "CARD", laid("CARD", lambda v, a: _card(v, key, a))).when(kind == "IBAN", laid("IBAN", lambda v, a: _iban(v, key, a)))
-        .when(kind == "SSN", laid("SSN", lambda v, a: _digits("SSN", v, key, a)))
-        .otherwise(laid("OTHER", lambda v, a: _digits("OTHER", v, key, a)))
+        .otherwise(_let(F.when(kind == "PHONE", phone).otherwise(number), lambda made: _lay(value, made)))
     )
 
 
