@@ -46,6 +46,7 @@ def recognize(spark: SparkSession, images: str, truth: str, out: str, engine: st
     IO.write_matrices(cells, kept, out)
     cells, kept = IO.read_matrices(spark, out)
     IO.export_matrices(cells, kept, out, ("npz", "json"))
+    IO.write_files(IO.matrix_files(cells, kept, ("npz", "json")), f"{out}/files").count()
     return reports.pipeline_report(cells, kept, engine)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import glyphs
 from ..functions.render import RenderSettings, augment, augmentation_tag
@@ -132,6 +134,48 @@ def matrix_json(cells: DataFrame, labels: DataFrame) -> DataFrame:
     return j.select("script", F.to_json(F.struct("script", F.col("ls.ch").alias("characters"), "matrix", meta, "top_confusions")).alias("json"))
 
 
+def write_files(rows: DataFrame, out: str) -> DataFrame:
+    """Write the binary ``content`` of each row as the file ``out/<name>``; returns (name, path). Files are written under a
+    name of the attempt and then renamed, so that a task which runs again leaves whole files only."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs as pafs
+        from pyspark import TaskContext
+
+        fs, root = pafs.FileSystem.from_uri(out)
+        for pdf in batches:
+            for name, content in zip(pdf["name"], pdf["content"], strict=True):
+                folder, _, last = f"{root}/{name}".rpartition("/")
+                fs.create_dir(folder, recursive=True)
+                temp = f"{folder}/.{last}-{TaskContext.get().taskAttemptId()}"
+                with fs.open_output_stream(temp) as stream:
+                    stream.write(bytes(content))
+                fs.move(temp, f"{folder}/{last}")
+            yield pd.DataFrame({"name": pdf["name"], "path": [f"{out}/{n}" for n in pdf["name"]]})
+
+    return rows.select("name", "content").mapInPandas(run, "name string, path string")
+
+
+def matrix_files(cells: DataFrame, labels: DataFrame, formats: tuple[str, ...] = ("npz", "csv", "json")) -> DataFrame:
+    """(name, content): a file ``<script>.<format>`` for each matrix and format."""
+    unknown = set(formats) - {"npz", "csv", "json"}
+    if unknown or not formats:
+        raise ValueError(f"unknown formats: {sorted(unknown)}")
+    named = lambda df, ext, content: df.select(F.concat("script", F.lit("." + ext)).alias("name"), content.cast("binary").alias("content"))
+    parts = []
+    if "npz" in formats:
+        parts.append(named(npz_bytes(cells, labels), "npz", F.col("content")))
+    if "csv" in formats:
+        lines = csv_rows(cells, labels).groupBy("script").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("ls"))
+        parts.append(named(lines, "csv", F.concat(F.array_join("ls.line", "\n"), F.lit("\n"))))
+    if "json" in formats:
+        parts.append(named(matrix_json(cells, labels), "json", F.col("json")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def export_matrices(cells: DataFrame, labels: DataFrame, path: str, formats: tuple[str, ...] = ("npz", "csv", "json")) -> None:
     """Write each format under its own folder, a folder for each script in it."""
     unknown = set(formats) - {"npz", "csv", "json", "parquet"}
@@ -172,8 +216,10 @@ def read_labels(spark: SparkSession, folder: str, scripts: list[str] | None = No
 
 
 def write_labels(truth: DataFrame, folder: str) -> None:
-    """Label lines ``name: "text"`` sorted by name, a folder for each script."""
+    """Label lines ``name: "text"`` sorted by name behind a comment that says so, a folder for each script."""
     lines = truth.select("script", "filename", F.concat("filename", F.lit(': "'), "text", F.lit('"')).alias("value"))
+    head = truth.select("script").distinct().select("script", F.lit("").alias("filename"), F.concat(F.lit("# labels of "), "script", F.lit(', file name: "text"')).alias("value"))
+    lines = head.unionByName(lines)
     sorted_ = lines.repartition("script").sortWithinPartitions("script", "filename")
     sorted_.select("script", "value").write.mode("overwrite").partitionBy("script").text(folder)
 
@@ -256,26 +302,8 @@ def render_images(plan: DataFrame, settings: RenderSettings | None = None, scale
 
 
 def write_images(images: DataFrame, out: str) -> DataFrame:
-    """Write every image as ``out/<script>/<filename>``; returns (script, filename, path). Files are written under a name of
-    the attempt and then renamed, so that a task which runs again leaves whole files only."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs as pafs
-        from pyspark import TaskContext
-
-        fs, root = pafs.FileSystem.from_uri(out)
-        for pdf in batches:
-            paths = []
-            for script, name, content in zip(pdf["script"], pdf["filename"], pdf["content"], strict=True):
-                fs.create_dir(f"{root}/{script}", recursive=True)
-                temp = f"{root}/{script}/.{name}-{TaskContext.get().taskAttemptId()}"
-                with fs.open_output_stream(temp) as stream:
-                    stream.write(bytes(content))
-                fs.move(temp, f"{root}/{script}/{name}")
-                paths.append(f"{out}/{script}/{name}")
-            yield pdf[["script", "filename"]].assign(path=paths)
-
-    return images.select("script", "filename", "content").mapInPandas(run, "script string, filename string, path string")
+    """Write every image as ``out/<script>/<filename>``; returns (name, path)."""
+    return write_files(images.select(F.concat_ws("/", "script", "filename").alias("name"), "content"), out)
 
 
 def read_images(spark: SparkSession, folder: str, settings: ImageSettings | None = None) -> DataFrame:
@@ -294,6 +322,53 @@ def png_size(content: Column) -> tuple[Column, Column]:
     return number(17), number(21)
 
 
+def size_of(content: bytes) -> tuple[int, int] | None:
+    """(width, height) from the header of a PNG, JPEG, BMP or TIFF file; None for other content."""
+    if content[:8] == b"\x89PNG\r\n\x1a\n" and len(content) >= 24:
+        return struct.unpack(">II", content[16:24])
+    if content[:2] == b"BM" and len(content) >= 26:
+        w, h = struct.unpack("<ii", content[18:26])
+        return abs(w), abs(h)
+    if content[:4] in (b"II*\0", b"MM\0*") and len(content) >= 8:
+        return _tiff_size(content, "<" if content[:2] == b"II" else ">")
+    if content[:2] == b"\xff\xd8":
+        at = 2
+        while at + 9 <= len(content) and content[at] == 0xFF:
+            kind = content[at + 1]
+            if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):  # a frame's header, not tables
+                h, w = struct.unpack(">HH", content[at + 5 : at + 9])
+                return w, h
+            at += 1 if kind == 0xFF else 2 if kind == 1 or 0xD0 <= kind <= 0xD8 else 2 + int.from_bytes(content[at + 2 : at + 4], "big")
+    return None
+
+
+def _tiff_size(content: bytes, order: str) -> tuple[int, int] | None:
+    """Width and height are the entries 256 and 257 of the first directory, numbers of two or four bytes."""
+    found, at = {}, struct.unpack(order + "I", content[4:8])[0]
+    n = struct.unpack(order + "H", content[at : at + 2])[0] if at + 2 <= len(content) else 0
+    for k in range(n):
+        entry = content[at + 2 + 12 * k : at + 14 + 12 * k]
+        if len(entry) == 12:
+            tag, kind = struct.unpack(order + "HH", entry[:4])
+            if tag in (256, 257):
+                found[tag] = struct.unpack(order + ("H" if kind == 3 else "I"), entry[8 : 10 if kind == 3 else 12])[0]
+    return (found[256], found[257]) if len(found) == 2 else None
+
+
+@F.pandas_udf(T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())]))
+def _size_udf(contents: pd.Series) -> pd.DataFrame:
+    found = [size_of(bytes(c)) if c is not None else None for c in contents]
+    return pd.DataFrame({"width": pd.array([f[0] if f else None for f in found], "Int32"), "height": pd.array([f[1] if f else None for f in found], "Int32")})
+
+
+def image_size(content: Column) -> tuple[Column, Column]:
+    """(width, height) of an image file, null if it is of no known kind. PNG files are read by the JVM; only others are
+    handed to Python."""
+    width, height = png_size(content)
+    other = _size_udf(F.when(width.isNull(), content))
+    return F.coalesce(width, other["width"]), F.coalesce(height, other["height"])
+
+
 def within_size(width: Column, height: Column, settings: ImageSettings | None = None) -> Column:
     s = settings or ImageSettings()
     return width.between(s.min_width, s.max_width) & height.between(s.min_height, s.max_height)

@@ -14,6 +14,7 @@ def test_end_to_end(spark, tmp_path):
         (tmp_path / "gt" / f"{script}_labels.txt").write_text("\n".join(lines), encoding="utf-8")
     report = cli.recognize(spark, str(tmp_path / "img"), str(tmp_path / "gt"), str(tmp_path / "m"))
     assert "## Latin" in report and "`e` read as `ε`: 4 times" in report
+    assert {p.name for p in (tmp_path / "m" / "files").iterdir()} == {f"{s}.{e}" for s in ("latin", "greek") for e in ("npz", "json")}
     out = cli.analyze(spark, str(tmp_path / "m"), str(tmp_path / "a"), "frobenius")
     assert "- latin: greek (" in out and "- identity: holds" in out
     assert spark.read.text(str(tmp_path / "a/results")).count() == 1
@@ -27,4 +28,5 @@ def test_scaffold_and_plan(spark, tmp_path):
     (tmp_path / "texts/latin").mkdir(parents=True)
     (tmp_path / "texts/latin/x.txt").write_text("one\ntwo\n")
     assert cli.main(["plan", "--texts", str(tmp_path / "texts"), "--out", str(tmp_path / "plan"), "--augmentations", "2"]) == 0
-    assert spark.read.text(str(tmp_path / "plan/script=latin")).count() == 4
+    lines = [r["value"] for r in spark.read.text(str(tmp_path / "plan/script=latin")).collect()]
+    assert len(lines) == 5 and lines[0].startswith("#")

@@ -68,7 +68,7 @@ def test_label_files(spark, tmp_path):
     assert got == {("latin", "a.png"): "second", ("latin", "b.png"): "plain", ("greek", "g.png"): "αβ"}
     assert IO.read_labels(spark, str(tmp_path), ["greek"]).count() == 1
     IO.write_labels(IO.read_labels(spark, str(tmp_path)), str(tmp_path / "out"))
-    assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "out/script=latin")).collect()) == ['a.png: "second"', 'b.png: "plain"']
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "out/script=latin")).collect()] == ['# labels of latin, file name: "text"', 'a.png: "second"', 'b.png: "plain"']
 
 
 def test_text_files(spark, tmp_path):
@@ -179,3 +179,43 @@ def test_streaming(spark, tmp_path):
     w = S.windowed_cells(ev.select("ts", F.lit("s").alias("script"), F.lit("a").alias("true_char"), F.lit("b").alias("pred_char")))
     assert sorted(r["n"] for r in w.collect()) == [1, 2]
     assert count_pairs(ev.select(F.lit("s").alias("script"), F.lit("a").alias("true_char"), F.lit("b").alias("pred_char"))).first()["n"] == 3
+
+
+def test_sizes_of_image_files(spark):
+    import struct
+
+    from confuscope.functions.glyphs import to_png
+
+    png = to_png(np.zeros((7, 9), dtype=np.uint8))
+    bmp = b"BM" + bytes(16) + struct.pack("<ii", 12, -5) + bytes(8)
+    entry = lambda o, tag, kind, v: struct.pack(o + "HHI", tag, kind, 1) + (struct.pack(o + "HH", v, 0) if kind == 3 else struct.pack(o + "I", v))
+    tiff = lambda o, head: head + struct.pack(o + "IH", 8, 3) + entry(o, 254, 4, 0) + entry(o, 256, 3, 300) + entry(o, 257, 4, 70_000)
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xff\xc4\x00\x03x\xff\xc2\x00\x11\x08" + struct.pack(">HH", 40, 60) + bytes(8)
+    files = [png, bmp, tiff("<", b"II*\0"), tiff(">", b"MM\0*"), jpeg, b"GIF89a", b"", b"\xff\xd8\xff\xda", b"BM"]
+    df = spark.createDataFrame([(k, bytearray(f)) for k, f in enumerate(files)] + [(99, None)], "k int, content binary")
+    w, h = IO.image_size(F.col("content"))
+    got = [tuple(r) for r in df.select("k", w.alias("w"), h.alias("h")).orderBy("k").collect()]
+    assert got[:5] == [(0, 9, 7), (1, 12, 5), (2, 300, 70_000), (3, 300, 70_000), (4, 60, 40)]
+    assert all(r[1] is None and r[2] is None for r in got[5:])
+
+
+def test_a_file_for_each_matrix(spark, literal, tmp_path):
+    import json
+
+    cells, labels = (t.where("script in ('simple', 'sparse')") for t in literal)
+    got = IO.write_files(IO.matrix_files(cells, labels), f"file://{tmp_path}/f").collect()
+    names = {f"{s}.{e}" for s in ("simple", "sparse") for e in ("npz", "csv", "json")}
+    assert {r["name"] for r in got} == names == {p.name for p in (tmp_path / "f").iterdir()}
+    assert (np.load(tmp_path / "f" / "simple.npz")["matrix"] == SIMPLE).all()
+    assert json.loads((tmp_path / "f" / "simple.json").read_text())["matrix"] == SIMPLE.tolist()
+    assert (tmp_path / "f" / "simple.csv").read_text().splitlines()[:2] == [",a,b,c,d,e", "a,100,5,2,1,0"]
+    with pytest.raises(ValueError):
+        IO.matrix_files(cells, labels, ("xls",))
+
+
+def test_public_names():
+    import confuscope
+
+    assert all(callable(getattr(confuscope, n)) for n in confuscope.__all__) and "distances" in dir(confuscope)
+    with pytest.raises(AttributeError):
+        confuscope.nothing  # noqa: B018
