@@ -18,6 +18,13 @@ def _lowest(edges: DataFrame) -> DataFrame:
     return edges.join(low, "u")
 
 
+def _settled(pairs: DataFrame) -> bool:
+    """Whether every node of the edges (u, v) has one target, which has none itself. Counts by node are pre-aggregated."""
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("out")), F.struct(F.col("v").alias("node"), F.lit(0).alias("out")))).alias("e"))
+    nodes = ends.groupBy("e.node").agg(F.sum("e.out").alias("out"), F.count("*").alias("n"))
+    return nodes.where((F.col("out") > 1) | (F.col("out") == 1) & (F.col("n") > 1)).isEmpty()
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 100) -> DataFrame:
     """Rows (node, component) for every node of an edge list; component is its smallest node.
 
@@ -28,14 +35,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """
     pairs = written(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
                     .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    sign = F.xxhash64("u", "v").cast("decimal(38,0)")
-    before = None
     for _ in range(max_rounds):
-        state = pairs.agg(F.count("*").alias("n"), F.sum(sign).alias("s")).first()
-        if not state["n"] or state == before:
+        if _settled(pairs):
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
                 pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        before = state
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _lowest(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = _lowest(large)

@@ -311,9 +311,6 @@ def group_fingerprints(fps: DataFrame) -> DataFrame:
 
 
 def _components(edges: DataFrame) -> DataFrame:
-    edges = written(edges, "links")
-    if edges.isEmpty():
-        return edges.select(F.col("a").alias("fp"), F.col("b").alias("component"))
     return connected_components(edges).select(F.col("node").alias("fp"), "component")
 
 
