@@ -324,8 +324,10 @@ ANALYSIS_JSON = ("method string, scripts array<struct<name:string,size:int,accur
 
 
 def _analysis_back(p: DataFrame, c: DataFrame, n: DataFrame) -> DataFrame:
-    """The analysis as JSON, read back as (part, name, value)."""
-    j = reports.analysis_json(p, D.distances(p), "spectral").select(F.from_json("json", ANALYSIS_JSON).alias("j")).select("j.*")
+    """The analysis as JSON, read back as (part, name, value). The distances are written, as three parts read them."""
+    path = shared_path(p.sparkSession, "distances")
+    IO.write_distances(D.distances(p), path)
+    j = reports.analysis_json(p, IO.read_distances(p.sparkSession, path), "spectral").select(F.from_json("json", ANALYSIS_JSON).alias("j")).select("j.*")
     of = lambda part, name, value: F.struct(F.lit(part).alias("part"), name.alias("name"), value.cast("double").alias("value"))
     scripts = [_field_of_scripts(of, f) for f in ("size", "accuracy", "spectral_gap", "effective_rank")]
     distances = F.transform(F.map_entries("distances"), lambda e: of("distance", e["key"], e["value"]))
