@@ -220,6 +220,48 @@ def with_alignment(pairs: DataFrame, truth: str, prediction: str, case_sensitive
     return rows.mapInArrow(run, schema)
 
 
+def pair_counts(truths: list[str], preds: list[str]) -> dict[tuple[str, str], int]:
+    """How often each (true, predicted) character stands in the alignments, gaps left out."""
+    straight, rest = [], []
+    for k, (a, b) in enumerate(zip(truths, preds, strict=True)):
+        (straight if _straight(a, b) else rest).append(k)
+    codes = lambda texts: np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+    both = codes([truths[k] for k in straight]) << 21 | codes([preds[k] for k in straight])
+    kinds, counts = np.unique(both, return_counts=True)
+    out = {(chr(x >> 21), chr(x & (1 << 21) - 1)): n for x, n in zip(kinds.tolist(), counts.tolist(), strict=True)}
+    for found in edit_alignments([truths[k] for k in rest], [preds[k] for k in rest]):
+        for t, p in found:
+            if t is not None and p is not None:
+                out[t, p] = out.get((t, p), 0) + 1
+    return out
+
+
+def counted_alignment(pairs: DataFrame, truth: str, prediction: str, case_sensitive: bool = True, normalize: bool = True) -> DataFrame:
+    """(script, true_char, pred_char, n) of the alignments of ``pairs``, summed up within each task, so that a row for each
+    cell and task leaves Python and not one for each character."""
+    from .text import fold_case, nfc
+
+    ready = lambda c: F.coalesce(fold_case(nfc(F.col(c)) if normalize else F.col(c), case_sensitive), F.lit(""))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str | None, dict[tuple[str, str], int]] = {}
+        for batch in batches:
+            scripts, ts, ps = (c.to_pylist() for c in batch.columns)
+            ends = np.cumsum([len(x) + len(y) for x, y in zip(ts, ps, strict=True)])
+            cuts = [0, *(np.flatnonzero(np.diff(ends // CHARS)) + 1).tolist(), len(ts)] if len(ts) else [0]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                for script in dict.fromkeys(scripts[lo:hi]):
+                    own, rows = total.setdefault(script, {}), [k for k in range(lo, hi) if scripts[k] == script]
+                    for pair, n in pair_counts([ts[k] for k in rows], [ps[k] for k in rows]).items():
+                        own[pair] = own.get(pair, 0) + n
+        cells = [(script, t, p, n) for script, own in total.items() for (t, p), n in own.items()]
+        for lo in range(0, len(cells), 10_000):
+            columns = zip(*cells[lo : lo + 10_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["script", "true_char", "pred_char", "n"])
+
+    return pairs.select("script", ready(truth).alias("t"), ready(prediction).alias("p")).mapInArrow(run, "script string, true_char string, pred_char string, n long")
+
+
 def needleman_wunsch(first: Column, second: Column) -> Column:
     return _global_udf(first, second)
 

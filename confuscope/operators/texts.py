@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.align import char_accuracy, char_error_rate, confusion_pairs, operation_counts, with_alignment
+from ..functions.align import char_accuracy, char_error_rate, confusion_pairs, counted_alignment, operation_counts, with_alignment
 from ..functions.scalar import ratio
 from ..functions.text import characters, segments
 
@@ -60,6 +60,13 @@ def label_pairs(matched: DataFrame) -> DataFrame:
     return matched.select("script", F.inline(confusion_pairs(F.col("alignment"))))
 
 
+def match_cells(pairs: DataFrame, case_sensitive: bool = True, normalize: bool = True) -> DataFrame:
+    """(script, true_char, pred_char, n) of (script, truth, prediction): what count_pairs makes of label_pairs of
+    match_texts, without a row for each character in between."""
+    counted = counted_alignment(pairs, "truth", "prediction", case_sensitive, normalize)
+    return counted.groupBy("script", "true_char", "pred_char").agg(F.sum("n").cast("double").alias("n"))
+
+
 def edit_distance(a: Column, b: Column, limit: int | None = None) -> Column:
     """Built-in edit distance; -1 beyond ``limit``."""
     return F.levenshtein(a, b) if limit is None else F.levenshtein(a, b, limit)

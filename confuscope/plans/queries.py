@@ -182,7 +182,7 @@ def channel_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def channel_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.count_pairs(X.label_pairs(X.match_texts(T.channel_pairs(spark, sf_dir))))
+    return X.match_cells(T.channel_pairs(spark, sf_dir))
 
 
 def channel_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,7 +190,7 @@ def channel_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = T.channel_pairs(spark, sf_dir)
     seen = E.recognize_images(t.select("script", "filename", F.encode("truth", "UTF-8").alias("content")), E.ChannelEngine)
     both = t.select("script", "filename", "truth").join(seen.select("script", "filename", F.col("text").alias("prediction")), ["script", "filename"])
-    return C.count_pairs(X.label_pairs(X.match_texts(both)))
+    return X.match_cells(both)
 
 
 def rendered_cells(spark: SparkSession, sf_dir: str) -> DataFrame:

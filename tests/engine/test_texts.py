@@ -178,3 +178,15 @@ def test_segment_query_takes_whole_documents(spark, tmp_path):
     got = sorted(tuple(r) for r in Q.segment_texts(spark, str(tmp_path)).select("script", "source_file", "segment_index", "text").collect())
     want = [("de", "d000000002", 0, "\n".join(["ten chars."] * 5)), ("de", "d000000002", 1, "ten chars.\nten chars.")]
     assert got == want + [("en", "d000000001", k, line) for k, line in enumerate(lines)]
+
+
+def test_counted_alignments_are_those_of_the_long_way(spark):
+    from confuscope.operators.counts import count_pairs
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcé東 \U0001f600") for _ in range(rng.randrange(0, 14)))
+    rows = [(rng.choice(["x", "y", None]), f"f{k}", word(), word()) for k in range(150)] + [("x", "s", "abab", "acac"), ("y", "n", None, "a"), ("y", "e", "", ""), ("x", "d", "e\u0301", "é")]
+    df = spark.createDataFrame(rows, "script string, filename string, truth string, prediction string").repartition(3)
+    as_set = lambda d: {tuple(r) for r in d.select("script", "true_char", "pred_char", "n").collect()}
+    assert as_set(O.match_cells(df)) == as_set(count_pairs(O.label_pairs(O.match_texts(df))))
+    assert O.match_cells(df.where("1 = 0")).count() == 0
