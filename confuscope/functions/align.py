@@ -220,6 +220,41 @@ def with_alignment(pairs: DataFrame, truth: str, prediction: str, case_sensitive
     return rows.mapInArrow(run, schema)
 
 
+def edit_counts(truths: list[str], preds: list[str]) -> np.ndarray:
+    """Rows (matches, substitutions, insertions, deletions) of the alignments."""
+    out, rest = np.zeros((len(truths), 4), dtype=np.int32), []
+    for k, (a, b) in enumerate(zip(truths, preds, strict=True)):
+        if _straight(a, b):
+            same = int((_codes([a], len(a), -1) == _codes([b], len(b), -1)).sum())
+            out[k, :2] = same, len(a) - same
+        else:
+            rest.append(k)
+    for k, found in zip(rest, edit_alignments([truths[k] for k in rest], [preds[k] for k in rest]), strict=True):
+        gaps = sum(t is None for t, _ in found), sum(p is None for _, p in found)
+        same = sum(t == p for t, p in found)
+        out[k] = same, len(found) - same - sum(gaps), *gaps
+    return out
+
+
+COUNTS = ("matches", "substitutions", "insertions", "deletions")
+
+
+def with_edit_counts(pairs: DataFrame, truth: str, prediction: str, case_sensitive: bool = True, normalize: bool = True) -> DataFrame:
+    """``pairs`` with the columns of COUNTS: with_alignment and operation_counts without the alignments themselves."""
+    from .text import fold_case, nfc
+
+    ready = lambda c: F.coalesce(fold_case(nfc(F.col(c)) if normalize else F.col(c), case_sensitive), F.lit(""))
+    kept = pairs.columns
+    schema = T.StructType([*pairs.schema.fields, *[T.StructField(c, T.IntegerType()) for c in COUNTS]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = edit_counts(batch.column("__t").to_pylist(), batch.column("__p").to_pylist())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(n[:, k]) for k in range(4))], names=[*kept, *COUNTS])
+
+    return pairs.select("*", ready(truth).alias("__t"), ready(prediction).alias("__p")).mapInArrow(run, schema)
+
+
 def pair_counts(truths: list[str], preds: list[str]) -> dict[tuple[str, str], int]:
     """How often each (true, predicted) character stands in the alignments, gaps left out."""
     straight, rest = [], []

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.align import char_accuracy, char_error_rate, confusion_pairs, counted_alignment, operation_counts, with_alignment
+from ..functions.align import COUNTS, char_accuracy, char_error_rate, confusion_pairs, counted_alignment, operation_counts, with_alignment, with_edit_counts
 from ..functions.scalar import ratio
 from ..functions.text import characters, segments
 
@@ -50,11 +50,19 @@ def segment_texts(texts: DataFrame, chars: int = 100, lines: int = 5, shortest:
 def match_texts(pairs: DataFrame, case_sensitive: bool = True, normalize: bool = True) -> DataFrame:
     """(script, filename, truth, prediction) with alignment, the four counts, accuracy and error rate."""
     rows = with_alignment(pairs, "truth", "prediction", case_sensitive, normalize)
-    rows = rows.select("*", *operation_counts(F.col("alignment")))
-    m, s, i, d = (F.col(c) for c in ("matches", "substitutions", "insertions", "deletions"))
+    return _with_rates(rows.select("*", *operation_counts(F.col("alignment"))))
+
+
+def _with_rates(rows: DataFrame) -> DataFrame:
+    m, s, i, d = (F.col(c) for c in COUNTS)
     return rows.withColumn("char_accuracy", char_accuracy(m, s, d)).withColumn("cer", char_error_rate(m, s, i, d))
 
 
+def match_counts(pairs: DataFrame, case_sensitive: bool = True, normalize: bool = True) -> DataFrame:
+    """What match_texts gives but for the alignments, which then never leave their task."""
+    return _with_rates(with_edit_counts(pairs, "truth", "prediction", case_sensitive, normalize))
+
+
 def label_pairs(matched: DataFrame) -> DataFrame:
     """(script, true_char, pred_char) of all matched rows."""
     return matched.select("script", F.inline(confusion_pairs(F.col("alignment"))))

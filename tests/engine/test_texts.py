@@ -189,4 +189,6 @@ def test_counted_alignments_are_those_of_the_long_way(spark):
     df = spark.createDataFrame(rows, "script string, filename string, truth string, prediction string").repartition(3)
     as_set = lambda d: {tuple(r) for r in d.select("script", "true_char", "pred_char", "n").collect()}
     assert as_set(O.match_cells(df)) == as_set(count_pairs(O.label_pairs(O.match_texts(df))))
-    assert O.match_cells(df.where("1 = 0")).count() == 0
+    assert O.match_cells(df.where("1 = 0")).count() == O.match_counts(df.where("1 = 0")).count() == 0
+    short = O.match_counts(df)
+    assert sorted(map(str, short.collect())) == sorted(map(str, O.match_texts(df).select(*short.columns).collect()))
