@@ -8,6 +8,7 @@ filled again on the way back. Texts whose places differ no more than their chara
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from math import isqrt
 
@@ -237,22 +238,39 @@ def edit_counts(truths: list[str], preds: list[str]) -> np.ndarray:
 
 
 COUNTS = ("matches", "substitutions", "insertions", "deletions")
+#: Rows of a batch that are Python objects at once.
+ROWS = 500
 
 
-def with_edit_counts(pairs: DataFrame, truth: str, prediction: str, case_sensitive: bool = True, normalize: bool = True) -> DataFrame:
-    """``pairs`` with the columns of COUNTS: with_alignment and operation_counts without the alignments themselves."""
+def _columns(pairs: DataFrame, truth: str, prediction: str, case_sensitive: bool, normalize: bool) -> tuple[list[Column], bool]:
+    """(columns __t and __p, whether the task is to normalise them): without case folding, which comes after it,
+    normalisation is left to the task that aligns, so that no other Python worker is needed."""
     from .text import fold_case, nfc
 
-    ready = lambda c: F.coalesce(fold_case(nfc(F.col(c)) if normalize else F.col(c), case_sensitive), F.lit(""))
-    kept = pairs.columns
-    schema = T.StructType([*pairs.schema.fields, *[T.StructField(c, T.IntegerType()) for c in COUNTS]])
+    ready = lambda c: F.coalesce(F.col(c) if case_sensitive or not normalize else nfc(F.col(c)), F.lit(""))
+    return [fold_case(ready(c), case_sensitive).alias(n) for c, n in ((truth, "__t"), (prediction, "__p"))], normalize and case_sensitive
+
+
+def _texts(batch: pa.RecordBatch, name: str, normalize: bool) -> list[str]:
+    texts = batch.column(name).to_pylist()
+    return [unicodedata.normalize("NFC", t) for t in texts] if normalize else texts
+
+
+def with_edit_counts(pairs: DataFrame, truth: str, prediction: str, case_sensitive: bool = True, normalize: bool = True, keep: list[str] | None = None) -> DataFrame:
+    """``pairs``, or the columns ``keep`` of it, with the columns of COUNTS: with_alignment and operation_counts without the
+    alignments themselves."""
+    kept = pairs.columns if keep is None else keep
+    texts, normalise = _columns(pairs, truth, prediction, case_sensitive, normalize)
+    schema = T.StructType([*[pairs.schema[c] for c in kept], *[T.StructField(c, T.IntegerType()) for c in COUNTS]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = edit_counts(batch.column("__t").to_pylist(), batch.column("__p").to_pylist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(n[:, k]) for k in range(4))], names=[*kept, *COUNTS])
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                n = edit_counts(_texts(part, "__t", normalise), _texts(part, "__p", normalise))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *(pa.array(n[:, k]) for k in range(4))], names=[*kept, *COUNTS])
 
-    return pairs.select("*", ready(truth).alias("__t"), ready(prediction).alias("__p")).mapInArrow(run, schema)
+    return pairs.select(*kept, *texts).mapInArrow(run, schema)
 
 
 def pair_counts(truths: list[str], preds: list[str]) -> dict[tuple[str, str], int]:
@@ -260,10 +278,15 @@ def pair_counts(truths: list[str], preds: list[str]) -> dict[tuple[str, str], in
     straight, rest = [], []
     for k, (a, b) in enumerate(zip(truths, preds, strict=True)):
         (straight if _straight(a, b) else rest).append(k)
+    out: dict[tuple[str, str], int] = {}
     codes = lambda texts: np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
-    both = codes([truths[k] for k in straight]) << 21 | codes([preds[k] for k in straight])
-    kinds, counts = np.unique(both, return_counts=True)
-    out = {(chr(x >> 21), chr(x & (1 << 21) - 1)): n for x, n in zip(kinds.tolist(), counts.tolist(), strict=True)}
+    ends = np.cumsum([len(truths[k]) for k in straight])
+    cuts = [0, *(np.flatnonzero(np.diff(ends // CHARS)) + 1).tolist(), len(straight)]
+    for some in (straight[lo:hi] for lo, hi in zip(cuts, cuts[1:], strict=False) if lo < hi):
+        kinds, counts = np.unique(codes([truths[k] for k in some]) << 21 | codes([preds[k] for k in some]), return_counts=True)
+        for x, n in zip(kinds.tolist(), counts.tolist(), strict=True):
+            pair = chr(x >> 21), chr(x & (1 << 21) - 1)
+            out[pair] = out.get(pair, 0) + n
     for found in edit_alignments([truths[k] for k in rest], [preds[k] for k in rest]):
         for t, p in found:
             if t is not None and p is not None:
@@ -274,19 +297,16 @@ def pair_counts(truths: list[str], preds: list[str]) -> dict[tuple[str, str], in
 def counted_alignment(pairs: DataFrame, truth: str, prediction: str, case_sensitive: bool = True, normalize: bool = True) -> DataFrame:
     """(script, true_char, pred_char, n) of the alignments of ``pairs``, summed up within each task, so that a row for each
     cell and task leaves Python and not one for each character."""
-    from .text import fold_case, nfc
-
-    ready = lambda c: F.coalesce(fold_case(nfc(F.col(c)) if normalize else F.col(c), case_sensitive), F.lit(""))
+    texts, normalise = _columns(pairs, truth, prediction, case_sensitive, normalize)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str | None, dict[tuple[str, str], int]] = {}
         for batch in batches:
-            scripts, ts, ps = (c.to_pylist() for c in batch.columns)
-            ends = np.cumsum([len(x) + len(y) for x, y in zip(ts, ps, strict=True)])
-            cuts = [0, *(np.flatnonzero(np.diff(ends // CHARS)) + 1).tolist(), len(ts)] if len(ts) else [0]
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                for script in dict.fromkeys(scripts[lo:hi]):
-                    own, rows = total.setdefault(script, {}), [k for k in range(lo, hi) if scripts[k] == script]
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                scripts, ts, ps = part.column("script").to_pylist(), _texts(part, "__t", normalise), _texts(part, "__p", normalise)
+                for script in dict.fromkeys(scripts):
+                    own, rows = total.setdefault(script, {}), [k for k, x in enumerate(scripts) if x == script]
                     for pair, n in pair_counts([ts[k] for k in rows], [ps[k] for k in rows]).items():
                         own[pair] = own.get(pair, 0) + n
         cells = [(script, t, p, n) for script, own in total.items() for (t, p), n in own.items()]
@@ -294,7 +314,7 @@ def counted_alignment(pairs: DataFrame, truth: str, prediction: str, case_sensit
             columns = zip(*cells[lo : lo + 10_000], strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["script", "true_char", "pred_char", "n"])
 
-    return pairs.select("script", ready(truth).alias("t"), ready(prediction).alias("p")).mapInArrow(run, "script string, true_char string, pred_char string, n long")
+    return pairs.select("script", *texts).mapInArrow(run, "script string, true_char string, pred_char string, n long")
 
 
 def needleman_wunsch(first: Column, second: Column) -> Column:

@@ -58,9 +58,10 @@ def _with_rates(rows: DataFrame) -> DataFrame:
     return rows.withColumn("char_accuracy", char_accuracy(m, s, d)).withColumn("cer", char_error_rate(m, s, i, d))
 
 
-def match_counts(pairs: DataFrame, case_sensitive: bool = True, normalize: bool = True) -> DataFrame:
-    """What match_texts gives but for the alignments, which then never leave their task."""
-    return _with_rates(with_edit_counts(pairs, "truth", "prediction", case_sensitive, normalize))
+def match_counts(pairs: DataFrame, case_sensitive: bool = True, normalize: bool = True, keep: list[str] | None = None) -> DataFrame:
+    """What match_texts gives but for the alignments, which then never leave their task; ``keep``: the columns of
+    ``pairs`` that are wanted, by default all."""
+    return _with_rates(with_edit_counts(pairs, "truth", "prediction", case_sensitive, normalize, keep))
 
 
 def label_pairs(matched: DataFrame) -> DataFrame:

@@ -177,7 +177,7 @@ def segment_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def channel_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = X.match_counts(T.channel_pairs(spark, sf_dir))
+    m = X.match_counts(T.channel_pairs(spark, sf_dir), keep=["script", "filename"])
     return _rounded(m.select("script", F.substring("filename", 2, 12).cast("long").alias("doc_id"), "matches", "substitutions", "insertions", "deletions", "char_accuracy", "cer"))
 
 

@@ -190,5 +190,7 @@ def test_counted_alignments_are_those_of_the_long_way(spark):
     as_set = lambda d: {tuple(r) for r in d.select("script", "true_char", "pred_char", "n").collect()}
     assert as_set(O.match_cells(df)) == as_set(count_pairs(O.label_pairs(O.match_texts(df))))
     assert O.match_cells(df.where("1 = 0")).count() == O.match_counts(df.where("1 = 0")).count() == 0
+    fold = df.withColumn("truth", F.upper("truth"))
+    assert as_set(O.match_cells(fold, case_sensitive=False)) == as_set(count_pairs(O.label_pairs(O.match_texts(fold, case_sensitive=False))))
     short = O.match_counts(df)
     assert sorted(map(str, short.collect())) == sorted(map(str, O.match_texts(df).select(*short.columns).collect()))
