@@ -39,7 +39,7 @@ def recognize(spark: SparkSession, images: str, truth: str, out: str, engine: st
     if scripts:
         found = found.where(found["script"].isin(scripts))
     labelled = found.join(labels.withColumnRenamed("text", "truth"), ["script", "filename"])
-    read = E.recognize_images(labelled, lambda: E.get_engine(engine)).where("error is null").select("script", "filename", "text")
+    read = E.recognize_images(labelled, lambda: E.get_engine(engine), details=False).where("error is null").select("script", "filename", "text")
     both = labels.withColumnRenamed("text", "truth").join(read.withColumnRenamed("text", "prediction"), ["script", "filename"])
     charset = charset_table(spark, scripts) if scripts else None
     cells, kept = C.build_matrices(X.label_pairs(X.match_texts(both)), charset)

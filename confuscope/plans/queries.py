@@ -188,7 +188,7 @@ def channel_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def channel_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The recognition interface end to end: contents, engine, alignment, counts."""
     t = T.channel_pairs(spark, sf_dir)
-    seen = E.recognize_images(t.select("script", "filename", F.encode("truth", "UTF-8").alias("content")), E.ChannelEngine)
+    seen = E.recognize_images(t.select("script", "filename", F.encode("truth", "UTF-8").alias("content")), E.ChannelEngine, details=False)
     both = t.select("script", "filename", "truth").join(seen.select("script", "filename", F.col("text").alias("prediction")), ["script", "filename"])
     return X.match_cells(both)
 
@@ -198,7 +198,7 @@ def rendered_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = T.table(spark, sf_dir, "benchmark").select(F.lit("benchmark").alias("script"), F.col("item_id").cast("string").alias("filename"), F.coalesce("text", F.lit("")).alias("text"))
     wide = RenderSettings(max_width=1 << 24, max_height=1 << 24)
     images = IO.render_images(t, wide, augmented=False)
-    seen = E.recognize_images(images.select("script", "filename", "content"), lambda: E.BoxEngine(wide)).select("script", "filename", F.col("text").alias("prediction"))
+    seen = E.recognize_images(images.select("script", "filename", "content"), lambda: E.BoxEngine(wide), details=False).select("script", "filename", F.col("text").alias("prediction"))
     both = t.withColumnRenamed("text", "truth").join(seen, ["script", "filename"])
     return C.count_pairs(X.label_pairs(X.match_texts(both)))
 

@@ -119,25 +119,39 @@ register_engine("channel", ChannelEngine)
 register_engine("boxes", BoxEngine)
 
 
-def recognize_images(images: DataFrame, make: Callable[[], Engine]) -> DataFrame:
-    """(script, filename) and RESULT for each image; a failure is an empty text with its error."""
+#: Characters whose results are handed on together; bounds memory, as each one is an object of its own.
+CHARS = 200_000
+
+
+def recognize_images(images: DataFrame, make: Callable[[], Engine], details: bool = True) -> DataFrame:
+    """(script, filename) and RESULT for each image; a failure is an empty text with its error. Without ``details`` the columns
+    of single characters are left out."""
+    names = ["script", "filename", "text", "confidence", "characters", "char_confidences", "error"]
+    left_out = () if details else ("characters", "char_confidences")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        engine = make()
+        engine, out, size = make(), [], 0
+        pack = lambda rows: pd.DataFrame(rows, columns=names).drop(columns=[*left_out])
         try:
             for pdf in batches:
-                out = []
                 for script, name, content in zip(pdf["script"], pdf["filename"], pdf["content"], strict=True):
                     try:
                         r = engine.recognize(bytes(content), script)
                     except Exception as e:  # an image that cannot be read is a row, not the end of the run
                         r = Recognized(error=f"{type(e).__name__}: {e}")
-                    out.append((script, name, r.text, r.confidence, r.characters, r.char_confidences, r.error))
-                yield pd.DataFrame(out, columns=["script", "filename", "text", "confidence", "characters", "char_confidences", "error"])
+                    single = (r.characters, r.char_confidences) if details else (None, None)
+                    out.append((script, name, r.text, r.confidence, *single, r.error))
+                    size += len(r.text)
+                    if size >= CHARS:
+                        yield pack(out)
+                        out, size = [], 0
+            if out:
+                yield pack(out)
         finally:
             engine.cleanup()
 
-    return images.select("script", "filename", "content").mapInPandas(run, "script string, filename string, " + RESULT)
+    result = RESULT if details else "text string, confidence double, error string"
+    return images.select("script", "filename", "content").mapInPandas(run, "script string, filename string, " + result)
 
 
 def channel(text: Column, source: str = "eaotn", target: str = "εαοτν") -> Column:

@@ -75,7 +75,10 @@ def test_augmented_images_are_read_with_errors(spark):
     rows = E.recognize_images(images, E.BoxEngine).collect()
     tags = {r["filename"]: r["tag"] for r in images.collect()}
     assert images.collect()[0]["content"] == images.repartition(3).where(F.col("filename") == images.collect()[0]["filename"]).first()["content"]
-    assert all(r["error"] is None for r in rows)
+    assert all(r["error"] is None and r["characters"] == list(r["text"]) and len(r["char_confidences"]) == len(r["text"]) for r in rows)
+    short = E.recognize_images(images, E.BoxEngine, details=False)
+    assert short.columns == ["script", "filename", "text", "confidence", "error"]
+    assert {(r["filename"], r["text"], r["confidence"]) for r in short.collect()} == {(r["filename"], r["text"], r["confidence"]) for r in rows}
     assert all(r["text"] == "The quick brown fox, 1234567890 jumps" for r in rows if tags[r["filename"]] in ("none", "noise", "brightness", "noise+brightness"))
     assert any(r["text"] != "The quick brown fox, 1234567890 jumps" for r in rows)
     broken = spark.createDataFrame([("latin", "x", bytearray(b"no image"))], "script string, filename string, content binary")
