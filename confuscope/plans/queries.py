@@ -186,8 +186,8 @@ def channel_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def channel_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The recognition interface end to end: contents, engine, alignment, counts."""
-    t = T.channel_pairs(spark, sf_dir)
+    """The recognition interface end to end: contents, engine, alignment, counts. The join with the truth deals the rows out."""
+    t = T.document_texts(spark, sf_dir).select("script", "filename", F.col("text").alias("truth"))
     seen = E.recognize_images(t.select("script", "filename", F.encode("truth", "UTF-8").alias("content")), E.ChannelEngine, details=False)
     both = t.select("script", "filename", "truth").join(seen.select("script", "filename", F.col("text").alias("prediction")), ["script", "filename"])
     return X.match_cells(both)
