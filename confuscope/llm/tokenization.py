@@ -2,7 +2,8 @@
 
 A text is cut only where its tokenizer is bound to cut as well, so the ids of the chunks, each encoded
 by the library, join to the ids of the text. Chunks recur, so most are looked up; new ones are encoded
-many at a time, parted by a character that has a token of its own.
+many at a time, parted by a character that has a token of its own. Where the tokenizer lower-cases,
+chunks that differ in case or in the punctuation behind them share the word they hold.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import re
 from collections.abc import Iterable
 from functools import lru_cache
 from itertools import chain, islice
+from string import punctuation
 
 import numpy as np
 
@@ -29,6 +31,8 @@ _WIDE = frozenset(c for c in map(chr, range(0x3001)) if c.isspace()) | frozenset
 #: Stands before the first chunk of a text: a lone surrogate, which no valid text holds.
 _FIRST = "\udfff"
 _WIDE_OR_NONE = _WIDE | {""}
+#: Lower-case letters below U+0100: one piece to a tokenizer that parts letters from the rest, and normal already.
+_LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
 _EVEN = re.compile(r"(?<![\s\u180e\u200b\ufeff]) (?![\s\u180e\u200b\ufeff])")
 
 
@@ -40,6 +44,23 @@ class Numbers(dict):
         return n
 
 
+def _latin(text: str) -> bool:
+    """Whether all characters lie below U+0100. There lower case is a matter of each character alone, and nothing composes."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+#: Rules (normalizer, pre-tokenizer) under which a word of letters is one piece, whatever its case and the ASCII punctuation behind it.
+_LOWERS = (
+    r'Sequence(normalizers=[NFC(), Replace(pattern=Regex("\s+"), content=" "), Lowercase()])',
+    r"""Sequence(pretokenizers=[Split(pattern=Regex("'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), behavior=Removed, invert=True), """
+    "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])",
+)
+
+
 class ChunkEncoder:
     """Encodes by chunks; how texts may be cut follows from the tokenizer's own rules.
 
@@ -60,6 +81,8 @@ class ChunkEncoder:
         #: A character that always is a token of its own between chunks, and its id.
         self.part = {"glue": "\n", "drop": "|"}.get(self.mode, "")
         self.part_id = self.tokenizer.encode(self.part, add_special_tokens=False).ids[0] if self.part else -1
+        #: The same model behind a plain cut at spaces, for words of letters alone; none if the rules do not allow it.
+        self.plain, self.ends_word = self._plain()
         self._forget()
 
     def _mode(self) -> str:
@@ -70,6 +93,21 @@ class ChunkEncoder:
             return "drop"
         return "whole"
 
+    def _plain(self):
+        """(tokenizer for lower-case words, whether an id ends a word), or (None, None)."""
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
+
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if not suffix or (str(self.tokenizer.normalizer), str(self.tokenizer.pre_tokenizer)) != _LOWERS:
+            return None, None
+        plain = Tokenizer(self.tokenizer.model)
+        plain.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocab = self.tokenizer.get_vocab()
+        ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        ends[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
+        return plain, ends
+
     def _forget(self) -> None:
         self.numbers, self.long = Numbers(), 0
         self.flat, self.used = np.zeros(1 << 12, dtype="<u4"), 0
@@ -79,6 +117,8 @@ class ChunkEncoder:
         """Chunks without the space before them; the first one in "glue" mode has none and says so."""
         if self.mode == "whole":
             return [text]
+        if self.plain and _latin(text):
+            text = text.lower()
         return (text.replace("\n", " ") if self.mode == "drop" else _FIRST + text).split(" ")
 
     def _as_text(self, chunk: str) -> str:
@@ -86,21 +126,39 @@ class ChunkEncoder:
             return chunk
         return chunk[1:] if chunk[:1] == _FIRST else " " + chunk
 
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str], tokenizer=None) -> list[list[int]]:
+        return [e.ids for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _tails(self, first: int, chunks: list[str]) -> tuple[list[str | None], list[tuple[int, int, int]]]:
+        """Chunks to encode, and (number, number of the word, number of what is behind it) of those that are joined from two;
+        in the list these are None, and words and tails that are not known yet follow at its end."""
+        numbers, joined, known = self.numbers, [], len(self.numbers)
+        out: list[str | None] = list(chunks)
+        for k, c in enumerate(chunks):
+            word = c.rstrip(punctuation)
+            if word and word != c and len(c) <= LONGEST and word[-1] < "\u0100" and word[-1].isalnum():
+                joined.append((first + k, numbers[word], numbers[c[len(word) :]]))
+                out[k] = None
+        return out + list(islice(reversed(numbers), len(numbers) - known))[::-1], joined
 
     def _store(self, first: int, chunks: list[str]) -> None:
         """Encode the chunks numbered from ``first`` on. One that the tokenizer need not cut off from its
         neighbours ("glue" mode, white space at an end) gets the length -1."""
+        chunks, joined = self._tails(first, chunks) if self.plain else (chunks, [])
         n = first + len(chunks)
         if n > len(self.start):
             self.start = np.resize(self.start, max(n, 2 * len(self.start)))
             self.length = np.resize(self.length, len(self.start))
         self.length[first:n] = -1
         part, glue, wide = self.part, self.mode == "glue", _WIDE
-        easy, numbers, alone = [], [], []
+        easy, numbers, alone, words, of_words = [], [], [], [], []
         for k, c in enumerate(chunks, first):
-            if not c:
+            if c is None:
+                pass
+            elif self.plain and len(c) <= LONGEST and _LETTERS(c):
+                words.append(c)
+                of_words.append(k)
+            elif not c:
                 if not glue:
                     alone.append((k, c))
             elif glue and (c[0] in wide or c[-1] in wide or c[0] == _FIRST and c[1:2] in _WIDE_OR_NONE):
@@ -124,9 +182,23 @@ class ChunkEncoder:
                 raise ValueError("the tokenizer does not part chunks as expected")
             lengths = np.diff(ends, prepend=-1) - 1
             self._keep(np.array(numbers[at : at + 20_000]), lengths, all_ids[all_ids != self.part_id])
+        for at in range(0, len(words), 20_000):
+            some = words[at : at + 20_000]
+            found = self._ids([" ".join(some[i : i + BLOCK]) for i in range(0, len(some), BLOCK)], self.plain)
+            all_ids = np.fromiter(chain.from_iterable(found), dtype="<u4")
+            ends = np.flatnonzero(self.ends_word[all_ids])
+            if len(ends) != len(some) or ends[-1] != len(all_ids) - 1:
+                raise ValueError("the tokenizer does not end words as expected")
+            self._keep(np.array(of_words[at : at + 20_000]), np.diff(ends, prepend=-1), all_ids)
         if alone:
             found = self._ids([t for _, t in alone])
             self._keep(np.array([k for k, _ in alone]), np.array([len(x) for x in found]), np.array([i for x in found for i in x], dtype="<u4"))
+        if joined:
+            both = np.array(joined)
+            lengths = self.length[both[:, 1:]].astype(np.int64)
+            ends, flat = np.cumsum(lengths), lengths.ravel()
+            where = np.arange(int(ends[-1])) + np.repeat(self.start[both[:, 1:].ravel()] - (ends - flat), flat)
+            self._keep(both[:, 0], lengths.sum(axis=1), self.flat[where])
 
     def _keep(self, numbers: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
         if self.used + len(ids) > len(self.flat):

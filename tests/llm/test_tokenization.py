@@ -36,3 +36,25 @@ def test_memo_starts_afresh(monkeypatch):
     for _ in range(3):
         assert [x.tolist() for x in enc.encode(texts)] == [whole(FILES[0], t or "") for t in texts]
     assert len(enc.numbers) <= 3 + 8
+
+
+def test_case_and_punctuation_share_a_word(monkeypatch):
+    from confuscope.llm import tokenization
+
+    enc = tokenization.ChunkEncoder(tokenizer_path(FILES[1]))
+    ids, sent = enc._ids, []
+    monkeypatch.setattr(enc, "_ids", lambda texts, *how: sent.extend(texts) or ids(texts, *how))
+    texts = ["Shore shore, SHORE. (shore) shore!?\nÉté été; ÉTÉ", "shore's Shore's. dogs' 'S x' x'.", "№ Shore SHORE…  ÉTÉ."]
+    found = enc.encode(texts[:1])
+    words = " ".join(sent).split()
+    assert words.count("shore") == words.count("été") == 1 and not {"shore,", "Shore", "SHORE.", "ÉTÉ"} & set(words)
+    assert [x.tolist() for x in found + enc.encode(texts[1:])] == [whole(FILES[1], t) for t in texts]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["Ab", "H", "h", "̱", "́", "̸", "É", "ß", "İ", "Σ", "K", "²", "µ", "ª", "\xa0", "\xad", "\x85", "क़", "क़", "…", ".", "'", "s", "S", "<", "|", "7", " ", "\n", "</w>", "y" * 70]), max_size=14))
+def test_same_ids_behind_words_and_punctuation(parts):
+    text = "".join(parts)
+    for name in FILES:
+        assert encoder(tokenizer_path(name)).encode([text, text.lower(), text + "."])[0].tolist() == whole(name, text)
+        assert encoder(tokenizer_path(name)).encode([text + ".,"])[0].tolist() == whole(name, text + ".,")
