@@ -2,7 +2,8 @@
 
 Pass one scatters records uniformly over buckets of memory size by a seeded hash of their id and
 text. Pass two gathers each bucket, puts it in a canonical order, applies a Fisher-Yates
-shuffle whose draws are hashes of seed, bucket and place, and writes it. The concatenation of the buckets is one
+shuffle whose draws are hashes of seed, bucket and place, and writes it. The shuffle moves the numbers of the records
+alone; texts go through sorts, which spill, and never lie in one array. The concatenation of the buckets is one
 shuffled order; record number p goes to shard p mod shards, at slot p div shards, so the shards'
 counts are at most one apart. Nothing but the rows and the seed decides the order.
 """
@@ -19,6 +20,8 @@ SEED = 20_240_607
 SHARDS = 8
 #: Target bytes of text, and rows, in a bucket; a swap costs as much as the bucket has rows.
 BUCKET_BYTES, BUCKET_ROWS = 4 << 20, 1024
+#: Target bytes of text that one task gathers; each writes a file for every shard.
+TASK_BYTES = 32 << 20
 #: Buckets whose offsets one task sums up.
 GROUP = 4096
 
@@ -31,18 +34,19 @@ def _numbered(rows: DataFrame) -> DataFrame:
 
 
 def _offsets(sizes: DataFrame) -> DataFrame:
-    """(bucket, base) of (bucket, n): the records in all buckets before. Sums run within groups of buckets, and over the
+    """(bucket, n, base) of (bucket, n): the records in all buckets before. Sums run within groups of buckets, and over the
     groups, of which there is one for GROUP buckets."""
     before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     rows = sizes.withColumn("group", F.floor(F.col("bucket") / GROUP))
     groups = rows.groupBy("group").agg(F.sum("n").alias("n"))
     groups = groups.select("group", before(W.orderBy("group")).alias("far"))
-    near = rows.select("bucket", "group", before(W.partitionBy("group").orderBy("bucket")).alias("near"))
-    return near.join(groups, "group").select("bucket", (F.col("near") + F.col("far")).alias("base"))
+    near = rows.select("bucket", "n", "group", before(W.partitionBy("group").orderBy("bucket")).alias("near"))
+    return near.join(groups, "group").select("bucket", "n", (F.col("near") + F.col("far")).alias("base"))
 
 
-def _permutation(n: Column, seed: int, bucket: Column) -> Column:
-    """Array of 0 to n - 1 after a Fisher-Yates shuffle: from the last place down, each swaps with a drawn one up to it."""
+def _places(n: Column, seed: int, bucket: Column) -> Column:
+    """Array of the places to which a Fisher-Yates shuffle brings the records 0 to n - 1. The shuffle goes from the last place
+    down, each swaps with a drawn one up to it; the same swaps from the first place up give its inverse, which this is."""
 
     def swapped(a: Column, i: Column, j: Column) -> Column:
         at = lambda k: F.array(F.coalesce(F.element_at(a, k + 1), F.lit(0)))
@@ -54,7 +58,7 @@ def _permutation(n: Column, seed: int, bucket: Column) -> Column:
         return F.element_at(F.transform(F.array(draw), lambda j: swapped(a, i, j)), 1)
 
     start = F.sequence(F.lit(0), n - 1)
-    return F.when(n < 2, start).otherwise(F.aggregate(F.sequence(F.greatest(n - 1, F.lit(1)), F.lit(1), F.lit(-1)), start, lambda a, i: F.coalesce(step(a, i), a)))
+    return F.when(n < 2, start).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), start, lambda a, i: F.coalesce(step(a, i), a)))
 
 
 def shuffle_to_shards(
@@ -67,7 +71,8 @@ def shuffle_to_shards(
     stay null and null ids are hashed like values; rows equal in id and text are numbered, so that
     they scatter like others; texts of any length are kept whole; other columns are left out, whatever their names; an empty
     table gives no rows. The seed alone fixes the order of given rows, however they are partitioned. The number of
-    buckets follows the bytes and rows; their offsets are summed up by tasks and joined by bucket.
+    buckets follows the bytes and rows, that of the tasks that gather them the bytes; offsets are summed up by tasks and joined
+    by bucket. Each file's rows lie in the order of their slots.
     """
     if shards < 1:
         raise ValueError("at least one shard")
@@ -81,13 +86,15 @@ def shuffle_to_shards(
     rows = _numbered(rows) if (most or 0) > 1 else rows.withColumn("copy", F.lit(0))
     bucket = F.pmod(F.xxhash64("h", "copy"), F.lit(buckets))
     scattered = rows.select(bucket.alias("bucket"), "doc_id", "text", "h", "copy")
-    offsets = _offsets(scattered.groupBy("bucket").agg(F.count("*").alias("n")))
-    record = F.struct("h", "copy", "doc_id", "text")
-    gathered = scattered.repartition("bucket").groupBy("bucket").agg(F.array_sort(F.collect_list(record)).alias("records"))
-    mixed = gathered.join(offsets, "bucket").withColumn("order", _permutation(F.size("records"), seed, F.col("bucket")))
-    shuffled = mixed.select("base", F.posexplode(F.transform("order", lambda p: F.element_at("records", p + 1))).alias("pos", "r"))
-    at = F.col("base") + F.col("pos")
-    placed = shuffled.select(F.col("r.doc_id").alias("doc_id"), F.col("r.text").alias("text"),
-                             F.floor(at / shards).cast("long").alias("slot"), F.pmod(at, F.lit(shards)).cast("int").alias("shard"))
+    tasks = min(buckets, max(-(-(n_bytes or 0) // TASK_BYTES), spark.sparkContext.defaultParallelism))
+    offsets = _offsets(scattered.groupBy("bucket").agg(F.count("*").alias("n"))).repartition(tasks, "bucket")
+    places = offsets.select("bucket", "base", _places(F.col("n").cast("int"), seed, F.col("bucket")).alias("places"))
+    rank = F.row_number().over(W.partitionBy("bucket").orderBy("h", "copy", "doc_id", "text"))
+    ranked = scattered.repartition(tasks, "bucket").withColumn("rank", rank)
+    # Merged and not broadcast: Spark cannot tell how long the arrays are, and they are made in the tasks that join.
+    at = F.col("base") + F.element_at("places", F.col("rank"))
+    placed = ranked.join(places.hint("merge"), "bucket").select(
+        "doc_id", "text", F.floor(at / shards).cast("long").alias("slot"), F.pmod(at, F.lit(shards)).cast("int").alias("shard"))
+    placed = placed.sortWithinPartitions("shard", "slot")
     placed.write.partitionBy("shard").option("compression", "zstd").parquet(out)
     return spark.read.schema("doc_id long, text string, slot long, shard int").parquet(out)

@@ -1,5 +1,6 @@
 from collections import Counter
 
+import pyarrow.parquet as pq
 import xxhash
 
 from confuscope.llm import sharding
@@ -89,3 +90,26 @@ def test_many_equal_rows_scatter(spark):
     assert Counter((r["doc_id"], r["text"]) for r in rows) == Counter(tuple(r) for r in df.collect())
     first = [r["doc_id"] == 1 and r["text"] == "same text" for r in sorted(rows, key=lambda r: (r["slot"], r["shard"]))][:1000]
     assert 0.6 < sum(first) / 1000 < 0.85
+
+
+def test_tasks_follow_the_bytes(spark, tmp_path, monkeypatch):
+    """Whatever the session's partitions, each task gathers TASK_BYTES or so, sorts them and writes a file for every shard."""
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 9)
+    df = spark.createDataFrame([(k, f"text {k} " * 20) for k in range(2000)], "doc_id long, text string")
+
+    def files(out):
+        rows = shuffle_to_shards(df, out=f"file://{out}").collect()
+        assert Counter((r["doc_id"], r["text"]) for r in rows) == Counter(tuple(r) for r in df.collect())
+        slots = [[pq.read_table(f)["slot"].to_pylist() for f in (out / f"shard={k}").glob("*.parquet")] for k in range(8)]
+        assert all(s == sorted(s) for of_shard in slots for s in of_shard)
+        return max(map(len, slots))
+
+    spark.conf.set("spark.sql.shuffle.partitions", 40)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert files(tmp_path / "few") <= spark.sparkContext.defaultParallelism
+        monkeypatch.setattr(sharding, "TASK_BYTES", 30_000)
+        assert spark.sparkContext.defaultParallelism < files(tmp_path / "more") <= 14
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
