@@ -196,15 +196,21 @@ def export_matrices(cells: DataFrame, labels: DataFrame, path: str, formats: tup
 # ---------------------------------------------------------------------------------------------------- labels
 
 
-def label_lines(lines: DataFrame) -> DataFrame:
+#: The space separators, which SQL's trim() takes off when it is told no characters.
+SPACES = " \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
+
+
+def label_lines(lines: DataFrame, inner: str = "'", ties: tuple[str, ...] = ()) -> DataFrame:
     """(script, filename, text) of (script, line_no, value): blank lines, comments and lines without a colon
-    are skipped; quotes around the text go; of a repeated name the last line holds."""
+    are skipped; double quotes around the text go and then the characters of ``inner``; of a repeated name the last
+    line holds, of equal numbers the first by the columns ``ties``."""
     strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
     v = strip(F.col("value"))
     rows = lines.withColumn("v", v).where("v <> '' and not startswith(v, '#') and instr(v, ':') > 0")
-    text = F.expr("trim(BOTH \"'\" FROM trim(BOTH '\"' FROM t))")
-    rows = rows.select("script", "line_no", strip(F.expr("substring(v, 1, instr(v, ':') - 1)")).alias("filename"), strip(F.expr("substring(v, instr(v, ':') + 1)")).alias("t"))
-    return rows.select("script", "line_no", "filename", text.alias("text")).groupBy("script", "filename").agg(F.max_by("text", "line_no").alias("text"))
+    text = F.trim(F.trim(F.col("t"), F.lit('"')), F.lit(inner))
+    rows = rows.select("script", "line_no", *ties, strip(F.expr("substring(v, 1, instr(v, ':') - 1)")).alias("filename"), strip(F.expr("substring(v, instr(v, ':') + 1)")).alias("t"))
+    rows = rows.select("script", "filename", F.struct(F.negative("line_no"), *ties).alias("at"), text.alias("text"))
+    return rows.groupBy("script", "filename").agg(F.min_by("text", "at").alias("text"))
 
 
 def read_labels(spark: SparkSession, folder: str, scripts: list[str] | None = None) -> DataFrame:

@@ -1,12 +1,17 @@
 import struct
 
+import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from confuscope.operators.counts import count_pairs, label_table
 from confuscope.operators.profile import extract_profiles
+from confuscope.plans import queries as Q
 from confuscope.plans import reports
+from confuscope.plans.oracles import ORACLE_SQL
 from confuscope.operators import distance as D
 from confuscope.sources import config as G
 from confuscope.sources import engines as E
@@ -71,6 +76,40 @@ def test_label_files(spark, tmp_path):
     assert [r["value"] for r in spark.read.text(str(tmp_path / "out/script=latin")).collect()] == ['# labels of latin, file name: "text"', 'a.png: "second"', 'b.png: "plain"']
 
 
+EDGES = [" a b ", "'a'", '" \'a\' "', "\"' a '\"", "\u00a0a\u2003\u3000", "\ta\n", "\ra\u2028", "\u200ba\u0085", '" "', '"', "' '", "", None, "# x: y", "a: b\\", ' " a " ']
+#: Files of (doc_id, text, lang), and some of what comes out.
+ODD_DOCUMENTS = {
+    "edges": ([[(k, t, lang) for k, t in enumerate(EDGES) for lang in ("en", None)]], {("en", "d0"): "a b", (None, "d1"): "'a'", ("en", "d4"): "a", ("en", "d12"): ""}),
+    "null ids": ([[(None, "x", "de"), (None, "y", "de"), (1, "z", "de"), (None, None, None)]], {("de", None): None, ("de", "d1"): "z", (None, None): None}),
+    "huge ids": ([[(-3, "x", "de"), (2**63 - 1, "last", "de"), (-(2**63), "first", "de")]], {("de", f"d{2**63 - 1}"): "last", ("de", f"d{-(2**63)}"): "first"}),
+    "repeated ids": ([[(5, "one", "en"), (5, "two", "en"), (5, "zero", "en"), (6, "b", "en"), (5, "other", "fr")], [(6, "a" * 9000, "en"), (6, "c", "en"), *((100 + k, f"{k} " * 500 + ".", "en") for k in range(200))]],
+                     {("en", "d5"): "one", ("en", "d6"): "b", ("fr", "d5"): "other"}),
+}
+
+
+@pytest.mark.parametrize("kind", ODD_DOCUMENTS)
+def test_label_lines_of_odd_documents_match_sql(spark, tmp_path, kind):
+    """SQL in one thread, where of equal ids the first row of the table holds."""
+    files, some = ODD_DOCUMENTS[kind]
+    (tmp_path / "documents.parquet").mkdir()
+    for k, rows in enumerate(files):
+        table = pa.table([list(c) for c in zip(*rows, strict=True)], pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string())]))
+        pq.write_table(table, tmp_path / f"documents.parquet/part-{k}.parquet")
+    got = [tuple(r) for r in Q.label_lines(spark, str(tmp_path)).select("script", "filename", "text").collect()]
+    db = duckdb.connect(config={"threads": 1})
+    db.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = db.sql(f"select script, filename, text from ({ORACLE_SQL['label_lines']})").fetchall()
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert some.items() <= {r[:2]: r[2] for r in got}.items()
+
+
+def test_inner_quotes_of_label_files(spark):
+    """Files keep the parser's own rule: apostrophes go behind the double quotes, spaces within stay, the last line holds."""
+    lines = [("s", 0, "a: x"), ("s", 1, "a: \"' y '\""), ("s", 2, "b: \" 'z'\"")]
+    got = IO.label_lines(spark.createDataFrame(lines, "script string, line_no int, value string")).collect()
+    assert {r["filename"]: r["text"] for r in got} == {"a": " y ", "b": " 'z"}
+
+
 def test_text_files(spark, tmp_path):
     for script, name, data in (("latin", "a.txt", b"x \xc3\xa9\nline two"), ("cyrillic", "b.txt", "привет".encode("cp1251")), ("cyrillic", "c.txt", b"\x98\xe9"), ("latin", "d.txt", b" \n ")):
         (tmp_path / script).mkdir(exist_ok=True)
